@@ -8,17 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 from navspark.llm.bpe import op3_byte_bpe
 from navspark.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from navspark.llm.html_text import op9_html_text
 from navspark.llm.minhash import op5_minhash
 from navspark.llm.mixing import op6_mixing
 from navspark.llm.quality import op2_quality
 from navspark.llm.sharding import op1_sharding
+from navspark.llm.token_files import op10_token_files
+from navspark.llm.warc import OP4_SQL, op4_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_quality": op2_quality,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_warc": op4_warc,
     "op5_minhash": op5_minhash,
     "op6_mixing": op6_mixing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_html_text": op9_html_text,
+    "op10_token_files": op10_token_files,
 }
-ORACLES: dict[str, str] = {"op8_exact_dedup": OP8_SQL}
+ORACLES: dict[str, str] = {"op4_warc": OP4_SQL, "op8_exact_dedup": OP8_SQL}
