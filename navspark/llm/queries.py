@@ -13,6 +13,7 @@ from navspark.llm.minhash import op5_minhash
 from navspark.llm.mixing import op6_mixing
 from navspark.llm.quality import op2_quality
 from navspark.llm.sharding import op1_sharding
+from navspark.llm.suffix_dedup import op7_suffix_dedup
 from navspark.llm.token_files import op10_token_files
 from navspark.llm.warc import OP4_SQL, op4_warc
 
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op5_minhash": op5_minhash,
     "op6_mixing": op6_mixing,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_html_text": op9_html_text,
     "op10_token_files": op10_token_files,
