@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Most rows of a key list that may be broadcast; beyond it the same join shuffles.
 BROADCAST_ROWS = 500_000
 #: Bytes of text that a vectorised kernel works on at once; a longer text is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -27,7 +27,7 @@ from navspark.llm.common import checked, documents_view, table, text_slices, wri
 from navspark.llm.textcore import BASE, BYTE_CODE, U, Words, buffers, mix, prefix_hash, span_hash, sums, windows
 
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
-HASH_BITS, SAMPLE, ROUNDS, THRESHOLD, SEED = 18, 3_000, 150, 0.5, 11
+HASH_BITS, SAMPLE, ROUNDS, THRESHOLD, SEED = 18, 2_000, 150, 0.5, 11
 #: The characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
 IS_SYMBOL = np.zeros(256, bool)
@@ -142,18 +142,19 @@ def _sparse(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         for i, (a, b) in enumerate(zip(begin.tolist(), end.tolist(), strict=True)):
             if b > a:
                 found, count = np.unique(features[a:b], return_counts=True)
-                out[i].append((found + (k << HASH_BITS), count / (b - a)))
-    return [(np.concatenate([f for f, _ in x]), np.concatenate([c for _, c in x])) if x else (np.zeros(0, np.int64), np.zeros(0)) for x in out]
+                out[i].append(((found + (k << HASH_BITS)).astype(np.int32), (count / (b - a)).astype(np.float32)))
+    return [(np.concatenate([f for f, _ in x]), np.concatenate([c for _, c in x])) if x else (np.zeros(0, np.int32), np.zeros(0, np.float32)) for x in out]
 
 
 def fit(texts: pa.Array, good: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float, float, float]:
     """weights, bias, and slope and shift of the calibration."""
-    sparse = _sparse(texts)
     held = np.arange(len(good)) % 4 == 3
     keep = np.flatnonzero(~held)
-    index = np.concatenate([sparse[i][0] for i in keep])
-    share = np.concatenate([sparse[i][1] for i in keep])
-    row = np.repeat(np.arange(len(keep)), [len(sparse[i][0]) for i in keep])
+    one = pa.RecordBatch.from_arrays([texts], ["text"])
+    sparse = [x for part in text_slices([one], "text") for x in _sparse(part.column(0))]
+    index, share = np.concatenate([sparse[i][0] for i in keep]), np.concatenate([sparse[i][1] for i in keep])
+    row = np.repeat(np.arange(len(keep), dtype=np.int32), [len(sparse[i][0]) for i in keep])
+    sparse = [sparse[i] for i in np.flatnonzero(held)]
     y = good[keep].astype(float)
     rate = np.clip(np.array([1 - y.mean(), y.mean()]), 1e-3, 1)
     cost = np.where(y > 0, 0.5 / rate[1], 0.5 / rate[0])
@@ -165,12 +166,12 @@ def fit(texts: pa.Array, good: np.ndarray, rounds: int = ROUNDS) -> tuple[np.nda
     for _ in range(rounds):
         z = np.bincount(row, w[index] * share, len(y)) + b
         r = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * cost
-        g = np.bincount(index, r[row] * share, size)[used] + 1e-9 * w[used]
+        g = np.bincount(index, (r[row] * share).astype(np.float32), size)[used] + 1e-9 * w[used]
         gw[used] += g * g
         gb += r.sum() ** 2
         w[used] -= 1.0 * g / np.sqrt(gw[used])
         b -= 0.1 * r.sum() / np.sqrt(gb)
-    z = np.array([w[sparse[i][0]] @ sparse[i][1] + b for i in np.flatnonzero(held)])
+    z = np.array([w[features] @ shares + b for features, shares in sparse])
     slope, shift = platt(z, good[held])
     return w.reshape(4, -1), b, slope, shift
 

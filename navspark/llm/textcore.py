@@ -48,10 +48,10 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of BASE and of its inverse modulo 2**64, from the exponent 0."""
-    n = 1 << 21
+    n = 1 << 20
     while n < size:
         n *= 2
-    if n > 1 << 21:
+    if n > 1 << 22:
         _powers.cache_clear()
     up, down = _powers(n)
     return up[:size], down[:size]
