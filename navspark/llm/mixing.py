@@ -27,7 +27,7 @@ from navspark.llm.exact_dedup import raw_hash
 from navspark.llm.textcore import Words, buffers
 
 WEIGHTS, MOST, SEED = (1, 2, 3), 3, 77
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 SORT_ROWS = 100_000
 
 
