@@ -27,7 +27,7 @@ from navspark.llm.textcore import U, mix
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Encoded units that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 120_000
 #: The characters of the Unicode property White_Space, which \s means in the libraries' pattern.
 WHITE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 NONE = np.int64(1 << 40)  # no pair

@@ -18,12 +18,20 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 #: Bytes of text that a vectorised kernel works on at once; a longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
+#: Bytes that an Arrow batch to or from a Python worker holds, about; a longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches, whose buffers lie outside the heap, once in each task and once in its worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
     conf = spark.sparkContext.getConf()
@@ -81,4 +89,5 @@ def text_slices(batches: Iterable[pa.RecordBatch], text: str, most: int = SLICE_
 
 def documents_view(docs: DataFrame, *extra: Column) -> DataFrame:
     """(doc_id long, text string, ...) of a table that may have any other columns besides."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)

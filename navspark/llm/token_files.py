@@ -27,7 +27,7 @@ from navspark.llm.warc import place
 VOCABULARY, END = "word_bpe_49k.json", 2
 #: UTF-8 bytes of text that a file holds, about.
 FILE_BYTES = 12 << 20
-REMEMBERED = 500_000
+REMEMBERED = 120_000
 
 
 class Tokens:
