@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from navspark.operators import graph, relational, search, text_index, usage
+from navspark.operators import evaluation, graph, relational, search, text_index, usage
 from navspark.streaming import usage_stream
 
-QUERIES = text_index.QUERIES | usage.QUERIES | graph.QUERIES | relational.QUERIES | search.QUERIES | usage_stream.QUERIES
-SQL = text_index.SQL | usage.SQL | graph.SQL | relational.SQL | usage_stream.SQL
+QUERIES = text_index.QUERIES | usage.QUERIES | graph.QUERIES | relational.QUERIES | search.QUERIES | usage_stream.QUERIES | evaluation.QUERIES
+SQL = text_index.SQL | usage.SQL | graph.SQL | relational.SQL | usage_stream.SQL | evaluation.SQL
