@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from navspark.functions.paths import EXTENSIONS, MAX_BYTES, extension, language, under
+from navspark.sources.upkeep import skip_reason
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,16 +18,14 @@ def documents_as_files(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", path.alias("path"), "text").withColumns({"language": language(F.col("path")), "size": F.octet_length("text").cast("long"), "hash": F.sha2("text", 256)})
 
 
-def tree(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
-    """Every regular file under root with the reason for leaving it out (null: indexed), and the text of the others."""
+def tree(spark: SparkSession, root: str, prefix: str = "", rules: dict[str, list[str]] | None = None) -> DataFrame:
+    """Every regular file under root with the reason for leaving it out (null: indexed), and the text of the others; rules are ignore files' lines by name."""
     base = root.rstrip("/")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     path = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/+", "/"), f"^{base}/", "")
     rows = raw.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content").where(under(F.col("path"), prefix))
-    parts = F.split("path", "/")
     reason = (
-        F.when(F.exists(parts, lambda p: p.isin(".git", "node_modules", "dist", "build", "out", "coverage", "target", "vendor", "__pycache__", ".venv", "venv", ".cache", ".next")), "ignored")
-        .when(F.lower("path").rlike(r"(^|/)\.env|secret|id_rsa|\.pem$|\.min\.js$"), "ignored")
+        F.when(skip_reason(F.col("path"), rules).isNotNull(), skip_reason(F.col("path"), rules))
         .when(~extension(F.col("path")).isin(EXTENSIONS), "extension")
         .when(F.col("size") > MAX_BYTES, "too_large")
         .when(F.locate("00", F.hex("content")) % 2 == 1, "binary")
