@@ -30,6 +30,8 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 REMEMBERED = 120_000
 #: The characters of the Unicode property White_Space, which \s means in the libraries' pattern.
 WHITE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: A space beside white space: where one of these is, or at a text's ends, a space may not begin a match.
+UNEVEN = [pair for c in map(chr, range(0x3001)) if re.match(f"[{WHITE_SPACE}]", c) for pair in dict.fromkeys((" " + c, c + " "))]
 NONE = np.int64(1 << 40)  # no pair
 #: Of fewer pieces than this, each is merged by itself.
 FEW = 32
@@ -212,12 +214,12 @@ class Encoder:
         self.ranks = load(path)
         own = pattern.replace(r"[^\s", f"[^{WHITE_SPACE}").replace(r"\S", f"[^{WHITE_SPACE}]").replace(r"\s", f"[{WHITE_SPACE}]")
         self.find = regex.compile(own).findall
-        self.uneven = re.compile(f" [{WHITE_SPACE}]|[{WHITE_SPACE}] |^ | $").search
         self.units: dict[str, tuple[str, int, bytes]] = {}
 
     def learn(self, units: set[str]) -> dict[str, tuple[str, int, bytes]]:
         """For each unit its ids as a decimal string, their number, and the bytes they decode to; remembered while there is room."""
-        found = {u: self.find(u) for u in units}
+        # Letters after at most one space are one match.
+        found = {u: [u] if u.isascii() and u[u[0] == " " :].isalpha() else self.find(u) for u in units}
         fresh = list({p for ps in found.values() for p in ps})
         text, back = self.ranks.text, self.ranks.bytes
         known = {}
@@ -234,7 +236,7 @@ class Encoder:
     def units_of(self, text: str) -> list[str]:
         if not text:
             return []
-        if self.uneven(text):
+        if text[0] == " " or text[-1] == " " or any([pair in text for pair in UNEVEN]):
             return self.find(text)
         head, *rest = text.split(" ")
         return [head, *[" " + x for x in rest]]

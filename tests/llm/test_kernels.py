@@ -124,3 +124,12 @@ def test_html_blocks():
     assert blocks(page) == (True, ["A & b", "one two three", "x"])
     assert blocks("<div id=main><div class=cookie-notice>c</div><p>t<ul><li>1<li>2</ul></div><form>q</form>") == (False, ["t", "1", "2"])
     assert blocks("") == (False, []) and blocks("<p>open <b") == (False, ["open <b"])
+
+
+def test_bpe_white_space_equals_library():
+    """Units between single spaces are whole matches, whatever white space stands beside them."""
+    draw, letters = random.Random(3), [*"ab Z9',.\n\t\u3000\x85\xa0\u00e9 ", *"    "]
+    texts = ["".join(draw.choices(letters, k=draw.randint(0, 12))) for _ in range(5000)]
+    path = public_tokenizers.path(VOCABULARY)
+    library = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load(path).rank, special_tokens={})
+    assert encode_ids(texts, path, public_tokenizers.PATTERN) == [library.encode_ordinary(t) for t in texts]
