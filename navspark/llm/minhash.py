@@ -7,7 +7,10 @@ signature takes the least hash in each of BINS ranges of the hash space (one per
 range borrows from a range that the range's own hash sequence names (optimal densification). Bands of
 the signature are bucket keys; in a bucket the most connected class and the one with the least doc_id
 each get an edge to every member, so a bucket of n classes makes fewer than 2n edges. Edges are
-confirmed on the full sets. Further rounds join members that a bucket's first stars left apart.
+confirmed on the full sets. Further rounds join members that a bucket's first stars left apart. Members
+of a bucket that are in separate components after the last round, and none of which was a centre there,
+are decided by an exact join: shingles are ordered from rare to common, and a pair of sizes x and y that
+is similar has its first common shingle among those of each set that the needed overlap leaves over.
 
 A component's id is its smallest doc_id; null doc_ids count as larger than any (a component of nulls
 only has a null id). Repeated rows share a class. An empty table gives an empty result.
@@ -32,8 +35,10 @@ BINS = BANDS * BAND_ROWS
 PERCENT = 85
 #: Members of a star that one group of the confirming step holds, about.
 STAR_ROWS = 256
-#: Rounds of stars; each after the first joins only what is still apart within a bucket.
+#: Rounds of stars; each after the first joins only what is still apart within a bucket. The exact join decides the rest.
 ROUNDS = 2
+#: Shingles that a batch of the exact join's rows holds, about.
+POSTINGS = 1 << 17
 LARGEST = (1 << 63) - 1
 
 
@@ -177,8 +182,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels = moved.drop("old")
 
 
-def stars(crowd: DataFrame, labels: DataFrame | None, tested: DataFrame | None) -> DataFrame:
-    """Candidate edges (a, b) between centres and members of the buckets in crowd (key, sid, rep, company)."""
+def stars(crowd: DataFrame, labels: DataFrame | None, tested: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Candidate edges (a, b) between centres and members of the buckets in crowd (key, sid, rep, company), and the centres (key, sid)."""
     members = crowd
     if labels is not None:
         members = crowd.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "rep"))
@@ -192,7 +197,68 @@ def stars(crowd: DataFrame, labels: DataFrame | None, tested: DataFrame | None)
         best, first = F.max(F.struct("company", "sid")), F.min(F.struct("rep", "sid"))
         centres = members.groupBy("key").agg(best.alias("c"), first.alias("d")).select("key", F.array_distinct(F.array("c.sid", "d.sid")).alias("centres"))
     edges = members.join(centres, "key").select(F.explode("centres").alias("a"), F.col("sid").alias("b")).where(F.col("a") != F.col("b")).distinct()
-    return edges if tested is None else edges.join(tested, ["a", "b"], "left_anti")
+    edges = edges if tested is None else edges.join(tested, ["a", "b"], "left_anti")
+    return edges, centres.select("key", F.explode("centres").alias("sid"))
+
+
+def undecided(crowd: DataFrame, labels: DataFrame, centres: DataFrame) -> DataFrame:
+    """(sid, label) of the classes that share a bucket with one of another component, neither being a centre (key, sid) there."""
+    members = crowd.join(labels, "sid", "left").select("key", "sid", F.coalesce("label", "rep").alias("label"))
+    rest = members.join(centres, ["key", "sid"], "left_anti")
+    apart = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"))
+    # Classes without a doc_id share a label without being linked.
+    apart = apart.where((F.col("low") < F.col("high")) | ((F.col("low") == LARGEST) & (F.col("n") > 1)))
+    return rest.join(apart, "key", "left_semi").select("sid", "label").distinct()
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(s, np.int64) for s in batch.column(2).to_pylist()]
+        sizes = np.array([len(s) for s in sets], np.int64)
+        end = np.cumsum(sizes)
+        start = 0
+        while start < len(sets):
+            stop = max(start + 1, int(np.searchsorted(end, end[start] - sizes[start] + POSTINGS, side="right")))
+            at = pa.array(np.repeat(np.arange(start, stop), sizes[start:stop]))
+            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(np.repeat(sizes[start:stop], sizes[start:stop])), pa.array(np.concatenate(sets[start:stop]))]
+            yield pa.RecordBatch.from_arrays(columns, ["sid", "label", "n", "shingle"])
+            start = stop
+
+
+def similar_pairs(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Candidate edges (a, b): every similar pair of different label among classes (sid, label), and few others.
+
+    A similar pair of sizes x <= y has 100 x >= percent * y and at least percent * (x + y) / (100 + percent)
+    common shingles. In any order of all shingles, the first common one stands so early in both sets that as
+    many follow: within the first x - 2 percent * x / (100 + percent) of the smaller set (``index``), and within
+    the first y - percent * y / 100 of the larger. From rare to common, those are seldom shared otherwise.
+    """
+    each = written(classes.join(sets, "sid").select("sid", "label", "shingles").mapInArrow(_postings, "sid binary, label long, n long, shingle long"), "near-postings")
+    often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    common = each.join(often, "shingle")
+    # Shingles of one set only come first in the order and pair nothing; their number is all that counts.
+    order = Window.partitionBy("sid").orderBy("often", "shingle")
+    ranked = common.withColumn("nth", F.row_number().over(order)).withColumn("all", F.count(F.lit(1)).over(Window.partitionBy("sid")))
+    ranked = ranked.withColumn("left", F.col("all") - F.col("nth") + 1)  # of this shingle and those after it
+    ranked = ranked.where(F.col("left") * 100 >= F.col("n") * percent)
+    ranked = ranked.withColumn("index", F.col("left") * (100 + percent) >= F.col("n") * 2 * percent)
+    ranked = written(ranked.select("sid", "label", "n", "shingle", "left", "index"), "near-prefixes")
+    # Pairs within one label need no test: of the label that most sets of a shingle have, only pairs with other labels are made.
+    alone = F.when(F.col("label") == LARGEST, F.col("sid"))
+    held = ranked.groupBy("shingle", "label", alone.alias("alone")).agg(F.count(F.lit(1)).alias("sets"), F.max("index").alias("index"))
+    held = held.groupBy("shingle").agg(F.max(F.struct("sets", "label", "alone")).alias("main"), F.count(F.lit(1)).alias("labels"), F.max("index").alias("any")).where("labels > 1 and any")
+    posted = ranked.join(held.select("shingle", "main"), "shingle")
+    posted = posted.withColumn("minor", ~(F.col("label").eqNullSafe(F.col("main.label")) & alone.eqNullSafe(F.col("main.alone")))).drop("main")
+    posted = written(posted, "near-posted")
+    x, y = posted.where("index").alias("x"), posted.alias("y")
+    needed = F.expr(f"least(x.left, y.left) * {100 + percent} >= (x.n + y.n) * {percent}")
+    smaller = F.expr(f"(x.n < y.n or x.n = y.n and x.sid < y.sid) and x.n * 100 >= y.n * {percent}")
+    apart = F.expr(f"x.label <> y.label or x.label = {LARGEST}")
+
+    def met(a: DataFrame, b: DataFrame) -> DataFrame:
+        return a.join(b, (F.col("x.shingle") == F.col("y.shingle")) & smaller & needed & apart).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
+
+    return met(x.where("x.minor"), y).union(met(x.where("not x.minor"), y.where("y.minor"))).distinct()
 
 
 def clusters(docs: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
@@ -208,9 +274,11 @@ def clusters(docs: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS) -> D
     nodes = written(crowd.groupBy("sid").agg(F.first("rep").alias("rep")), "near-nodes")
     as_id = F.when(F.col("rep") != LARGEST, F.col("rep"))
     sets = written(class_sets(docs, nodes.select("sid", as_id.alias("rep"))), "near-sets")
-    labels = links = tested = None
+    labels = links = tested = centres = None
     for _ in range(rounds):
-        edges = written(stars(crowd, labels, tested), "near-edges")
+        edges, middle = stars(crowd, labels, tested)
+        edges, middle = written(edges, "near-edges"), written(middle, "near-centres")
+        centres = middle if centres is None else centres.unionByName(middle)
         if edges.isEmpty():
             break
         good = written(confirmed(edges, sets, percent), "near-good")
@@ -219,6 +287,14 @@ def clusters(docs: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS) -> D
         links = good if links is None else links.unionByName(good)
         tested = edges if tested is None else tested.unionByName(edges)
         labels = components(nodes, links)
+    if labels is not None:
+        rest = written(undecided(crowd, labels, centres), "near-rest")
+        if not rest.isEmpty():
+            edges = similar_pairs(rest, sets, percent)
+            edges = edges.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+            good = written(confirmed(written(edges, "near-edges"), sets, percent), "near-good")
+            if not good.isEmpty():
+                labels = components(nodes, links.unionByName(good))
     named = classes.select("sid", "rep")
     if labels is not None:
         named = named.join(labels, "sid", "left").select("sid", F.coalesce("label", "rep").alias("rep"))

@@ -76,6 +76,18 @@ def test_near(docs, empty):
     assert minhash.clusters(empty).count() == 0
 
 
+def test_near_template(spark):
+    """Many pairs that fill one template: buckets are crowded by unlinked documents, and each document has one link."""
+    plate, rows = [f"t{k}" for k in range(120)], []
+    for i in range(120):
+        rows.append((i, " ".join([*plate, *(f"p{i // 2}x{k}" for k in range(4)), *(f"e{i}x{k}" for k in range(10))])))
+    sets = [shingles(t) for _, t in rows]
+    linked = {(i, j) for i in range(len(rows)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
+    assert linked == {(2 * k + 1, 2 * k) for k in range(60)}
+    got = minhash.clusters(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: i - i % 2 for i, _ in rows}
+
+
 def test_strings(docs, empty):
     seen, want = {}, Counter()
     order = sorted(enumerate(ROWS), key=lambda x: (x[1][0] is not None, x[1][0] or 0, hashlib.md5((x[1][1] or "").encode()).digest()))
