@@ -282,6 +282,13 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     later = units.where(~F.col("is_first")).select(F.col("ord").alias("l_ord"), F.col("digest").alias("l_digest"))
     searched = view.where(F.octet_length("text") >= LENGTH)
     searched = searched.join(checked(later), same(searched, later, {"ord": "l_ord", "digest": "l_digest"}), "left_anti")
+    # Of rows that repeat doc_id and text one is searched, else each would lose the strings of the other.
+    again = units.where(F.col("is_first") & (F.col("rows") > 1) & (F.col("n_bytes") >= LENGTH)).select(F.col("ord").alias("l_ord"), F.col("digest").alias("l_digest"))
+    n_again = again.count()
+    if n_again:
+        repeated = same(searched, again, {"ord": "l_ord", "digest": "l_digest"})
+        one = searched.join(checked(again, n_again), repeated, "left_semi").dropDuplicates(["ord", "digest"])
+        searched = searched.join(checked(again, n_again), repeated, "left_anti").unionByName(one)
 
     total = units.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("b")).first()["b"]
     ranges = max(1, total // (35 * RANGE_KEYS))

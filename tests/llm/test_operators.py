@@ -107,6 +107,18 @@ def test_strings(docs, empty):
     assert suffix_dedup.repeated_strings(empty).count() == 0
 
 
+def test_strings_repeated_first(spark):
+    """Rows that repeat doc_id and text and come first: one keeps its text, the others go wholly."""
+    rows = [(1, text(50, 300))] * 3 + [(2, text(51, 300))] * 2 + [(3, text(50, 300)), (None, text(52, 90)), (None, text(52, 90)), (4, "short"), (4, "short")]
+    got = suffix_dedup.repeated_strings(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    first, want = set(), Counter()
+    for i, t in rows:
+        n = len(t) if t in first and len(t) >= 100 else 0
+        first.add(t)
+        want[(i, len(t), n, int(n > 0), hashlib.sha256(b"" if n else t.encode()).hexdigest())] += 1
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+
+
 def test_mix(docs, empty):
     plan = mixing.mix(docs).collect()
     totals = Counter()
