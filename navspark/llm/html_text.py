@@ -3,9 +3,10 @@
 Every page becomes a stream of text blocks. Blocks inside menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles or reader comments go, by element, role or the words of class and id.
 If the page has an article (or, without one, a main element), its blocks are the text. Otherwise blocks
-are checked against the host: the pages' token streams are concatenated, a suffix array over them finds
-strings of RUN tokens or more that occur on several distinct pages, blocks that those mostly cover are
-boilerplate, and the unique runs stay. Suffixes are keyed by their leading RUN tokens, hashed; equal
+are checked against the host: strings of RUN tokens or more that occur on PAGES distinct pages or more
+are boilerplate and are cut out, and the unique runs stay, also within a block. Pages of equal token
+streams are one distinct page, so a page copied to any number of addresses keeps its text; a paragraph
+on two pages stays on both. Suffixes are keyed by their leading RUN tokens, hashed; equal
 keys meet in one reducing row, so a host with any number of pages is spread over all tasks.
 
 Null html gives an empty text; null urls share one host. Character references are decoded, white space
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 from navspark.llm.common import checked, same, table, text_slices, written
 from navspark.llm.textcore import U, mix
 
-RUN, COVERED = 8, 0.5
+RUN = 8
+#: Distinct pages of a host that a string of boilerplate is on, at least; one on fewer may be a copied passage.
+PAGES = 3
 #: Elements whose contents are never text of the page.
 SILENT = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video", "select", "textarea", "title", "head"}
 #: Elements around the main text.
@@ -180,8 +183,9 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 marks[min(len(marks) - 1, k + RUN)] -= 1
             covered, at, kept = np.cumsum(marks) > 0, 0, []
             for b, t in zip(found, tokens, strict=True):
-                if covered[at : at + len(t)].mean() < COVERED:
-                    kept.append(b)
+                gone = covered[at : at + len(t)]
+                if not gone.all():
+                    kept.append(" ".join(w for w, g in zip(t, gone.tolist(), strict=True) if not g) if gone.any() else b)
                 at += len(t)
             out.append("\n".join(kept))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
@@ -193,8 +197,10 @@ def extracted(pages: DataFrame) -> DataFrame:
     done = rows.where("marked or size(blocks) = 0").select("page_id", "url", F.array_join("blocks", "\n").alias("text"))
     rest = rows.where("not marked and size(blocks) > 0")
     suffix = written(rest.select("row", "host", "page_id", "blocks").mapInArrow(_suffixes, "row long, host string, page_id long, key long"), "html-suffixes")
-    # Distinct pages of a key are told by their least and greatest page_id, which combine before the shuffle.
-    many = suffix.groupBy("host", "key").agg(F.min("page_id").alias("low"), F.max("page_id").alias("high")).where("low < high")
+    # Of rows with equal token streams one counts; of the others those that share a page_id do so once.
+    first = rest.groupBy("host", F.sha2(F.array_join("blocks", " "), 256).alias("stream")).agg(F.min("row").alias("row")).select("row")
+    page = F.struct("page_id", F.when(F.col("page_id").isNull(), F.col("row")))
+    many = suffix.join(first, "row", "left_semi").groupBy("host", "key").agg(F.count_distinct(page).alias("pages")).where(F.col("pages") >= PAGES)
     many = many.select(F.col("host").alias("m_host"), F.col("key").alias("m_key"))
     shared = suffix.join(many, same(suffix, many, {"host": "m_host", "key": "m_key"}), "left_semi").groupBy("row").agg(F.collect_list("key").alias("shared"))
     kept = rest.join(shared, "row", "left").select("page_id", "url", "blocks", "shared").mapInArrow(_keep, "page_id long, url string, text string")

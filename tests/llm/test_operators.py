@@ -182,6 +182,17 @@ def test_pages(spark, tmp_path):
     assert {r.page_id: r.text for r in html_text.extracted(site).collect()} == {**{i: text(i, 30) for i in range(4)}, 9: ""}
 
 
+def test_pages_copied_and_mixed(spark):
+    """Copied pages and a paragraph on two pages keep their text; boilerplate goes from within a block, and only it."""
+    plate, twice = "one two three four five six seven eight nine ten", text(60, 20)
+    page = lambda *parts: "<body>" + "".join(f"<div>{x}</div>" for x in parts) + "</body>"
+    own = {i: text(70 + i, 30) for i in range(8)}
+    rows = [(0, page(plate, own[0])), (1, page(plate, own[0])), (2, page(plate, own[0])), (3, page(plate, own[3], twice)), (4, page(plate, own[4], twice)), (5, page(f"{own[5]} {plate}")), (6, page(f"short run {plate} tail")), (None, page(plate, own[7]))]
+    site = spark.createDataFrame([(i, f"http://h/{i}", h) for i, h in rows] + [(20 + k, f"http://mirror/{k}", page(own[2])) for k in range(4)], "page_id long, url string, html string")
+    want = {0: own[0], 1: own[0], 2: own[0], 3: f"{own[3]}\n{twice}", 4: f"{own[4]}\n{twice}", 5: own[5], 6: "short run tail", None: own[7], **{20 + k: own[2] for k in range(4)}}
+    assert {r.page_id: r.text for r in html_text.extracted(site).collect()} == want
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as p
 
