@@ -6,8 +6,11 @@ If the page has an article (or, without one, a main element), its blocks are the
 are checked against the host: strings of RUN tokens or more that occur on PAGES distinct pages or more
 are boilerplate and are cut out, and the unique runs stay, also within a block. Pages of equal token
 streams are one distinct page, so a page copied to any number of addresses keeps its text; a paragraph
-on two pages stays on both. Suffixes are keyed by their leading RUN tokens, hashed; equal
-keys meet in one reducing row, so a host with any number of pages is spread over all tasks.
+on two pages stays on both. No suffix array is sorted: suffixes are keyed by their leading RUN tokens,
+hashed to 64 bits, and counted. A longer string on PAGES pages has all its windows of RUN tokens on them,
+and each such window is a string itself, so the tokens covered are those a suffix array would give, save
+for clashes of hashes. Equal keys meet in one reducing row, so a host with any number of pages is spread
+over all tasks. Inside a marked article nothing is cut, so boilerplate that a site repeats there stays.
 
 Null html gives an empty text; null urls share one host. Character references are decoded, white space
 within a block becomes one space, blocks are joined by one line break. Repeated rows are pages of
