@@ -38,6 +38,8 @@ PAGES = 3
 SILENT = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video", "select", "textarea", "title", "head"}
 #: Elements around the main text.
 AROUND = {"nav", "footer", "aside", "form", "menu", "dialog", "button"}
+#: What may stand in a head; any other element ends it, and so does text.
+HEAD = {"base", "link", "meta", "title", "style", "script", "noscript", "template", "head", "html"}
 #: Roles of such parts.
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog"}
 #: Words of class or id that name such parts.
@@ -94,6 +96,8 @@ def blocks(page: str) -> tuple[bool, list[str]]:
     at, end, low = 0, len(page), None
     while at < end:
         m = TOKEN.search(page, at)
+        if stack and stack[-1][0] == "head" and (page[at : m.start()] if m else page[at:]).strip():
+            close(len(stack) - 1)
         if not beside:
             text.append(page[at : m.start()] if m else page[at:])
         if not m:
@@ -109,6 +113,8 @@ def blocks(page: str) -> tuple[bool, list[str]]:
                     break
         elif m[2]:
             name, attributes = m[2].lower(), m[3]
+            if stack and stack[-1][0] == "head" and name not in HEAD:
+                close(len(stack) - 1)
             if name in BLOCKS or name in SILENT:
                 flush()
             elif name == "br" and not beside:

@@ -126,6 +126,15 @@ def test_html_blocks():
     assert blocks("") == (False, []) and blocks("<p>open <b") == (False, ["open <b"])
 
 
+def test_html_omitted_tags():
+    head = "<html><head><meta charset=utf-8><title>Not this</title><style>p {}</style>\n"
+    assert blocks(head + "<body><nav>Menu</nav><article><p>One<p>Two</article>") == (True, ["One", "Two"])
+    assert blocks(head + "<article><ul><li>One<li>Two</ul></article>") == (True, ["One", "Two"])
+    assert blocks(head + "<a href=x>One</a> two") == (False, ["One two"])
+    assert blocks(head + "One <b>two</b>") == (False, ["One two"])
+    assert blocks(head + "</head><body><p>One</body>") == (False, ["One"])
+
+
 def test_bpe_white_space_equals_library():
     """Units between single spaces are whole matches, whatever white space stands beside them."""
     draw, letters = random.Random(3), [*"ab Z9',.\n\t\u3000\x85\xa0\u00e9 ", *"    "]
