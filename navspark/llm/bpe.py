@@ -19,22 +19,26 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from navspark.llm.common import documents_view, table, text_slices
+from navspark.llm.common import claim, documents_view, table, text_slices
 from navspark.llm.textcore import U, mix
+from navspark.llm.units import Recent, filled, gathered, parted, words
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Encoded units that a worker remembers.
-REMEMBERED = 120_000
+#: Encoded units and pieces that a generation of a worker's memory holds.
+REMEMBERED = 60_000
 #: The characters of the Unicode property White_Space, which \s means in the libraries' pattern.
 WHITE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: A space beside white space: where one of these is, or at a text's ends, a space may not begin a match.
-UNEVEN = [pair for c in map(chr, range(0x3001)) if re.match(f"[{WHITE_SPACE}]", c) for pair in dict.fromkeys((" " + c, c + " "))]
+#: Bytes of text that are encoded together.
+ENCODE_BYTES = 1 << 20
+#: A space beside white space or at a text's ends may not begin a match.
+UNEVEN = "^ | $| [{0}]|[{0}] ".format("".join(c for c in map(chr, range(0x3001)) if re.match(f"[{WHITE_SPACE}]", c)))
 NONE = np.int64(1 << 40)  # no pair
-#: Of fewer pieces than this, each is merged by itself.
-FEW = 32
+#: Of fewer pieces than this, each is merged by itself, and so is a piece of more than 2**WIDEST bytes.
+FEW, WIDEST = 32, 12
 
 
 class Ranks:
@@ -79,20 +83,29 @@ class Ranks:
 
     def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
         """The ids of each piece."""
-        out: list[list[int]] = [[r] if (r := self.rank.get(p)) is not None else [] for p in pieces]
+        return [np.frombuffer(ids, np.uint32).tolist() for ids in self.encode_bytes(pieces)]
+
+    def encode_bytes(self, pieces: list[bytes]) -> list[bytes]:
+        """The same as little-endian unsigned 32-bit integers."""
+        rank = self.rank
+        out: list = [rank.get(p) for p in pieces]
         by_class: dict[int, list[int]] = {}
-        for i, p in enumerate(pieces):
-            if p and not out[i]:
-                by_class.setdefault(max(2, (len(p) - 1).bit_length()), []).append(i)
+        for i, r in enumerate(out):
+            if r is not None:
+                out[i] = r.to_bytes(4, "little")
+            elif pieces[i]:
+                by_class.setdefault(max(2, (len(pieces[i]) - 1).bit_length()), []).append(i)
+            else:
+                out[i] = b""
         for bits, members in by_class.items():
-            if len(members) < FEW:
+            if len(members) < FEW or bits > WIDEST:
                 for i in members:
-                    out[i] = self._merge_one(pieces[i])
+                    out[i] = np.array(self._merge_one(pieces[i]), np.uint32).tobytes()
                 continue
             step = max(FEW, (1 << 16) >> bits)
             for k in range(0, len(members), step):
                 part = members[k : k + step]
-                for i, ids in zip(part, self._merge([pieces[i] for i in part], 1 << bits), strict=True):
+                for i, ids in zip(part, self._merge([pieces[i] for i in part], bits), strict=True):
                     out[i] = ids
         return out
 
@@ -140,62 +153,71 @@ class Ranks:
             i = after[i]
         return ids
 
-    def _merge(self, pieces: list[bytes], width: int) -> list[list[int]]:
-        """width: a power of two, the leaves of each tree."""
-        n, levels = len(pieces), width.bit_length() - 1
-        length = np.array([len(p) for p in pieces])
-        flat = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(n, width)
-        token = self.single[flat]
+    def _merge(self, pieces: list[bytes], bits: int) -> list[bytes]:
+        """Trees of 2**bits leaves each, one a row of flat arrays, all merged in step."""
+        n, width = len(pieces), 1 << bits
+        kind = np.int32 if len(self.text).bit_length() + bits <= 30 else np.int64
+        none = kind(1 << (30 if kind is np.int32 else 60))
+        length = np.fromiter(map(len, pieces), np.int64, n)
         place = np.arange(width)
-        after = np.where(place + 1 < length[:, None], place + 1, -1)  # next live position
-        before = np.broadcast_to(place - 1, (n, width)).copy()
-        token[place >= length[:, None]] = -1
-        # A node holds rank << 20 | position, so the least is the lowest rank and of equals the leftmost.
-        leaf = np.full((n, width), NONE << 20)
-        row, col = np.nonzero(after >= 0)
-        leaf[row, col] = (self.pair(token[row, col], token[row, col + 1]) << 20) | col
-        tree = np.full((n, 2 * width), NONE << 20)
-        tree[:, width:] = leaf
-        for level in range(levels - 1, -1, -1):
+        token = self.single[np.frombuffer(b"".join([p.ljust(width, b"\0") for p in pieces]), np.uint8)]
+        inside = place < length[:, None]
+        token[~inside.ravel()] = -1
+        after = np.where(place + 1 < length[:, None], place + 1, -1).ravel()  # next live position
+        before = np.broadcast_to(place - 1, (n, width)).ravel().copy()
+        # A node holds rank << bits | position, so the least is the lowest rank and of equals the leftmost.
+        tree = np.full((n, 2 * width), none, kind)
+        pairs = np.flatnonzero(after >= 0)
+        ranks = self.pair(token[pairs], token[pairs + 1])
+        some = ranks < NONE
+        pairs, ranks = pairs[some], ranks[some]
+        tree[pairs >> bits, width + (pairs & width - 1)] = ranks << bits | (pairs & width - 1)
+        for level in range(bits - 1, -1, -1):
             a, b = 1 << level, 2 << level
             tree[:, a:b] = np.minimum(tree[:, 2 * a : 2 * b : 2], tree[:, 2 * a + 1 : 2 * b : 2])
+        tree = tree.ravel()
         live = np.arange(n)
 
-        def update(rows: np.ndarray, at: np.ndarray, value: np.ndarray) -> None:
-            node = at + width
-            tree[rows, node] = value
-            for _ in range(levels):
-                node = node >> 1
-                tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
+        def leaf(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            """What the leaves of the pairs of live places (left, right) hold."""
+            rank = self.pair(token[left], token[right])
+            return np.where(rank < NONE, rank << bits | (left & width - 1), none).astype(kind)
 
         while True:
-            best = tree[live, 1]
-            some = best < (NONE << 20)
-            live, best = live[some], best[some]
+            best = tree[2 * width * live + 1]
+            some = best < none
+            if not some.all():
+                live, best = live[some], best[some].astype(np.int64)
             if not len(live):
                 break
-            at = best & 0xFFFFF
-            gone = after[live, at]
-            token[live, at] = best >> 20
-            token[live, gone] = -1
-            beyond = after[live, gone]
-            after[live, at] = beyond
-            update(live, gone, np.full(len(live), NONE << 20))
-            has = beyond >= 0
-            before[live[has], beyond[has]] = at[has]
-            value = np.full(len(live), NONE << 20)
-            value[has] = (self.pair(token[live[has], at[has]], token[live[has], beyond[has]]) << 20) | at[has]
-            update(live, at, value)
-            left = before[live, at]
-            has = left >= 0
-            update(live[has], left[has], (self.pair(token[live[has], left[has]], token[live[has], at[has]]) << 20) | left[has])
+            row = live << bits
+            at = row + (best & width - 1)
+            gone = row + after[at]
+            token[at] = best >> bits
+            token[gone] = -1
+            beyond = after[gone]
+            after[at] = beyond
+            tree[width + at + row] = none
+            tree[width + gone + row] = none
+            has = np.flatnonzero(beyond >= 0)
+            here, following = at[has], row[has] + beyond[has]
+            before[following] = here & width - 1
+            tree[width + here + row[has]] = leaf(here, following)
+            prior = before[at]
+            has = np.flatnonzero(prior >= 0)
+            left = row[has] + prior[has]
+            tree[width + left + row[has]] = leaf(left, at[has])
+            # The changed leaves' paths to the root, level by level for all of them.
+            node = width + np.concatenate([at, gone, left]) + np.concatenate([row, row, row[has]])
+            root = 2 * np.concatenate([row, row, row[has]])
+            node -= root
+            for _ in range(bits):
+                node >>= 1
+                child = root + 2 * node
+                tree[root + node] = np.minimum(tree[child], tree[child + 1])
         kept = token >= 0
-        flat_ids, counts = token[kept].tolist(), kept.sum(1).tolist()
-        out, k = [], 0
-        for c in counts:
-            out.append(flat_ids[k : k + c])
-            k += c
-        return out
+        data, ends = token[kept].astype(np.uint32).tobytes(), 4 * np.cumsum(kept.reshape(n, width).sum(1))
+        return [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
 @cache
@@ -204,53 +226,68 @@ def load(path: str) -> Ranks:
 
 
 class Encoder:
-    """Whole texts to ids, remembering the ids of the units between single spaces.
+    """Whole texts to ids, remembering the ids of units and of pieces seen lately.
 
     A space between two characters that aren't white space always begins a match of the pattern, so the
-    matches of a text are those of its units, each taken with the space before it.
+    matches of a text are those of its units, each taken with the space before it. A text in which a space
+    stands elsewhere is split by the pattern as a whole.
     """
 
     def __init__(self, path: str, pattern: str):
         self.ranks = load(path)
         own = pattern.replace(r"[^\s", f"[^{WHITE_SPACE}").replace(r"\S", f"[^{WHITE_SPACE}]").replace(r"\s", f"[{WHITE_SPACE}]")
         self.find = regex.compile(own).findall
-        self.units: dict[str, tuple[str, int, bytes]] = {}
-
-    def learn(self, units: set[str]) -> dict[str, tuple[str, int, bytes]]:
-        """For each unit its ids as a decimal string, their number, and the bytes they decode to; remembered while there is room."""
-        # Letters after at most one space are one match.
-        found = {u: [u] if u.isascii() and u[u[0] == " " :].isalpha() else self.find(u) for u in units}
-        fresh = list({p for ps in found.values() for p in ps})
-        text, back = self.ranks.text, self.ranks.bytes
-        known = {}
-        for p, ids in zip(fresh, self.ranks.encode_pieces([p.encode() for p in fresh]), strict=True):
-            known[p] = (text[ids[0]], 1, back[ids[0]]) if len(ids) == 1 else (",".join([text[i] for i in ids]), len(ids), b"".join([back[i] for i in ids]))
-        out = {}
-        for u, ps in found.items():
-            rows = [known[p] for p in ps]
-            out[u] = rows[0] if len(rows) == 1 else (",".join([r[0] for r in rows]), sum([r[1] for r in rows]), b"".join([r[2] for r in rows]))
-        if len(self.units) + len(out) <= REMEMBERED:
-            self.units.update(out)
-        return out
-
-    def units_of(self, text: str) -> list[str]:
-        if not text:
-            return []
-        if text[0] == " " or text[-1] == " " or any([pair in text for pair in UNEVEN]):
-            return self.find(text)
-        head, *rest = text.split(" ")
-        return [head, *[" " + x for x in rest]]
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[str, int, bytes]]:
-        """For each text: its ids joined by commas, their number, the bytes decoded from them."""
-        split = [self.units_of(t) for t in texts]
-        get = self.units.get
-        extra = self.learn(missing) if (missing := {u for us in split for u in us if u not in self.units}) else {}
-        for us in split:
-            rows = list(map(get, us))
-            if extra and None in rows:
-                rows = [r or extra[u] for r, u in zip(rows, us, strict=True)]
-            yield ",".join([r[0] for r in rows]), sum([r[1] for r in rows]), b"".join([r[2] for r in rows])
+        self.pieces, self.whole = Recent(REMEMBERED), Recent(REMEMBERED // 5)
+
+    def clear(self) -> None:
+        self.pieces.clear()
+        self.whole.clear()
+
+    def _pieces(self, texts: list[str]) -> list[bytes]:
+        """The ids of matches of the pattern."""
+        values, missing = self.pieces.look(texts)
+        if missing:
+            for i, ids in zip(missing, self.ranks.encode_bytes([texts[i].encode() for i in missing]), strict=True):
+                values[i] = ids
+                self.pieces.put(texts[i], ids)
+        return values
+
+    def _whole(self, units: list[str]) -> list[bytes]:
+        """The ids of any strings, each split by the pattern."""
+        values, missing = self.whole.look(units)
+        if missing:
+            split = [self.find(units[i]) for i in missing]
+            fresh = list({p for ps in split for p in ps})
+            of = dict(zip(fresh, self._pieces(fresh), strict=True))
+            for i, ps in zip(missing, split, strict=True):
+                values[i] = ids = b"".join([of[p] for p in ps])
+                self.whole.put(units[i], ids)
+        return values
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all texts, not in the texts' order, and where each text's begin and end."""
+        texts = filled(texts)
+        odd = np.asarray(pc.or_(pc.match_substring_regex(texts, UNEVEN), pc.equal(texts, "")), dtype=bool)
+        plain = np.flatnonzero(~odd)
+        number, units, first = words(texts.take(pa.array(plain)))
+        heads = units.take(pa.array(number[first[:-1]])).to_pylist()
+        split = [self.find(t) for t in texts.filter(pa.array(odd)).to_pylist()]
+        letters, others, marks, front, back = parted(units)
+        blobs = self._pieces([" " + u for u in letters]) + self._whole([" " + u for u in others])
+        nothing = len(blobs)
+        back += nothing
+        blobs += self._pieces(marks)
+        whole: dict[str, int] = {}
+        other = np.array([whole.setdefault(u, len(whole)) for us in (heads, *split) for u in us], np.int64) + len(blobs)
+        blobs += self._whole(list(whole))
+        sequence = np.stack([front[number], back[number]], 1)
+        sequence[first[:-1], 0], sequence[first[:-1], 1] = other[: len(heads)], nothing
+        ids, ends = gathered(blobs, np.concatenate([sequence.ravel(), other[len(heads) :]]))
+        begin, end = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        begin[plain], end[plain] = ends[2 * first[:-1]], ends[2 * first[1:]]
+        rest = sequence.size + np.cumsum([0, *map(len, split)])
+        begin[odd], end[odd] = ends[rest[:-1]], ends[rest[1:]]
+        return ids, begin, end
 
 
 @cache
@@ -260,7 +297,8 @@ def encoder(path: str, pattern: str) -> Encoder:
 
 def encode_ids(texts: list[str], path: str, pattern: str) -> list[list[int]]:
     """The ids of each text."""
-    return [[int(i) for i in ids.split(",")] if ids else [] for ids, _, _ in encoder(path, pattern).encode(texts)]
+    ids, begin, end = encoder(path, pattern).encode(pa.array(texts, pa.string()))
+    return [ids[a:b].tolist() for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
 
 
 def decode_ids(ids: list[int], path: str) -> bytes:
@@ -268,20 +306,41 @@ def decode_ids(ids: list[int], path: str) -> bytes:
     return b"".join([back[i] for i in ids])
 
 
+class Spelling:
+    """What each id is written as: its decimal digits and a comma, and the bytes that it decodes to."""
+
+    def __init__(self, ranks: Ranks):
+        self.digits = pa.array([f"{t}," for t in ranks.text], pa.large_string())
+        self.bytes = pa.array([ranks.bytes.get(i, b"") for i in range(len(ranks.text))], pa.large_binary())
+
+    @staticmethod
+    def sha256(spelt: pa.Array, ids: np.ndarray, begin: np.ndarray, end: np.ndarray, last: int) -> list[str]:
+        """Of each text, the digest of its ids' spellings one after another without the last bytes of the last."""
+        taken = spelt.take(pa.array(ids))
+        offsets = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
+        data = memoryview(taken.buffers()[2] or b"") if len(taken) else memoryview(b"")
+        return [hashlib.sha256(data[a : max(a, b - last)]).hexdigest() for a, b in zip(offsets[begin].tolist(), offsets[end].tolist(), strict=True)]
+
+
+@cache
+def spelling(path: str) -> Spelling:
+    return Spelling(load(path))
+
+
 def encoded(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        of = encoder(public_tokenizers.path(vocabulary), public_tokenizers.PATTERN)
-        for batch in text_slices(batches, "text"):
-            n, ids, back = [], [], []
-            for joined, count, data in of.encode([t or "" for t in batch.column(1).to_pylist()]):
-                n.append(count)
-                ids.append(hashlib.sha256(joined.encode()).hexdigest())
-                back.append(hashlib.sha256(data).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        path = public_tokenizers.path(vocabulary)
+        of, spelt = encoder(path, public_tokenizers.PATTERN), spelling(path)
+        claim("byte-level BPE", of.clear)
+        for batch in text_slices(batches, "text", ENCODE_BYTES):
+            ids, begin, end = of.encode(batch.column(1))
+            digits, back = spelt.sha256(spelt.digits, ids, begin, end, 1), spelt.sha256(spelt.bytes, ids, begin, end, 0)
+            del ids
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(end - begin), pa.array(digits, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return documents_view(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -6,8 +6,9 @@ session names in ``spark.checkpoint.dir`` (a folder of our own only where it is
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,27 @@ BROADCAST_ROWS = 500_000
 #: Bytes of text that a vectorised kernel works on at once; a longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
 #: Bytes that an Arrow batch to or from a Python worker holds, about; a longer row is a batch of its own.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
+
+
+_OWNERS: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, clear: Callable[[], None]) -> None:
+    """Says in a Python worker that ``owner`` keeps memory from here on: what other owners keep there is dropped."""
+    for name in [name for name in _OWNERS if name != owner]:
+        _OWNERS.pop(name)()
+    _OWNERS[owner] = clear
+    trim()
+
+
+def trim() -> None:
+    """Gives memory that a Python worker freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
