@@ -1,39 +1,56 @@
-"""Main text of web pages: structure where a page marks its article, repeated strings where it doesn't.
-
-Every page becomes a stream of text blocks. Blocks inside menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles or reader comments go, by element, role or the words of class and id.
-If the page has an article (or, without one, a main element), its blocks are the text. Otherwise blocks
-are checked against the host: strings of RUN tokens or more that occur on PAGES distinct pages or more
-are boilerplate and are cut out, and the unique runs stay, also within a block. Pages of equal token
-streams are one distinct page, so a page copied to any number of addresses keeps its text; a paragraph
-on two pages stays on both. No suffix array is sorted: suffixes are keyed by their leading RUN tokens,
-hashed to 64 bits, and counted. A longer string on PAGES pages has all its windows of RUN tokens on them,
-and each such window is a string itself, so the tokens covered are those a suffix array would give, save
-for clashes of hashes. Equal keys meet in one reducing row, so a host with any number of pages is spread
-over all tasks. Inside a marked article nothing is cut, so boilerplate that a site repeats there stays.
-
-Null html gives an empty text; null urls share one host. Character references are decoded, white space
-within a block becomes one space, blocks are joined by one line break. Repeated rows are pages of
-their own with the same page_id, which counts as one distinct page. An empty table gives no rows.
+"""Main text of web pages: a suffix array over each host's page token streams, with structure as a hint.
+
+Every page becomes a stream of text blocks; scripts, styles and other silent elements have none. Blocks in
+menus, headers, footers, sidebars, notices, adverts, forms or reader comments, told by element, role or the
+words of class and id, are ``BESIDE``; blocks in an article (or, without one, a main element) are ``INSIDE``;
+the others are ``PLAIN``. All of them make up the page's token stream, and the streams of a host are searched
+for strings of RUN tokens that PAGES distinct pages or more share; a longer string is covered by those in it.
+
+1. Streams are packed into slices in bundle files, written once; later steps move small rows only. As in
+   suffix_dedup, a string's anchor is its gram of GRAM tokens of least hash, so equal strings have equal
+   anchors, and only suffixes that begin at an anchor are sorted. Of a slice, the distinct anchors' hashes
+   go to hash ranges, which tell which occur often enough.
+2. Those suffixes are range-partitioned by host and leading tokens (then by page, so the suffixes of a large
+   host or a frequent string lie in many partitions) and sorted. Neighbours with equal leading tokens are
+   compared string by string and the distinct pages that have a string are counted.
+3. Strings of the groups at a partition's ends are counted across partitions by an aggregation.
+4. Per page: BESIDE blocks go. Of PLAIN blocks the covered runs are cut and the unique runs stay. INSIDE
+   blocks lose runs only if at least HALF of the host's distinct pages have them (and PAGES at least), since a
+   few articles may quote the same passage. If a page marks an article, PLAIN blocks count only if their
+   unique runs hold more tokens than the article, which then is a teaser.
+
+Pages of equal token streams are one distinct page, so a page copied to any number of addresses keeps its
+text. Null html gives an empty text; null urls share one host. Character references are decoded, white space
+within a block becomes one space, blocks are joined by one line break. Repeated rows are pages of their own;
+columns other than page_id, url and html are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navspark.llm.common import checked, same, table, text_slices, written
-from navspark.llm.textcore import U, mix
+from navspark.llm.common import checked, claim, scratch, table, text_slices, written
+from navspark.llm.suffix_dedup import RANGE_KEYS, SORT_BYTES, range_of, sliding_least
+from navspark.llm.textcore import U, Words, buffers, mix, prefix_hash, span_hash
+from navspark.llm.warc import place
 
-RUN = 8
+#: Tokens of a string and of its anchor's gram.
+RUN, GRAM = 8, 4
+W = RUN - GRAM + 1
 #: Distinct pages of a host that a string of boilerplate is on, at least; one on fewer may be a copied passage.
 PAGES = 3
+#: In a marked article it is on one of so many of the host's distinct pages, too.
+HALF = 2
+BESIDE, PLAIN, INSIDE = 0, 1, 2
 #: Elements whose contents are never text of the page.
 SILENT = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video", "select", "textarea", "title", "head"}
 #: Elements around the main text.
@@ -43,7 +60,7 @@ HEAD = {"base", "link", "meta", "title", "style", "script", "noscript", "templat
 #: Roles of such parts.
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog"}
 #: Words of class or id that name such parts.
-NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "promotion", "reader", "related", "replies", "reply", "responses", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
+NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "promotion", "related", "replies", "reply", "responses", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar"}
 #: Elements that begin a new block.
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 #: Elements without contents.
@@ -70,10 +87,10 @@ def _around(name: str, attributes: str, within: bool) -> bool:
     return name not in ("html", "body", "article", "main", "h1") and not NAMES.isdisjoint(words)
 
 
-def blocks(page: str) -> tuple[bool, list[str]]:
-    """Whether the page marks its main text, and the blocks to consider, in page order."""
-    stack: list[tuple[str, bool, str]] = []  # element, beside the text, article or main or neither
-    beside, kinds = 0, {"article": 0, "main": 0}
+def stream_blocks(page: str) -> list[tuple[int, str]]:
+    """The page's text blocks in order, each BESIDE, PLAIN or INSIDE."""
+    stack: list[tuple[str, bool, bool, str]] = []  # element, silent, beside the text, article or main or neither
+    silent, beside, kinds = 0, 0, {"article": 0, "main": 0}
     text: list[str] = []
     found: list[tuple[str, str]] = []
     seen: set[str] = set()
@@ -83,11 +100,12 @@ def blocks(page: str) -> tuple[bool, list[str]]:
             block = SPACE.sub(" ", html.unescape("".join(text))).strip()
             text.clear()
             if block:
-                found.append(("article" if kinds["article"] else "main" if kinds["main"] else "", block))
+                found.append(("beside" if beside else "article" if kinds["article"] else "main" if kinds["main"] else "", block))
 
     def close(k: int) -> None:
-        nonlocal beside
-        for _, b, kind in stack[k:]:
+        nonlocal silent, beside
+        for _, mute, b, kind in stack[k:]:
+            silent -= mute
             beside -= b
             if kind:
                 kinds[kind] -= 1
@@ -98,7 +116,7 @@ def blocks(page: str) -> tuple[bool, list[str]]:
         m = TOKEN.search(page, at)
         if stack and stack[-1][0] == "head" and (page[at : m.start()] if m else page[at:]).strip():
             close(len(stack) - 1)
-        if not beside:
+        if not silent:
             text.append(page[at : m.start()] if m else page[at:])
         if not m:
             break
@@ -109,6 +127,8 @@ def blocks(page: str) -> tuple[bool, list[str]]:
                 flush()
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
+                    if stack[k][2]:
+                        flush()
                     close(k)
                     break
         elif m[2]:
@@ -117,103 +137,303 @@ def blocks(page: str) -> tuple[bool, list[str]]:
                 close(len(stack) - 1)
             if name in BLOCKS or name in SILENT:
                 flush()
-            elif name == "br" and not beside:
+            elif name == "br" and not silent:
                 text.append(" ")
             if name in VOID or attributes.endswith("/"):
                 continue
             if stack and stack[-1][0] in CLOSES.get(name, ()):
                 close(len(stack) - 1)
             kind = name if name in kinds else ""
-            b = name in SILENT or _around(name, attributes, kinds["article"] > 0)
-            stack.append((name, b, kind))
+            mute, b = name in SILENT, _around(name, attributes, kinds["article"] > 0)
+            if b:
+                flush()
+            stack.append((name, mute, b, kind))
+            silent += mute
             beside += b
             if kind:
                 kinds[kind] += 1
-                if not beside:
+                if not beside and not silent:
                     seen.add(kind)
             if name in RAW_TEXT:
                 low = page.lower() if low is None else low
                 stop = low.find(f"</{name}", at)
                 at = end if stop < 0 else stop
     flush()
-    for kind in ("article", "main"):
-        if kind in seen:
-            return True, [b for k, b in found if k == kind or (k == "article" and kind == "main")]
-    return False, [b for _, b in found]
+    inside = {"article", "main"} if seen == {"main"} else seen
+    return [(BESIDE if k == "beside" else INSIDE if k in inside else PLAIN, b) for k, b in found]
 
 
-def _hash(tokens: list[str]) -> np.ndarray:
-    import xxhash
+def blocks(page: str) -> tuple[bool, list[str]]:
+    """Whether the page marks its main text, and the blocks that structure alone would choose."""
+    found = stream_blocks(page)
+    marked = any(k == INSIDE for k, _ in found)
+    return marked, [b for k, b in found if k == (INSIDE if marked else PLAIN)]
 
-    return np.array([xxhash.xxh64_intdigest(t) for t in tokens], U)
 
+def _number(text: str) -> int:
+    """A signed 64-bit hash."""
+    return int(np.uint64(xxhash.xxh64_intdigest(text)).view(np.int64))
 
-def runs(tokens: list[str]) -> np.ndarray:
-    """Hashed leading RUN tokens of each suffix that has as many."""
-    h = _hash(tokens)
-    if len(h) < RUN:
-        return np.zeros(0, np.int64)
-    out = h[: len(h) - RUN + 1].copy()
-    for k in range(1, RUN):
-        out = mix(out * U(0x9E3779B97F4A7C15) + h[k : k + len(out)])
-    return out.view(np.int64)
 
+#: What a slice of a bundle holds.
+PAGE = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.int64()), ("stream", pa.int64()), ("kinds", pa.list_(pa.int8())), ("blocks", pa.list_(pa.string()))])
+HOST = re.compile(r"[^/]*//([^/?#:]*)")
 
-def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, marked, blocks of each page."""
+
+def _packed(path: str) -> Callable:
+    """Pages to slices in one bundle file a task; rows: slice, file, at, size and the pages' hosts and streams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text"):
-            rows = [blocks(t or "") for t in batch.column(1).to_pylist()]
-            columns = [batch.column(0), batch.column(2), pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "marked", "blocks"])
+        claim("html text", lambda: None)
+        fs, root = place(path)
+        fs.create_dir(root, recursive=True)
+        context = TaskContext.get()
+        name = f"{context.partitionId():06d}-{context.taskAttemptId()}.blocks"
+        options, at, k = pa.ipc.IpcWriteOptions(compression="zstd"), 0, 0
+        with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
+            for batch in text_slices(batches, "text"):
+                found = [stream_blocks(t or "") for t in batch.column(1).to_pylist()]
+                urls = batch.column(2).to_pylist()
+                host = [_number(m[1].lower() if (m := HOST.match(u or "")) else "") for u in urls]
+                stream = [_number(" ".join(b for _, b in f)) for f in found]
+                rows = pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(host, pa.int64()), pa.array(stream, pa.int64()), pa.array([[h for h, _ in f] for f in found], pa.list_(pa.int8())), pa.array([[b for _, b in f] for f in found], pa.list_(pa.string()))], schema=PAGE)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, PAGE, options=options) as writer:
+                    writer.write_batch(rows)
+                data = sink.getvalue()
+                out.write(data)
+                pairs = sorted(set(zip(host, stream, strict=True)))
+                yield pa.RecordBatch.from_arrays([pa.array([context.partitionId() << 24 | k], pa.int64()), pa.array([name]), pa.array([at], pa.int64()), pa.array([len(data)], pa.int64()), pa.array([[{"host": h, "stream": x} for h, x in pairs]], pa.list_(pa.struct([("host", pa.int64()), ("stream", pa.int64())])))], ["slice", "file", "at", "size", "streams"])
+                at += len(data)
+                k += 1
+
+    return run
+
+
+class Streams:
+    """The token streams of a slice: tokens (hashes), first (of each page), and the anchors of their strings."""
+
+    def __init__(self, rows: pa.RecordBatch):
+        joined = pa.array(["\n".join(b) for b in rows.column("blocks").to_pylist()], pa.string())
+        data, offsets = buffers(joined)
+        words = Words(data, offsets)
+        self.tokens = span_hash(prefix_hash(data), words.start, words.end)
+        self.first = words.first
+        self.host, self.stream = rows.column("host").to_numpy(), rows.column("stream").to_numpy()
+        self.at = self.low = self.high = self.page = np.zeros(0, np.int64)
+        self.hash = np.zeros(0, U)
+        n = len(self.tokens) - GRAM + 1
+        last = words.first[1:][words.text]
+        starts = np.flatnonzero(np.arange(len(self.tokens)) + RUN <= last)
+        if not len(starts):
+            return
+        grams = mix(self.host.view(U))[words.text[:n]]
+        for k in range(GRAM):
+            grams = mix(grams ^ self.tokens[k : k + n])
+        least = sliding_least((grams & U(0xFFFFFFFF00000000)) | np.arange(n, dtype=U), W)
+        anchor = (least[starts] & U(0xFFFFFFFF)).astype(np.int64)
+        new = np.ones(len(starts), bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)
+        begin = np.flatnonzero(new)
+        self.at, self.low, self.high = anchor[begin], starts[begin], starts[np.append(begin[1:], len(starts)) - 1]
+        self.hash, self.page = grams[self.at], words.text[self.low]
+
+
+def _read(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(slice, its pages, further columns) of each manifest row."""
+    fs, root = place(path)
+    for batch in batches:
+        for slice_, name, at, size, *more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            with fs.open_input_file(f"{root}/{name}") as file:
+                data = file.read_at(size, at)
+            with pa.ipc.open_stream(data) as reader:
+                yield slice_, reader.read_next_batch(), more
 
-    view = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("text"), F.col("url").cast("string").alias("url"))
-    return view.mapInArrow(run, "page_id long, url string, marked boolean, blocks array<string>").withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[^/]*//([^/?#:]*)", 1)))
 
+def _send(path: str, ranges: int) -> Callable:
+    """Each slice's distinct anchors (the low half of their hashes) with how many pages' streams have them, by hash range."""
 
-def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row, host, page_id, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            key = np.unique(runs([t for b in found for t in b.split(" ")]))
-            n = len(key)
-            yield pa.RecordBatch.from_arrays([pa.array([row] * n, pa.int64()), pa.array([host] * n, pa.string()), pa.array([page_id] * n, pa.int64()), pa.array(key, pa.int64())], ["row", "host", "page_id", "key"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for slice_, rows, _ in _read(path, batches):
+            s = Streams(rows)
+            hashes, counts = np.unique(s.hash, return_counts=True)
+            used, begin = np.unique(range_of(hashes, ranges), return_index=True)
+            ends = np.append(begin[1:], len(hashes))
+            low, times = (hashes & U(0xFFFFFFFF)).astype(np.uint32), np.minimum(counts, 255).astype(np.uint8)
+            columns = [pa.array(used.astype(np.int32)), pa.array([slice_] * len(used), pa.int64()), pa.array([low[a:b].tobytes() for a, b in zip(begin, ends, strict=True)], pa.binary()), pa.array([times[a:b].tobytes() for a, b in zip(begin, ends, strict=True)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["range", "slice", "keys", "times"])
+
+    return run
 
 
-def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _meet(rows: pa.Table) -> pa.Table:
+    """Which anchors of each slice occur PAGES times or more in all."""
+    keys = [np.frombuffer(x, np.uint32) for x in rows.column("keys").to_pylist()]
+    times = np.frombuffer(b"".join(rows.column("times").to_pylist()), np.uint8)
+    _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    often = (np.bincount(inverse, weights=times) >= PAGES)[inverse]
+    masks = [np.packbits(x).tobytes() for x in np.split(often, np.cumsum([len(k) for k in keys])[:-1])]
+    return pa.table({"range": rows.column("range"), "slice": rows.column("slice"), "mask": pa.array(masks, pa.binary())})
+
+
+SUFFIX = "host long, lead binary, stream long, slice long, page int, low int, around binary"
+
+
+def _emit(path: str, ranges: int) -> Callable:
+    """The suffixes at frequent anchors: leading tokens, page, first string's place in it, and the tokens of the strings around."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for slice_, rows, (masks,) in _read(path, batches):
+            s = Streams(rows)
+            hashes, inverse = np.unique(s.hash, return_inverse=True)
+            sizes = np.bincount(range_of(hashes, ranges), minlength=1)
+            often = np.concatenate([np.zeros(0, np.uint8), *(np.unpackbits(np.frombuffer(m["mask"], np.uint8), count=sizes[m["range"]]) for m in sorted(masks, key=lambda m: m["range"]))])
+            tokens = (s.tokens >> U(32)).astype(">u4")
+            chosen = np.flatnonzero(often[inverse])
+            for k in range(0, len(chosen), 8192):
+                pick = chosen[k : k + 8192]
+                low, high, at, page = s.low[pick], s.high[pick], s.at[pick], s.page[pick]
+                around = [tokens[a : b + RUN].tobytes() for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+                lead = [tokens[a : a + GRAM].tobytes() for a in at.tolist()]
+                columns = [pa.array(s.host[page]), pa.array(lead, pa.binary()), pa.array(s.stream[page]), pa.array(np.full(len(pick), slice_)), pa.array(page.astype(np.int32)), pa.array((low - s.first[page]).astype(np.int32)), pa.array(around, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["host", "lead", "stream", "slice", "page", "low", "around"])
+
+    return run
+
+
+FOUND = "host long, key long, stream long, slice long, page int, start int, pages int"
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Strings that PAGES distinct pages or more share within a partition; those of a group at its ends with a null for the pages."""
+    held: list[pa.RecordBatch] = []
+    ends: set[tuple] = set()  # groups that may go on in another partition, or that were taken in pieces
+
+    def names(part: pa.RecordBatch) -> list[tuple]:
+        return list(zip(part.column("host").to_pylist(), part.column("lead").to_pylist(), strict=True))
+
+    def work(part: pa.RecordBatch, group: list[tuple]) -> pa.RecordBatch:
+        sizes = np.diff(np.concatenate([[0], np.cumsum([len(x) // 4 for x in part.column("around").to_pylist()])])).astype(np.int64)
+        tokens = np.frombuffer(b"".join(part.column("around").to_pylist()), ">u4").astype(U)
+        strings = sizes - RUN + 1
+        row = np.repeat(np.arange(len(sizes)), strings)
+        within = np.arange(len(row)) - np.repeat(np.cumsum(strings) - strings, strings)
+        start = np.repeat(np.cumsum(sizes) - sizes, strings) + within
+        hashes = mix(part.column("host").to_numpy().view(U))[row]
+        for k in range(RUN):
+            hashes = mix(hashes ^ tokens[start + k])
+        stream = part.column("stream").to_numpy()[row]
+        unique, number = np.unique(hashes, return_inverse=True)
+        pair = np.unique(np.stack([number, np.unique(stream, return_inverse=True)[1]]), axis=1)
+        pages = np.bincount(pair[0], minlength=len(unique))[number]
+        at_end = np.array([g in ends for g in group])[row]
+        e = np.flatnonzero(at_end | (pages >= PAGES))
+        take = lambda name: part.column(name).take(pa.array(row[e]))
+        columns = [take("host"), pa.array(hashes[e].view(np.int64)), take("stream"), take("slice"), take("page"), pa.array((part.column("low").to_numpy()[row] + within)[e].astype(np.int32)), pa.array(pages[e].astype(np.int32), mask=at_end[e])]
+        return pa.RecordBatch.from_arrays(columns, ["host", "key", "stream", "slice", "page", "start", "pages"])
+
+    def flush(last: bool) -> Iterator[pa.RecordBatch]:
+        merged = pa.Table.from_batches(held).combine_chunks().to_batches()
+        held.clear()
+        if not merged:
+            return
+        part = merged[0]
+        group = names(part)
+        if not ends:
+            ends.add(group[0])
+        cut = len(group)
+        if last:
+            ends.add(group[-1])
+        else:
+            while cut and group[cut - 1] == group[-1]:
+                cut -= 1
+            if not cut:  # one group fills it: its pieces are compared like those of several partitions
+                ends.add(group[0])
+                cut = len(group)
+        yield work(part.slice(0, cut), group[:cut])
+        if cut < len(group):
+            held.append(part.slice(cut))
+
+    rows = 0
     for batch in batches:
-        out = []
-        for found, shared in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            tokens = [b.split(" ") for b in found]
-            keys = runs([t for b in tokens for t in b])
-            marks = np.zeros(sum(map(len, tokens)) + 1, np.int64)
-            for k in np.flatnonzero(np.isin(keys, np.array(shared or [], np.int64))):
-                marks[k] += 1
-                marks[min(len(marks) - 1, k + RUN)] -= 1
-            covered, at, kept = np.cumsum(marks) > 0, 0, []
-            for b, t in zip(found, tokens, strict=True):
-                gone = covered[at : at + len(t)]
-                if not gone.all():
-                    kept.append(" ".join(w for w, g in zip(t, gone.tolist(), strict=True) if not g) if gone.any() else b)
-                at += len(t)
-            out.append("\n".join(kept))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= 50_000:
+            yield from flush(False)
+            rows = sum(b.num_rows for b in held)
+            if rows >= 50_000:
+                rows = 0
+    if held:
+        yield from flush(True)
+
+
+def main_text(kinds: list[int], found: list[str], shared: np.ndarray, wide: np.ndarray) -> str:
+    """What stays of a page's blocks; shared and wide: for each token, whether PAGES and whether most pages have it."""
+    lengths = [b.count(" ") + 1 for b in found]
+    ends = np.cumsum([0, *lengths])
+    marked = sum(n for k, n in zip(kinds, lengths, strict=True) if k == INSIDE)
+    alone = sum(int((~shared[a:b]).sum()) for k, a, b in zip(kinds, ends[:-1], ends[1:], strict=True) if k == PLAIN)
+    plain = not marked or alone > marked
+    kept = []
+    for k, b, at, end in zip(kinds, found, ends[:-1], ends[1:], strict=True):
+        if k == INSIDE or (k == PLAIN and plain):
+            gone = (wide if k == INSIDE else shared)[at:end]
+            if not gone.any():
+                kept.append(b)
+            elif not gone.all():
+                kept.append(" ".join(t for t, g in zip(b.split(" "), gone.tolist(), strict=True) if not g))
+    return "\n".join(kept)
+
+
+def _finish(path: str) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows, (runs,) in _read(path, batches):
+            of: dict[int, list] = {}
+            for r in runs or []:
+                of.setdefault(r["page"], []).append((r["start"], r["wide"]))
+            out = []
+            for i, (kinds, found) in enumerate(zip(rows.column("kinds").to_pylist(), rows.column("blocks").to_pylist(), strict=True)):
+                n = sum(b.count(" ") + 1 for b in found)
+                shared, wide = np.zeros(n, bool), np.zeros(n, bool)
+                for start, w in of.get(i, ()):
+                    shared[start : start + RUN] = True
+                    if w:
+                        wide[start : start + RUN] = True
+                out.append(main_text(kinds, found, shared, wide))
+            yield pa.RecordBatch.from_arrays([rows.column("page_id"), rows.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
+
+    return run
+
+
+def shared_strings(manifest: DataFrame, path: str) -> DataFrame:
+    """slice, page, start, wide: the strings of RUN tokens that PAGES distinct pages of a host share; wide: so many of the host's pages."""
+    slices = manifest.select("slice", "file", "at", "size")
+    size = manifest.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    total, parts = 4 * size["b"], max(1, -(-size["n"] // 4))
+    ranges = max(1, total // (35 * RANGE_KEYS))
+    sent = slices.repartition(parts).mapInArrow(_send(path, ranges), "range int, slice long, keys binary, times binary")
+    masks = sent.groupBy("range").applyInArrow(_meet, "range int, slice long, mask binary").groupBy("slice").agg(F.collect_list(F.struct("range", "mask")).alias("masks"))
+    chosen = slices.join(masks, "slice").select("slice", "file", "at", "size", "masks")
+    around = written(chosen.repartition(parts).mapInArrow(_emit(path, ranges), SUFFIX), "html-suffixes")
+    order = ["host", "lead", "stream", "slice", "page", "low"]
+    buckets = max(8, -(-around.count() * 100 // SORT_BYTES))
+    found = written(around.repartitionByRange(buckets, *order).sortWithinPartitions(*order).mapInArrow(_compare, FOUND), "html-found")
+    edge = found.where("pages is null").drop("pages")
+    counted = edge.select("key", "stream").distinct().groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("pages")).where(F.col("pages") >= PAGES)
+    crossing = edge.join(checked(written(counted, "html-edges")), "key")
+    hosts = manifest.select(F.explode("streams").alias("s")).select("s.host", "s.stream").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("all"))
+    every = found.where("pages is not null").select("host", "slice", "page", "start", "pages").unionByName(crossing.select("host", "slice", "page", "start", "pages"))
+    return every.join(checked(written(hosts, "html-hosts")), "host").select("slice", "page", "start", (HALF * F.col("pages") >= F.col("all")).alias("wide"))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text of every page."""
-    rows = written(parsed(pages).withColumn("row", F.monotonically_increasing_id()), "html-blocks")
-    done = rows.where("marked or size(blocks) = 0").select("page_id", "url", F.array_join("blocks", "\n").alias("text"))
-    rest = rows.where("not marked and size(blocks) > 0")
-    suffix = written(rest.select("row", "host", "page_id", "blocks").mapInArrow(_suffixes, "row long, host string, page_id long, key long"), "html-suffixes")
-    # Of rows with equal token streams one counts; of the others those that share a page_id do so once.
-    first = rest.groupBy("host", F.sha2(F.array_join("blocks", " "), 256).alias("stream")).agg(F.min("row").alias("row")).select("row")
-    page = F.struct("page_id", F.when(F.col("page_id").isNull(), F.col("row")))
-    many = suffix.join(first, "row", "left_semi").groupBy("host", "key").agg(F.count_distinct(page).alias("pages")).where(F.col("pages") >= PAGES)
-    many = many.select(F.col("host").alias("m_host"), F.col("key").alias("m_key"))
-    shared = suffix.join(many, same(suffix, many, {"host": "m_host", "key": "m_key"}), "left_semi").groupBy("row").agg(F.collect_list("key").alias("shared"))
-    kept = rest.join(shared, "row", "left").select("page_id", "url", "blocks", "shared").mapInArrow(_keep, "page_id long, url string, text string")
-    return done.unionByName(kept)
+    path = scratch(pages.sparkSession, "html")
+    view = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("text"), F.col("url").cast("string").alias("url"))
+    manifest = written(view.mapInArrow(_packed(path), "slice long, file string, at long, size long, streams array<struct<host:long,stream:long>>"), "html-slices")
+    runs = shared_strings(manifest, path).groupBy("slice").agg(F.collect_list(F.struct("page", "start", "wide")).alias("runs"))
+    done = manifest.select("slice", "file", "at", "size").join(runs, "slice", "left").select("slice", "file", "at", "size", "runs")
+    return done.mapInArrow(_finish(path), "page_id long, url string, text string")
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

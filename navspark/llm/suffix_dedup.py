@@ -99,7 +99,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k += 1
 
 
-def _ranges(hashes: np.ndarray, ranges: int) -> np.ndarray:
+def range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
     return ((hashes >> U(32)) * U(ranges) >> U(32)).astype(np.int64)
 
 
@@ -108,7 +108,7 @@ def _send(ranges: int):
         for batch in batches:
             for slice_, _, _, offsets, data, _ in _unpacked(batch):
                 hashes, counts = np.unique(Anchors(data, offsets).hash, return_counts=True)
-                into = _ranges(hashes, ranges)
+                into = range_of(hashes, ranges)
                 used, begin = np.unique(into, return_index=True)
                 ends = np.append(begin[1:], len(hashes))
                 low, twice = (hashes & U(0xFFFFFFFF)).astype(np.uint32), counts > 1
@@ -137,7 +137,7 @@ def _emit(ranges: int):
             for slice_, ords, digests, offsets, data, (masks,) in _unpacked(batch):
                 anchors = Anchors(data, offsets)
                 hashes, inverse = np.unique(anchors.hash, return_inverse=True)
-                sizes = np.bincount(_ranges(hashes, ranges), minlength=1)
+                sizes = np.bincount(range_of(hashes, ranges), minlength=1)
                 repeated = np.concatenate([np.zeros(0, np.uint8), *(np.unpackbits(np.frombuffer(m["mask"], np.uint8), count=sizes[m["range"]]) for m in sorted(masks, key=lambda m: m["range"]))])
                 chosen = np.flatnonzero(repeated[inverse])
                 tie = digests.view(np.int64)[::2]

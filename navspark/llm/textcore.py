@@ -38,6 +38,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE_CODE = mix(np.arange(1, 257, dtype=U) * BASE)
 
 
+#: Numbers of powers that a worker keeps.
+KEPT = (258 << 10, 1025 << 10)
+
+
 @cache
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = pow(int(BASE), -1, 1 << 64)
@@ -48,13 +52,11 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of BASE and of its inverse modulo 2**64, from the exponent 0."""
-    n = 1 << 20
-    while n < size:
-        n *= 2
-    if n > 1 << 22:
-        _powers.cache_clear()
-    up, down = _powers(n)
-    return up[:size], down[:size]
+    for kept in KEPT:
+        if size <= kept:
+            up, down = _powers(kept)
+            return up[:size], down[:size]
+    return _powers.__wrapped__(size)  # for one very long text; not kept
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
