@@ -3,8 +3,9 @@
 Base rules fail a text with fewer than MIN_WORDS words, or with more than REPEAT_PERCENT per cent of its
 words in five-word windows that it holds twice or more. The classifier is a logistic regression over the
 mean weight of a text's word n-grams (1, 2) and byte n-grams (3, 4), each hashed to 2**HASH_BITS places. It is
-trained here on labelled rows (label 1: good), on a bounded sample: the SAMPLE labelled documents of
-least seeded hash. A quarter of the sample is held out and Platt scaling fits probabilities on it. A text
+trained here on labelled rows (label 1: good), on a bounded sample: of each class the SAMPLE / 2 labelled
+documents of least seeded hash. A quarter of each is held out and Platt scaling fits probabilities on it
+(on the training rows where that leaves a class without rows). A text
 that passes the base rules is kept when its probability of being good is at least THRESHOLD.
 
 Null texts have no words and fail. doc_ids may be null or repeat; a null doc_id has no label, and of
@@ -18,12 +19,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navspark.llm.common import checked, documents_view, table, text_slices, written
+from navspark.llm.common import claim, documents_view, small_batches, table, text_slices, trim, written
 from navspark.llm.textcore import BASE, BYTE_CODE, U, Words, buffers, mix, prefix_hash, span_hash, sums, windows
 
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
@@ -32,6 +32,8 @@ HASH_BITS, SAMPLE, ROUNDS, THRESHOLD, SEED = 18, 2_000, 150, 0.5, 11
 SYMBOLS = b"#*$%&|<>"
 IS_SYMBOL = np.zeros(256, bool)
 IS_SYMBOL[list(SYMBOLS)] = True
+#: Bytes of text that are judged together; features of a part of the training rows, about.
+SCORE_BYTES, PART_FEATURES = 256 << 10, 1 << 20
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -148,32 +150,45 @@ def _sparse(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def fit(texts: pa.Array, good: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float, float, float]:
     """weights, bias, and slope and shift of the calibration."""
-    held = np.arange(len(good)) % 4 == 3
-    keep = np.flatnonzero(~held)
+    held = np.zeros(len(good), bool)
+    for of in (0, 1):  # every fourth row of each class
+        held[np.flatnonzero(good == of)[3::4]] = True
     one = pa.RecordBatch.from_arrays([texts], ["text"])
-    sparse = [x for part in text_slices([one], "text") for x in _sparse(part.column(0))]
-    index, share = np.concatenate([sparse[i][0] for i in keep]), np.concatenate([sparse[i][1] for i in keep])
-    row = np.repeat(np.arange(len(keep), dtype=np.int32), [len(sparse[i][0]) for i in keep])
-    sparse = [sparse[i] for i in np.flatnonzero(held)]
+    sparse = [x for part in text_slices([one], "text", SCORE_BYTES) for x in _sparse(part.column(0))]
+    keep = np.flatnonzero(~held)
+    index, share = [sparse[i][0] for i in keep], [sparse[i][1] for i in keep]
     y = good[keep].astype(float)
     rate = np.clip(np.array([1 - y.mean(), y.mean()]), 1e-3, 1)
     cost = np.where(y > 0, 0.5 / rate[1], 0.5 / rate[0])
     cost /= cost.sum()
     size = 4 << HASH_BITS
+    # Rows are taken in parts of about PART_FEATURES features, so the work space doesn't grow with the texts.
+    ends = np.cumsum([len(x) for x in index])
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(PART_FEATURES, ends[-1], PART_FEATURES)) + 1, [len(index)]]))
+    parts = [(a, b, np.concatenate(index[a:b]), np.concatenate(share[a:b]), np.repeat(np.arange(b - a, dtype=np.int32), [len(x) for x in index[a:b]])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    del index, share
     # Adagrad over the whole sample; features are shares, so steps are large.
-    w, b, gw, gb = np.zeros(size), 0.0, np.full(size, 1e-12), 1e-12
-    used = np.unique(index)
+    w, b0, gw, gb = np.zeros(size), 0.0, np.full(size, 1e-12), 1e-12
+    used = np.zeros(size, bool)
+    for _, _, at, _, _ in parts:
+        used[at] = True
     for _ in range(rounds):
-        z = np.bincount(row, w[index] * share, len(y)) + b
-        r = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * cost
-        g = np.bincount(index, (r[row] * share).astype(np.float32), size)[used] + 1e-9 * w[used]
-        gw[used] += g * g
-        gb += r.sum() ** 2
-        w[used] -= 1.0 * g / np.sqrt(gw[used])
-        b -= 0.1 * r.sum() / np.sqrt(gb)
-    z = np.array([w[features] @ shares + b for features, shares in sparse])
-    slope, shift = platt(z, good[held])
-    return w.reshape(4, -1), b, slope, shift
+        g, total = np.zeros(size), 0.0
+        for a, b, at, part, row in parts:
+            z = np.bincount(row, w[at] * part, b - a) + b0
+            r = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[a:b]) * cost[a:b]
+            g += np.bincount(at, (r[row] * part).astype(np.float32), size)
+            total += r.sum()
+        g = np.where(used, g + 1e-9 * w, 0)
+        gw += g * g
+        gb += total**2
+        w -= g / np.sqrt(gw)
+        b0 -= 0.1 * total / np.sqrt(gb)
+    # With no row of a class held out, the training rows calibrate.
+    of = np.flatnonzero(held) if 0 < good[held].sum() < held.sum() else keep
+    z = np.array([w[sparse[i][0]] @ sparse[i][1] + b0 for i in of])
+    slope, shift = platt(z, good[of])
+    return w.reshape(4, -1), b0, slope, shift
 
 
 def platt(z: np.ndarray, good: np.ndarray) -> tuple[float, float]:
@@ -192,50 +207,60 @@ def platt(z: np.ndarray, good: np.ndarray) -> tuple[float, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, seed: int = SEED) -> bytes | None:
-    """The model, or None if one of the classes has too few labelled rows. One task trains on at most ``sample`` rows."""
+    """The model, or None if one of the classes has no labelled text. One task trains on at most ``sample`` rows, half of each class."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(label).cast("int").alias("good"))
     # The sample is drawn among the ids first, so only its texts are moved.
     ids = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("id")).distinct()
-    drawn = written(known.join(ids, "id", "left_semi").orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample), "quality-sample")
+    known = known.join(ids, "id", "left_semi")
+    half = [known.where(F.col("good") == of).orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample // 2) for of in (0, 1)]
+    drawn = written(half[0].unionByName(half[1]), "quality-sample")
     view = documents_view(docs).where("text is not null")
     texts = view.join(F.broadcast(drawn), view["doc_id"] == drawn["id"]).groupBy("id", "good").agg(F.min("text").alias("text"))
 
     def run(rows: pa.Table) -> pa.Table:
+        claim("quality", lambda: None)
         rows = rows.combine_chunks().sort_by("id")
         good = rows.column("good").to_numpy()
-        if min(good.sum(), (1 - good).sum()) < 8:
+        if good.min() == good.max():
             return pa.table({"model": pa.array([], pa.binary())})
         text = rows.column("text").combine_chunks()
         text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
         weights, bias, slope, shift = fit(text, good)
+        trim()
         return pa.table({"model": pa.array([np.array([bias, slope, shift]).tobytes() + weights.astype(np.float32).tobytes()], pa.binary())})
 
     found = texts.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(run, "model binary").collect()  # one row of fixed size
     return bytes(found[0]["model"]) if found else None
 
 
-def judged(docs: DataFrame, model: bytes | None) -> DataFrame:
-    """doc_id, the measures, base_failed, probability, kept of every row."""
-    return _judged(documents_view(docs), model, []).select("doc_id", *MEASURES, "base_failed", "probability", "kept")
+class Judge:
+    """Measures and verdicts of texts under a model."""
+
+    def __init__(self, blob: bytes | None):
+        self.blob = blob
+        if blob:
+            (self.bias, self.slope, self.shift), self.weights = np.frombuffer(blob[:24]), np.frombuffer(blob, np.float32, offset=24).reshape(4, -1)
 
+    def of(self, column: pa.Array) -> list[pa.Array]:
+        """The measures, base_failed, probability, kept."""
+        part = Slice(column)
+        m = part.measures()
+        failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > REPEAT_PERCENT * m["n_words"])
+        p = 1 / (1 + np.exp(-np.clip(self.slope * score(part, self.weights, self.bias) + self.shift, -30, 30))) if self.blob else np.ones(len(column))
+        return [*(pa.array(m[k]) for k in MEASURES), pa.array(failed), pa.array(p), pa.array(~failed & (p >= THRESHOLD))]
 
-def _judged(view: DataFrame, model: bytes | None, extra: list[str]) -> DataFrame:
-    shared = view.sparkSession.sparkContext.broadcast(model)
+
+def judged(docs: DataFrame, model: bytes | None) -> DataFrame:
+    """doc_id, the measures, base_failed, probability, kept of every row."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blob = shared.value
-        if blob:
-            (bias, slope, shift), weights = np.frombuffer(blob[:24]), np.frombuffer(blob, np.float32, offset=24).reshape(4, -1)
-        for batch in text_slices(batches, "text"):
-            part = Slice(batch.column(1))
-            m = part.measures()
-            failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > REPEAT_PERCENT * m["n_words"])
-            p = 1 / (1 + np.exp(-np.clip(slope * score(part, weights, bias) + shift, -30, 30))) if blob else np.ones(batch.num_rows)
-            columns = [batch.column(0), *(pa.array(m[k]) for k in MEASURES), pa.array(failed), pa.array(p), pa.array(~failed & (p >= THRESHOLD))]
-            yield pa.RecordBatch.from_arrays([*columns, *(batch.column(2 + k) for k in range(len(extra)))], [*NAMES, *extra])
+        claim("quality", lambda: None)
+        judge = Judge(shared.value)
+        for batch in text_slices(batches, "text", SCORE_BYTES):
+            yield pa.RecordBatch.from_arrays([batch.column(0), *judge.of(batch.column(1))], NAMES)
 
-    kinds = ", ".join(f"{c} {view.schema[c].dataType.simpleString()}" for c in extra)
-    return view.mapInArrow(run, SCHEMA + (f", {kinds}" if kinds else ""))
+    return documents_view(docs).mapInArrow(run, SCHEMA)
 
 
 NAMES = ("doc_id", *MEASURES, "base_failed", "probability", "kept")
@@ -243,9 +268,23 @@ SCHEMA = "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES) + ", base_fa
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, with all their columns."""
-    packed = documents_view(docs, F.struct("*").alias("row"))
-    return _judged(packed, train(docs, labels), ["row"]).where("kept").select("row.*")
+    """The rows of docs that are kept, with all their columns. A row goes to a worker and back once, its text as a part of it."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    at = [c.lower() for c in docs.columns].index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality", lambda: None)
+        judge = Judge(shared.value)
+        for batch in batches:
+            rows = batch.column(0)
+            text = pa.RecordBatch.from_struct_array(rows).column(at).cast(pa.string())
+            kept = [judge.of(part.column(0))[-1] for part in text_slices([pa.RecordBatch.from_arrays([text], ["text"])], "text", SCORE_BYTES)]
+            if kept:
+                yield pa.RecordBatch.from_arrays([rows.filter(pa.concat_arrays(kept))], ["row"])
+
+    packed = docs.select(F.struct("*").alias("row"))
+    return packed.mapInArrow(run, packed.schema).select("row.*")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
