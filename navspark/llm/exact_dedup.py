@@ -18,14 +18,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from navspark.llm import fuse
-from navspark.llm.common import checked, documents_view, same, table, text_slices, written
+from navspark.llm.common import checked, claim, documents_view, same, table, text_slices, written
 
 #: Snapshot digests that one filter shard holds, about.
 SHARD_KEYS = 250_000
@@ -36,6 +35,7 @@ def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, sha binary, th long): digest of the normalised text and a hash of the raw one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("exact dedup", lambda: None)
         for batch in text_slices(batches, "text"):
             texts = batch.column(1).to_pylist()
             sha = [hashlib.sha256((t or "").encode().lower()).digest() for t in texts]  # bytes.lower() is A-Z only
@@ -48,18 +48,18 @@ def raw_hash(text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")), F.col(text).isNull())
 
 
-def _keys(sha: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(x[:8] for x in sha), np.uint64)
+def _keys(sha: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join([x[:8] for x in sha.to_pylist()]), np.uint64)
 
 
-def _build(group: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"shard": group["shard"].iloc[:1], "filter": [fuse.build(_keys(group["sha"]))]})
+def _build(group: pa.Table) -> pa.Table:
+    return pa.table({"shard": group.column("shard")[:1].combine_chunks(), "filter": pa.array([fuse.build(_keys(group.column("sha")))], pa.binary())})
 
 
-def _screen(batch: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
-    if not len(batch) or not len(filters):
-        return batch[["sha", "keep_id"]].iloc[:0]
-    return batch.loc[fuse.contains(filters["filter"].iloc[0], _keys(batch["sha"])), ["sha", "keep_id"]]
+def _screen(batch: pa.Table, filters: pa.Table) -> pa.Table:
+    if not batch.num_rows or not filters.num_rows:
+        return batch.select(["sha", "keep_id"]).slice(0, 0)
+    return batch.select(["sha", "keep_id"]).filter(pa.array(fuse.contains(filters.column("filter")[0].as_py(), _keys(batch.column("sha")))))
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
@@ -68,28 +68,28 @@ def _grouped(rows: DataFrame) -> DataFrame:
 
 def differing(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The digests of pairs (sha, a, b) whose two documents' normalised texts aren't the same bytes."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "exact-ids")
+    each = pairs.select("sha", F.lower(F.hex("sha")).alias("h"), F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = written(each.select("id").distinct(), "exact-ids")
     view = documents_view(docs)
-    texts = view.join(checked(ids), same(view, ids, {"doc_id": "id"}), "left_semi").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
-    low = texts.select("doc_id", F.translate("t", UPPER, LOWER).alias("t")).withColumn("h", F.sha2("t", 256))
-    pairs = pairs.withColumn("h", F.lower(F.hex("sha")))
-    left = pairs.join(low.alias("x"), (pairs["h"] == F.col("x.h")) & pairs["a"].eqNullSafe(F.col("x.doc_id")))
-    both = left.join(low.alias("y"), (pairs["h"] == F.col("y.h")) & pairs["b"].eqNullSafe(F.col("y.doc_id")))
-    return both.groupBy("sha").agg(F.max(F.col("x.t") == F.col("y.t")).alias("equal")).where(~F.col("equal")).select("sha")
+    texts = view.join(checked(ids), same(view, ids, {"doc_id": "id"}), "left_semi")
+    low = texts.select("doc_id", F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER).alias("t")).withColumn("d", F.sha2("t", 256))
+    both = low.join(checked(each), (low["d"] == each["h"]) & low["doc_id"].eqNullSafe(each["id"]))
+    return both.groupBy("sha").agg((F.min("t") == F.max("t")).alias("equal")).where(~F.col("equal")).select("sha")
 
 
 def against_snapshots(docs: DataFrame, rows: DataFrame, is_snapshot: Column) -> DataFrame:
-    """(sha, side, keep_id, group_size) of all groups; side is 1 for batch groups whose bytes differ from the snapshot's."""
+    """(sha, old, new) of all digests: structs keep_id, group_size of the snapshots' rows and of the batch's; new is null where the batch joins the snapshots' group."""
     snapshot, batch = written(_grouped(rows.where(is_snapshot)), "exact-snapshot"), written(_grouped(rows.where(~is_snapshot)), "exact-batch")
     shards = max(1, -(-snapshot.count() // SHARD_KEYS))
     shard = F.pmod(F.xxhash64("sha"), F.lit(shards)).cast("int")
-    filters = snapshot.select("sha", shard.alias("shard")).groupBy("shard").applyInPandas(_build, "shard int, filter binary")
-    positive = batch.select("sha", "keep_id", shard.alias("shard")).groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(_screen, "sha binary, keep_id long")
+    filters = snapshot.select("sha", shard.alias("shard")).groupBy("shard").applyInArrow(_build, "shard int, filter binary")
+    positive = batch.select("sha", "keep_id", shard.alias("shard")).groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(_screen, "sha binary, keep_id long")
     pairs = written(positive.join(snapshot.select("sha", F.col("keep_id").alias("b")), "sha").select("sha", F.col("keep_id").alias("a"), "b"), "exact-pairs")
     apart = differing(docs, pairs).withColumn("side", F.lit(1))
     batch = batch.join(F.broadcast(apart) if apart.limit(2).count() < 2 else apart, "sha", "left")
     both = snapshot.withColumn("side", F.lit(0)).unionByName(batch.withColumn("side", F.coalesce("side", F.lit(0))))
-    return both.groupBy("sha", "side").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    found = both.groupBy("sha", "side").agg(F.struct(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size")).alias("g"))
+    return found.groupBy("sha").agg(F.max(F.when(F.col("side") == 0, F.col("g"))).alias("old"), F.max(F.when(F.col("side") == 1, F.col("g"))).alias("new"))
 
 
 def default_snapshot() -> Column:
@@ -99,13 +99,14 @@ def default_snapshot() -> Column:
 
 def dedup_groups(docs: DataFrame, is_snapshot: Column | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, th."""
-    is_snapshot = default_snapshot() if is_snapshot is None else is_snapshot
+    is_snapshot = default_snapshot() if is_snapshot is None else F.coalesce(is_snapshot, F.lit(False))
     rows = written(digests(docs), "exact-digests")
     groups = against_snapshots(docs, rows, is_snapshot)
     counted = rows.groupBy("doc_id", "sha", "th").agg(F.count(F.lit(1)).alias("copies"))
     rank = F.row_number().over(Window.partitionBy("doc_id", "sha").orderBy("th"))
-    counted = counted.withColumn("side", F.when(is_snapshot, 0)).withColumn("first", rank == 1)
-    joined = counted.join(groups.withColumnRenamed("side", "g_side"), "sha").where(F.col("g_side") == F.coalesce("side", "g_side"))
+    counted = counted.withColumn("stored", is_snapshot).withColumn("first", rank == 1)
+    own = F.when(F.coalesce("stored", F.lit(False)), F.col("old")).otherwise(F.coalesce("new", "old"))
+    joined = counted.join(groups, "sha").withColumn("g", own).select("*", "g.keep_id", "g.group_size")
     each = joined.select("*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("nth"))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.col("first") & (F.col("nth") == 1)
     return each.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "th", "copies")
