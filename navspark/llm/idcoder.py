@@ -1,11 +1,12 @@
-"""A range coder for token ids whose probabilities mix order-0 to order-2 predictions.
+"""An adaptive context-mixing range coder for token ids.
 
 Ids are cut into blocks; each starts from a reset model and carries a checksum, so any block decodes
-alone. For each id the orders 2 and 1 name the id that last followed the same one or two ids. Adaptive
-weights, kept by how often those predictions came true lately, share the probability among the order-2
-prediction, the order-1 prediction and order 0; the last codes the id by adaptive frequencies, in
-LEVELS of 16-way choices, high bits first. Blocks are independent, so many are coded in step: every
-operation below is a vector over blocks.
+alone. A block is dealt out over lanes, runs of consecutive ids that are coded in step by a range coder
+each and share one model, so every operation below is a vector over lanes. A step's probabilities mix
+three orders: the id that the last two ids predict, the id that the last one predicts, and adaptive
+frequencies of single ids (order 0). The weights of the two predictions are learnt by how sure both are
+(how often each came true lately) and whether they agree; order 0 has the rest of the probability.
+Predictions and weights adapt after each step, frequencies after the steps that REBUILT names.
 """
 
 from __future__ import annotations
@@ -15,239 +16,217 @@ import zlib
 
 import numpy as np
 
-BLOCK = 8192
-LANES = 1024
-#: Ids are below 2**16: four choices of 16.
-LEVELS, WAYS = 4, 16
-NODES = (0, 1, 17, 273, 4369)  # where each level's nodes begin
-FULL = 16  # bits of a frequency total
-TABLE = 4096  # contexts of order 1 and of order 2
-NOTHING = 0xFFFF
-STEP = 24  # what a seen choice gains
-SPAN = np.uint64((1 << 48) - 1)
-SETTLED, LEAST = np.uint64(1 << 32), np.uint64(1 << 24)
-ABOVE = (np.arange(WAYS + 1)[None, :] > np.arange(WAYS)[:, None]).astype(np.uint16) * STEP  # rows: what each cumulative count gains
+BLOCK, LANES = 1 << 22, 16384
+#: Steps that a lane has at least, unless one lane holds the whole block.
+LANE_STEPS = 256
+#: Bits of a step's whole probability, and of that of order 0 before it is scaled to its share.
+WHOLE, PART = 26, 22
+#: Places of order-2 contexts; greatest sureness of a prediction.
+PLACES, SURE = 1 << 18, 7
+#: Contexts of the weights: both surenesses, and which of the orders predict. Bits of a stretch of order 0.
+CONTEXTS, STRETCH = 256, 6
+#: Order 0 forgets half of its counts beyond this many; weights do beyond so many trials.
+FORGET, TRIALS = 1 << 19, 1 << 14
+U64 = np.uint64
+TOP, BOTTOM = U64(1 << 48), U64(1 << 32)
+
+
+def rebuilt(step: int) -> bool:
+    """Whether order 0 takes in the ids up to this step: after 1, 2, 4 and 8 steps, then after every 16."""
+    return step in (1, 2, 4, 8) or step % 16 == 0
 
 
 class Model:
-    """The adaptive state of n blocks."""
-
-    def __init__(self, n: int):
-        self.n, self.lane = n, np.arange(n)
-        self.one = np.full(n * TABLE, NOTHING, np.uint16)
-        self.two = np.full(n * TABLE, NOTHING, np.uint16)
-        self.sure_one = np.zeros(n * TABLE, np.uint8)
-        self.sure_two = np.zeros(n * TABLE, np.uint8)
-        self.hit_two = np.full(n * 32, 1 << 13, np.int32)  # chances in 2**15
-        self.hit_one = np.full(n * 32, 1 << 13, np.int32)
-        # Cumulative counts of each node's choices; all choices begin equal.
-        start = (np.arange(WAYS + 1) * 4).astype(np.uint16)
-        self.counts = np.broadcast_to(start, (n * NODES[4], WAYS + 1)).copy()
-        self.last = np.zeros((2, n), np.int64)
-
-    def predict(self, a: int) -> None:
-        """For the first a blocks: both predictions and the shares of the two and of order 0."""
-        lane, (p1, p2) = self.lane[:a], self.last[:, :a]
-        self.at1 = lane * TABLE + (p1 * 2654435761 >> 7 & TABLE - 1)
-        self.at2 = lane * TABLE + ((p1 * 2654435761 ^ p2 * 40503) >> 5 & TABLE - 1)
-        self.c1, self.c2 = self.one[self.at1].astype(np.int64), self.two[self.at2].astype(np.int64)
-        self.s1, self.s2 = self.sure_one[self.at1], self.sure_two[self.at2]
-        self.context = lane * 32 + self.s2 * 4 + self.s1 + 16 * (self.c1 == self.c2)
-        q2, q1 = self.hit_two[self.context], self.hit_one[self.context]
-        self.share2 = np.where(self.c2 == NOTHING, 1, (q2 << 1) + 1).astype(np.int64)
-        rest = (1 << FULL) - self.share2
-        self.share1 = np.where((self.c1 == NOTHING) | (self.c1 == self.c2), 1, (rest * q1 >> 15) - 1).clip(1)
-
-    def update(self, a: int, ids: np.ndarray) -> None:
-        is2, is1 = ids == self.c2, ids == self.c1
-        q2 = self.hit_two[self.context]
-        self.hit_two[self.context] = q2 + (np.where(is2, 32000, 200) - q2 >> 4)
-        other = ~is2 & (self.c1 != self.c2)
-        q1 = self.hit_one[self.context]
-        self.hit_one[self.context] = np.where(other, q1 + (np.where(is1, 32000, 200) - q1 >> 4), q1)
-        self.sure_two[self.at2] = np.where(is2, np.minimum(self.s2 + 1, 3), 0)
-        self.sure_one[self.at1] = np.where(is1, np.minimum(self.s1 + 1, 3), 0)
-        self.two[self.at2] = ids
-        self.one[self.at1] = ids
-        self.last[1, :a] = self.last[0, :a]
-        self.last[0, :a] = ids
-
-    def node(self, lanes: np.ndarray, level: int, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = lanes * NODES[4] + NODES[level] + prefix
-        return at, self.counts[at]
-
-    def learn(self, at: np.ndarray, row: np.ndarray, choice: np.ndarray) -> None:
-        row = row + ABOVE[choice]
-        big = np.flatnonzero(row[:, -1] > 8000)
-        if len(big):  # halve, keeping every choice possible
-            each = np.diff(row[big].astype(np.int64), axis=1)
-            row[big, 1:] = np.cumsum((each + 1) >> 1, axis=1)
-        self.counts[at] = row
-
-
-class Writer:
-    """Carry-less range encoders of n blocks; words of 16 bits."""
-
-    def __init__(self, n: int):
-        self.low, self.range = np.zeros(n, np.uint64), np.full(n, SPAN, np.uint64)
-        self.lanes: list[np.ndarray] = []
-        self.words: list[np.ndarray] = []
-
-    def code(self, lanes: np.ndarray, begin: np.ndarray, size: np.ndarray, total: np.ndarray | int) -> None:
-        low, width = self.low[lanes], self.range[lanes]
-        unit = width // np.uint64(total) if isinstance(total, int) else width // total.astype(np.uint64)
-        low = low + unit * begin.astype(np.uint64) & SPAN
-        width = unit * size.astype(np.uint64)
-        self.low[lanes], self.range[lanes] = low, width
-        while True:
-            settled = (low ^ low + width) < SETTLED
-            short = ~settled & (width < LEAST)
-            out = settled | short
-            if not out.any():
-                return
-            lanes, low, width = lanes[out], low[out], width[out]
-            short = short[out]
-            width = np.where(short, (~low + np.uint64(1)) & (LEAST - np.uint64(1)), width)
-            self.lanes.append(lanes)
-            self.words.append((low >> np.uint64(32)).astype(np.uint16))
-            low, width = low << np.uint64(16) & SPAN, width << np.uint64(16)
-            self.low[lanes], self.range[lanes] = low, width
-
-    def finish(self) -> list[bytes]:
-        n = len(self.low)
-        for shift in (32, 16, 0):
-            self.lanes.append(np.arange(n))
-            self.words.append((self.low >> np.uint64(shift) & np.uint64(0xFFFF)).astype(np.uint16))
-        lanes, words = np.concatenate(self.lanes), np.concatenate(self.words)
-        order = np.argsort(lanes, kind="stable")
-        ends = np.cumsum(np.bincount(lanes, minlength=n))
-        return [x.tobytes() for x in np.split(words[order], ends[:-1])]
-
-
-class Source:
-    """Range decoders of n blocks."""
-
-    def __init__(self, blocks: list[bytes]):
-        n = len(blocks)
-        sizes = np.array([len(b) // 2 for b in blocks])
-        self.words = np.frombuffer(b"".join(blocks) + b"\0" * 16, np.uint16).astype(np.uint64)
-        self.at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        self.low, self.range, self.code_ = np.zeros(n, np.uint64), np.full(n, SPAN, np.uint64), np.zeros(n, np.uint64)
-        for _ in range(3):
-            self.code_ = self.code_ << np.uint64(16) | self.words[self.at]
-            self.at = self.at + 1
-
-    def target(self, lanes: np.ndarray, total: np.ndarray | int) -> np.ndarray:
-        self.unit = self.range[lanes] // (np.uint64(total) if isinstance(total, int) else total.astype(np.uint64))
-        found = (self.code_[lanes] - self.low[lanes] & SPAN) // self.unit
-        return np.minimum(found.astype(np.int64), total - 1)
-
-    def take(self, lanes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
-        low = self.low[lanes] + self.unit * begin.astype(np.uint64) & SPAN
-        width = self.unit * size.astype(np.uint64)
-        self.low[lanes], self.range[lanes] = low, width
-        while True:
-            settled = (low ^ low + width) < SETTLED
-            short = ~settled & (width < LEAST)
-            out = settled | short
-            if not out.any():
-                return
-            lanes, low, width = lanes[out], low[out], width[out]
-            short = short[out]
-            width = np.where(short, (~low + np.uint64(1)) & (LEAST - np.uint64(1)), width)
-            self.code_[lanes] = (self.code_[lanes] << np.uint64(16) | self.words[self.at[lanes]]) & SPAN
-            self.at[lanes] += 1
-            low, width = low << np.uint64(16) & SPAN, width << np.uint64(16)
-            self.low[lanes], self.range[lanes] = low, width
-
-
-def _encode(blocks: list[np.ndarray]) -> list[bytes]:
-    """blocks: longest first."""
-    length = np.array([len(b) for b in blocks])
-    ids = np.zeros((length[0], len(blocks)), np.int64)
-    for k, b in enumerate(blocks):
-        ids[: len(b), k] = b
-    model, out = Model(len(blocks)), Writer(len(blocks))
-    for t in range(length[0]):
-        a = int(np.searchsorted(-length, -t, side="left"))
-        lanes, now = model.lane[:a], ids[t, :a]
-        model.predict(a)
-        is2 = now == model.c2
-        is1 = ~is2 & (now == model.c1)
-        begin = np.where(is2, 0, np.where(is1, model.share2, model.share2 + model.share1))
-        size = np.where(is2, model.share2, np.where(is1, model.share1, (1 << FULL) - model.share2 - model.share1))
-        out.code(lanes, begin, size, 1 << FULL)
-        rest = np.flatnonzero(~is2 & ~is1)
-        if len(rest):
-            value = now[rest]
-            for level in range(LEVELS):
-                choice = value >> 4 * (LEVELS - 1 - level) & WAYS - 1
-                at, row = model.node(rest, level, value >> 4 * (LEVELS - level))
-                each = np.arange(len(rest))
-                begin = row[each, choice]
-                out.code(rest, begin, row[each, choice + 1] - begin, row[:, -1])
-                model.learn(at, row, choice)
-        model.update(a, now)
-    return out.finish()
-
-
-def _decode(blocks: list[bytes], length: np.ndarray) -> list[np.ndarray]:
-    ids = np.zeros((length[0], len(blocks)), np.int64)
-    model, source = Model(len(blocks)), Source(blocks)
-    for t in range(length[0]):
-        a = int(np.searchsorted(-length, -t, side="left"))
-        lanes = model.lane[:a]
-        model.predict(a)
-        found = source.target(lanes, 1 << FULL)
-        is2 = found < model.share2
-        is1 = ~is2 & (found < model.share2 + model.share1)
-        begin = np.where(is2, 0, np.where(is1, model.share2, model.share2 + model.share1))
-        size = np.where(is2, model.share2, np.where(is1, model.share1, (1 << FULL) - model.share2 - model.share1))
-        source.take(lanes, begin, size)
-        now = np.where(is2, model.c2, model.c1)
-        rest = np.flatnonzero(~is2 & ~is1)
-        if len(rest):
-            value = np.zeros(len(rest), np.int64)
-            for level in range(LEVELS):
-                at, row = model.node(rest, level, value)
-                goal = source.target(rest, row[:, -1].astype(np.int64))
-                choice = (row[:, 1:] <= goal[:, None]).sum(1)
-                each = np.arange(len(rest))
-                begin = row[each, choice]
-                source.take(rest, begin, row[each, choice + 1] - begin)
-                model.learn(at, row, choice)
-                value = value << 4 | choice
-            now[rest] = value
-        ids[t, :a] = now
-        model.update(a, now)
-    return [ids[:n, k] for k, n in enumerate(length)]
+    """The adaptive state of a block of ``lanes`` lanes over ids below ``size``.
+
+    A place of ``one`` and ``two`` holds the id that its context predicts and how sure that is, id << 3 | sureness.
+    """
+
+    def __init__(self, lanes: int, size: int):
+        self.size = size
+        self.one, self.two = np.full(size, -8, np.int64), np.full(PLACES, -8, np.int64)
+        self.tries = np.full((2, CONTEXTS), 8, np.int64)
+        self.hits = np.full((2, CONTEXTS), 3, np.int64)
+        self.count = np.zeros(size, np.int64)
+        self.before, self.last = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.recent: list[np.ndarray] = []
+        self.met: list[np.ndarray] = []
+        self.step = 0
+        self._weigh()
+        self._rebuild()
+
+    def _weigh(self) -> None:
+        """Shares of both predictions by context, of the whole and of what the first leaves; order 0 keeps a 16th at least."""
+        share = np.minimum((self.hits << WHOLE) // self.tries, np.array([[7 << WHOLE - 3], [1 << WHOLE - 1]]))
+        second = ((1 << WHOLE) - share[0]) * (share[1] >> 4) >> WHOLE - 4
+        kinds = np.arange(CONTEXTS) & 3  # 0: both predict, 1: both the same, 2: order 2 doesn't, 3: neither does
+        alone = share[1] >> 4 << 4
+        self.end2 = np.where(kinds < 2, share[0], 0)
+        self.end1 = np.where(kinds == 0, share[0] + second, np.where(kinds == 1, share[0], np.where(kinds == 2, alone, 0)))
+        self.rest = (1 << WHOLE) - self.end1
+
+    def _rebuild(self) -> None:
+        """Where each id's part of order 0 begins (every id has some), and the id at the beginning of each stretch of 2**STRETCH."""
+        self.begin = np.zeros(self.size + 1, np.int64)
+        np.cumsum(1 + self.count * ((1 << PART) - self.size) // max(1, int(self.count.sum())), out=self.begin[1:])
+        self.begin[-1] = 1 << PART
+        stretches = (1 << PART - STRETCH) + 1
+        self.first = np.cumsum(np.bincount(self.begin[:-1] + (1 << STRETCH) - 1 >> STRETCH, minlength=stretches)[:stretches]) - 1
+
+    def find(self, value: np.ndarray) -> np.ndarray:
+        """The ids whose parts of order 0 hold these values."""
+        stretch = value >> STRETCH
+        low, high = self.first[stretch], self.first[stretch + 1]
+        todo = np.flatnonzero(low < high)
+        while len(todo):
+            a, b = low[todo], high[todo]
+            middle = a + b + 1 >> 1
+            beyond = self.begin[middle] > value[todo]
+            low[todo] = a = np.where(beyond, a, middle)
+            high[todo] = b = np.where(beyond, middle - 1, b)
+            todo = todo[a < b]
+        return low
+
+    def predict(self) -> tuple[np.ndarray, ...]:
+        """By lane: ids that orders 2 and 1 predict (-1: none), where their shares end, and the share of order 0."""
+        self.at = (self.last * 40503 ^ self.before * 2654435761) >> 7 & PLACES - 1
+        self.w2, self.w1 = self.two[self.at], self.one[self.last]
+        c2, c1 = self.w2 >> 3, self.w1 >> 3
+        kind = np.where(c2 < 0, 2 + (c1 < 0), c1 == c2)
+        self.context = (self.w2 & 7) * 32 + (self.w1 & 7) * 4 + kind
+        return c2, c1, self.end2[self.context], self.end1[self.context], self.rest[self.context]
+
+    def update(self, ids: np.ndarray, c2: np.ndarray, c1: np.ndarray) -> None:
+        # A prediction that came true is surer; one that didn't is half as sure, and one that wasn't sure goes.
+        hit2, hit1 = ids == c2, ids == c1
+        new = ids << 3
+        self.two[self.at] = np.where(hit2, np.minimum(self.w2 + 1, new + SURE), np.where(self.w2 & 7, self.w2 - (self.w2 + 1 >> 1 & 3), new))
+        self.one[self.last] = np.where(hit1, np.minimum(self.w1 + 1, new + SURE), np.where(self.w1 & 7, self.w1 - (self.w1 + 1 >> 1 & 3), new))
+        self.met.append(self.context * 4 + hit2 * 2 + hit1)
+        self.before, self.last = self.last, ids
+        self.recent.append(ids)
+        self.step += 1
+        if self.step % 4 == 0 or self.step < 4:
+            seen = np.bincount(np.concatenate(self.met), minlength=4 * CONTEXTS).reshape(-1, 4)
+            self.met.clear()
+            self.tries[0] += seen.sum(1)
+            self.hits[0] += seen[:, 2] + seen[:, 3]
+            self.tries[1] += seen[:, 0] + seen[:, 1]  # what order 2 leaves
+            self.hits[1] += seen[:, 1]
+            many = self.tries > TRIALS
+            self.tries[many] >>= 1
+            self.hits[many] >>= 1
+            self._weigh()
+        if rebuilt(self.step):
+            self.count += np.bincount(np.concatenate(self.recent), minlength=self.size)
+            self.recent.clear()
+            if self.count.sum() > FORGET:
+                self.count -= self.count >> 1
+            self._rebuild()
+
+
+def encode_block(ids: np.ndarray) -> bytes:
+    """A block: steps, least size of a vocabulary, lanes, each lane's length in 16-bit words, and the words."""
+    size = int(ids.max()) + 1
+    if size >= 1 << PART - 1:
+        raise ValueError("ids are too large for the coder")
+    steps = -(-len(ids) // min(LANES, max(1, len(ids) // LANE_STEPS)))
+    lanes = -(-len(ids) // steps)
+    table = np.full(lanes * steps, ids[-1], np.int64)  # the last lane is filled up with the last id
+    table[: len(ids)] = ids
+    table = np.ascontiguousarray(table.reshape(lanes, steps).T)
+    model = Model(lanes, size)
+    low, width = np.zeros(lanes, U64), np.full(lanes, (1 << 64) - 1, U64)
+    out_lanes: list[np.ndarray] = []
+    out_words: list[np.ndarray] = []
+    for now in table:
+        c2, c1, end2, end1, rest = model.predict()
+        is2 = now == c2
+        is1 = (now == c1) & ~is2
+        begin = end1 + (model.begin[now] * rest >> PART)
+        end = end1 + (model.begin[now + 1] * rest >> PART)
+        begin = np.where(is2, 0, np.where(is1, end2, begin))
+        end = np.where(is2, end2, np.where(is1, end1, end))
+        unit = width >> U64(WHOLE)
+        low += unit * begin.view(U64)
+        width = unit * (end - begin).view(U64)
+        model.update(now, c2, c1)
+        which = np.flatnonzero(((low ^ (low + width)) < TOP) | (width < BOTTOM))
+        while len(which):
+            a, b = low[which], width[which]
+            b = np.where((a ^ (a + b)) < TOP, b, (~a + U64(1)) & (BOTTOM - U64(1)))
+            out_lanes.append(which)
+            out_words.append((a >> U64(48)).astype(np.uint16))
+            a, b = a << U64(16), b << U64(16)
+            low[which], width[which] = a, b
+            which = which[((a ^ (a + b)) < TOP) | (b < BOTTOM)]
+    for shift in (48, 32, 16, 0):
+        out_lanes.append(np.arange(lanes))
+        out_words.append((low >> U64(shift)).astype(np.uint16))
+    lane, word = np.concatenate(out_lanes), np.concatenate(out_words)
+    order = np.argsort(lane, kind="stable")
+    return struct.pack("<III", steps, size, lanes) + np.bincount(lane, minlength=lanes).astype("<u4").tobytes() + word[order].astype("<u2").tobytes()
+
+
+def decode_block(n: int, data: bytes) -> np.ndarray:
+    steps, size, lanes = struct.unpack_from("<III", data)
+    words_of = np.frombuffer(data, "<u4", lanes, 12).astype(np.int64)
+    word = np.frombuffer(data[12 + 4 * lanes :] + b"\0" * 8, "<u2").astype(U64)
+    at = np.cumsum(words_of) - words_of
+    model = Model(lanes, size)
+    low, width, code = np.zeros(lanes, U64), np.full(lanes, (1 << 64) - 1, U64), np.zeros(lanes, U64)
+    for _ in range(4):
+        code = code << U64(16) | word[at]
+        at += 1
+    table = np.zeros((steps, lanes), np.int64)
+    for t in range(steps):
+        c2, c1, end2, end1, rest = model.predict()
+        unit = width >> U64(WHOLE)
+        goal = np.minimum(((code - low) // unit).view(np.int64), (1 << WHOLE) - 1)
+        is2 = goal < end2
+        is1 = (goal < end1) & ~is2
+        other = np.flatnonzero(goal >= end1)
+        now = np.where(is2, c2, c1)
+        begin, end = np.where(is2, 0, end2), np.where(is2, end2, end1)
+        share, base = rest[other], end1[other]
+        found = model.find((((goal[other] - base + 1) << PART) - 1) // share)
+        now[other] = found
+        begin[other] = base + (model.begin[found] * share >> PART)
+        end[other] = base + (model.begin[found + 1] * share >> PART)
+        table[t] = now
+        low += unit * begin.view(U64)
+        width = unit * (end - begin).view(U64)
+        # An id that is predicted can come by order 0 as well, but the writer never codes it so.
+        model.update(now, c2, c1)
+        which = np.flatnonzero(((low ^ (low + width)) < TOP) | (width < BOTTOM))
+        while len(which):
+            a, b = low[which], width[which]
+            b = np.where((a ^ (a + b)) < TOP, b, (~a + U64(1)) & (BOTTOM - U64(1)))
+            code[which] = code[which] << U64(16) | word[at[which]]
+            at[which] += 1
+            a, b = a << U64(16), b << U64(16)
+            low[which], width[which] = a, b
+            which = which[((a ^ (a + b)) < TOP) | (b < BOTTOM)]
+    return table.T.ravel()[:n]
 
 
 def encode(ids: np.ndarray, block: int = BLOCK) -> list[tuple[int, int, bytes]]:
     """For each block in order: number of ids, crc32 of the ids as little-endian 32-bit integers, coded bytes."""
     blocks = [ids[k : k + block] for k in range(0, len(ids), block)]
-    out: list[tuple[int, int, bytes]] = []
-    for k in range(0, len(blocks), LANES):
-        part = blocks[k : k + LANES]  # only the last can be shorter, so they are longest first
-        out += [(len(b), zlib.crc32(b.astype("<u4").tobytes()), data) for b, data in zip(part, _encode(part), strict=True)]
-    return out
+    return [(len(b), zlib.crc32(b.astype("<u4").tobytes()), encode_block(b)) for b in blocks]
 
 
 def decode(blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
-    found: list[np.ndarray] = []
-    for k in range(0, len(blocks), LANES):
-        part = blocks[k : k + LANES]
-        order = sorted(range(len(part)), key=lambda i: -part[i][0])
-        done = _decode([part[i][2] for i in order], np.array([part[i][0] for i in order]))
-        back = dict(zip(order, done, strict=True))
-        found += [back[i] for i in range(len(part))]
-    for (n, crc, _), ids in zip(blocks, found, strict=True):
-        if len(ids) != n or zlib.crc32(ids.astype("<u4").tobytes()) != crc:
+    found = [np.zeros(0, "<u4")]
+    for n, crc, data in blocks:
+        ids = decode_block(n, data).astype("<u4")
+        if len(ids) != n or zlib.crc32(ids.tobytes()) != crc:
             raise ValueError("a block of ids is damaged")
-    return np.concatenate(found) if found else np.zeros(0, np.int64)
+        found.append(ids)
+    return np.concatenate(found)
 
 
-MAGIC = b"NSIDS001"
+MAGIC = b"NSIDS002"
 
 
 def pack(doc_ids: np.ndarray, missing: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
@@ -258,7 +237,7 @@ def pack(doc_ids: np.ndarray, missing: np.ndarray, counts: np.ndarray, ids: np.n
     blocks = encode(ids)
     directory = b"".join(struct.pack("<III", n, crc, len(data)) for n, crc, data in blocks)
     tail = struct.pack("<QQQI", len(doc_ids), len(docs), len(blocks), zlib.crc32(docs + directory))
-    return MAGIC + docs + b"".join(b[2] for b in blocks) + directory + tail
+    return MAGIC + docs + b"".join(b[-1] for b in blocks) + directory + tail
 
 
 def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -9,56 +9,86 @@ committed manifest are read, so a lost executor leaves nothing behind.
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
+import os
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from navspark.llm.common import documents_view, scratch, table, text_slices, written
+from navspark.llm.common import claim, documents_view, scratch, table, text_slices, written
 from navspark.llm.exact_dedup import raw_hash
 from navspark.llm.idcoder import pack, unpack
+from navspark.llm.units import Recent, filled, gathered, parted, words
 from navspark.llm.warc import place
 
 VOCABULARY, END = "word_bpe_49k.json", 2
 #: UTF-8 bytes of text that a file holds, about.
-FILE_BYTES = 12 << 20
-REMEMBERED = 120_000
+FILE_BYTES = 24 << 20
+#: Bytes of text that are encoded together; units that a generation of a worker's memory holds.
+ENCODE_BYTES, REMEMBERED = 8 << 20, 150_000
+#: Units that the library gets as one text.
+TOGETHER = 128
 
 
 class Tokens:
-    """Whole texts to ids, remembering the ids of the units between single spaces.
+    """Whole texts to ids, remembering the ids of units seen lately.
 
-    The library's own splitting drops white space and never joins what a space parts, so a text's ids
-    are those of its units one after another.
+    The library's own splitting drops white space and never joins what a space parts, nor letters and the
+    marks behind them, so a text's ids are those of its units one after another. Tokens that the vocabulary
+    adds hold no space, so the library finds them in their unit.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
-        self.units: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.split(" ") for t in texts]
-        missing = list({u for us in split for u in us if u not in self.units})
-        fresh = self.tokenizer.encode_batch(missing, add_special_tokens=False) if missing else []
-        extra = {u: np.array(e.ids, np.uint32).tobytes() for u, e in zip(missing, fresh, strict=True)}
-        if len(self.units) + len(extra) <= REMEMBERED:
-            self.units.update(extra)
-        get, out = self.units.get, []
-        for us in split:
-            rows = list(map(get, us))
-            if extra and None in rows:
-                rows = [extra[u] if r is None else r for r, u in zip(rows, us, strict=True)]
-            out.append(np.frombuffer(b"".join(rows), np.uint32))
+        self.units = Recent(REMEMBERED)
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.ends_word = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+
+    def clear(self) -> None:
+        self.units.clear()
+
+    def each(self, units: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+
+    def together(self, units: list[str]) -> list[bytes]:
+        """The same for units of letters only: each is one word, so they are encoded as one text and cut where words end."""
+        out: list[bytes] = []
+        parts = [units[k : k + TOGETHER] for k in range(0, len(units), TOGETHER)]
+        for part, found in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, np.uint32)
+            ends = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+            if len(ends) != len(part):  # another vocabulary may not mark the ends of words
+                out += self.each(part)
+                continue
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
         return out
 
+    def of(self, units: list[str], encode: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        values, missing = self.units.look(units)
+        if missing:
+            for i, ids in zip(missing, encode([units[i] for i in missing]), strict=True):
+                values[i] = ids
+                self.units.put(units[i], ids)
+        return values
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text's end, from 0."""
+        number, units, first = words(pc.replace_substring(filled(texts), "\n", " "))  # both are dropped
+        letters, others, marks, front, back = parted(units, fold=True)  # the library lower-cases
+        blobs = self.of(letters, self.together) + self.of(others, self.each)
+        back += len(blobs)
+        ids, ends = gathered(blobs + self.of(marks, self.each), np.stack([front[number], back[number]], 1).ravel())
+        return ids, ends[2 * first]
+
 
 @cache
 def tokens(path: str) -> Tokens:
@@ -76,23 +106,24 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = E
         import public_tokenizers
 
         of, context = tokens(public_tokenizers.path(vocabulary)), TaskContext.get()
+        claim("token files", of.clear)
         doc_ids, missing, counts, ids = [], [], [], []
-        last = np.array([end], np.uint32)
-        for batch in text_slices(batches, "text"):
-            for doc_id, found in zip(batch.column(0).to_pylist(), of.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
-                doc_ids.append(doc_id or 0)
-                missing.append(doc_id is None)
-                counts.append(len(found) + 1)
-                ids += [found.astype(np.uint16), last.astype(np.uint16)]
+        for batch in text_slices(batches, "text", ENCODE_BYTES):
+            found, ends = of.encode(batch.column(1))
+            ids.append(np.insert(found, ends[1:], np.uint32(end)))
+            counts.append(np.diff(ends) + 1)
+            doc_ids.append(np.asarray(pc.fill_null(batch.column(0), 0)))
+            missing.append(np.asarray(batch.column(0).is_null()))
         if not doc_ids:
             return
-        data = pack(np.array(doc_ids, np.int64), np.array(missing), np.array(counts), np.concatenate(ids))
+        counts = np.concatenate(counts)
+        data = pack(np.concatenate(doc_ids), np.concatenate(missing), counts, np.concatenate(ids))
         fs, root = place(path)
         fs.create_dir(root, recursive=True)
         name = f"{context.partitionId():06d}-{context.taskAttemptId()}.ids"
         with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
             out.write(data)
-        yield pa.RecordBatch.from_pydict({"part": pa.array([context.partitionId()], pa.int64()), "file": [name], "documents": pa.array([len(doc_ids)], pa.int64()), "ids": pa.array([sum(counts)], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"part": pa.array([context.partitionId()], pa.int64()), "file": [name], "documents": pa.array([len(counts)], pa.int64()), "ids": pa.array([int(counts.sum())], pa.int64())})
 
     return written(line.mapInArrow(run, "part long, file string, documents long, ids long"), "ids-manifest")
 

@@ -64,15 +64,17 @@ def words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
 LETTERS, MARKS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$", ".,;:!?"
 
 
-def parted(units: pa.Array) -> tuple[list[str], list[str], list[str], np.ndarray, np.ndarray]:
+def parted(units: pa.Array, fold: bool = False) -> tuple[list[str], list[str], list[str], np.ndarray, np.ndarray]:
     """Units of letters and the marks behind them, and other ones: distinct letters, others, distinct marks, and each unit's two parts.
 
-    The first part counts in letters + others; the second in the marks, of which the first is none.
+    The first part counts in letters + others; the second in the marks, of which the first is none. With ``fold``
+    the letters A-Z are lower-cased.
     """
     letters = pc.utf8_rtrim(units, MARKS)
     easy = np.asarray(pc.match_substring_regex(letters, LETTERS), dtype=bool)
     hard = np.flatnonzero(~easy)
-    coded = letters.filter(pa.array(easy)).dictionary_encode()
+    plain = letters.filter(pa.array(easy))
+    coded = (pc.ascii_lower(plain) if fold else plain).dictionary_encode()
     front, back = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
     front[easy] = np.asarray(coded.indices)
     front[hard] = len(coded.dictionary) + np.arange(len(hard))
