@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from navspark.llm.common import checked, documents_view, same, table, text_slices, written
+from navspark.llm.common import checked, claim, documents_view, same, table, text_slices, written
 from navspark.llm.exact_dedup import raw_hash
 from navspark.llm.textcore import LOWER, U, Words, buffers, mix, prefix_hash, span_hash, windows
 
@@ -33,6 +33,8 @@ SHINGLE, BANDS, BAND_ROWS = 5, 24, 6
 BINS = BANDS * BAND_ROWS
 #: Linked when 100 * intersection >= PERCENT * union.
 PERCENT = 85
+#: Bytes of text whose sets are made together.
+SET_BYTES = 256 << 10
 #: Members of a star that one group of the confirming step holds, about.
 STAR_ROWS = 256
 #: Rounds of stars; each after the first joins only what is still apart within a bucket. The exact join decides the rest.
@@ -110,7 +112,8 @@ def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, th, n_shingles, sid (null without shingles), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text"):
+        claim("near dedup", lambda: None)
+        for batch in text_slices(batches, "text", SET_BYTES):
             sets = shingle_sets(batch.column(1))
             bands = [band_keys(s) if len(s) else np.zeros(0, np.int64) for s in sets]
             ends = np.cumsum([0, *map(len, bands)]).astype(np.int32)
@@ -125,7 +128,8 @@ def class_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(sid, shingles binary) for the classes in nodes (sid, rep)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text"):
+        claim("near dedup", lambda: None)
+        for batch in text_slices(batches, "text", SET_BYTES):
             sets = shingle_sets(batch.column(1))
             yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["sid", "shingles"])
 
@@ -155,8 +159,11 @@ def _confirm(percent: int):
 
 def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The edges (a, b) whose full sets are similar. A star's members are dealt out over groups of STAR_ROWS."""
-    stars = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select("a", F.ceil(F.col("n") / STAR_ROWS).cast("int").alias("salts"))
-    members = edges.join(stars, "a").join(sets, edges["b"] == sets["sid"]).select(F.col("a").alias("centre"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.col("b").alias("member"), "shingles")
+    stars = edges.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR_ROWS).cast("int").alias("salts"))
+    # Only large stars need their number of groups; edges aren't shuffled by centre for it.
+    large = written(stars.where("salts > 1").withColumnRenamed("a", "l_a"), "near-large")
+    salted = edges.join(checked(large), edges["a"] == large["l_a"], "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
+    members = salted.join(sets, salted["b"] == sets["sid"]).select(F.col("a").alias("centre"), "salt", F.col("b").alias("member"), "shingles")
     centres = stars.join(sets, stars["a"] == sets["sid"]).select(F.col("a").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("binary").alias("member"), "shingles")
     return members.unionByName(centres).groupBy("centre", "salt").applyInArrow(_confirm(percent), "a binary, b binary")
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from navspark.llm.common import checked, documents_view, same, table, text_slices, written
+from navspark.llm.common import checked, claim, documents_view, same, table, text_slices, written
 from navspark.llm.exact_dedup import raw_hash
 from navspark.llm.textcore import Words, buffers
 
@@ -53,7 +53,8 @@ def measured(docs: DataFrame) -> DataFrame:
     """doc_id, source, th, size of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text"):
+        claim("mixing", lambda: None)
+        for batch in text_slices(batches, "text", 256 << 10):
             size = pa.array(Words(*buffers(batch.column(1))).count.astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), size], ["doc_id", "source", "th", "size"])
 
