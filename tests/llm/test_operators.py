@@ -153,6 +153,76 @@ def test_bpe_and_files(docs, empty, tmp_path):
     assert token_files.read(token_files.write(empty, path), path).count() == 0
 
 
+def test_files_hold_the_librarys_ids(spark, tmp_path):
+    """Ids, their checksum and their places, also of texts with the vocabulary's added tokens; ids come back from several blocks."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path(token_files.VOCABULARY))
+    rng = np.random.default_rng(4)
+    odd = ["a<|endoftext|>b c", "<|startoftext|>", " x  <|endoftext|> y.\n\nz", "É. é! naïve; ΑΣ. Ünï?", "日本 'll it's 12,5 $3", None, "", "a" * 3000]
+    odd += ["".join(rng.choice(["a", "B", " ", "\n", ".", "é", "e\u0301", "<|endoftext|>", "'s", "7", "\u3000"], rng.integers(0, 40))) for _ in range(150)]
+    rows = [(i, t) for i, t in enumerate(odd)] + [(500 + i, text(i, 400)) for i in range(40)]
+    path = str(tmp_path / "ids")
+    found = token_files.read(token_files.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path), path).collect()
+    start = 0
+    for r, (i, t) in zip(sorted(found, key=lambda r: r.doc_id), rows, strict=True):
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
+        assert (r.doc_id, r.start, r.n_tokens, np.frombuffer(r.ids, "<u4").tolist()) == (i, start, len(ids), ids)
+        start += len(ids)
+
+
+def test_bpe_query_columns(docs):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path(bpe.VOCABULARY), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = Counter()
+    for i, t, _ in ROWS:
+        ids = library.encode_ordinary(t or "")
+        want[(i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())] += 1
+    assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.encoded(docs).collect()) == want
+
+
+def test_exact_when_a_digest_lies(spark, monkeypatch):
+    """With every byte check failing, batch rows form groups of their own beside the snapshots'."""
+    rows = spark.createDataFrame([(i, BASE) for i in range(12)] + [(20, "alone")], "doc_id long, text string")
+    monkeypatch.setattr(exact_dedup, "differing", lambda docs, pairs: pairs.select("sha").distinct())
+    got = exact_dedup.dedup_groups(rows, exact_dedup.F.col("doc_id") < 7).collect()
+    assert len(got) == 13
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in got} == {(i, 6, 7, i == 6) for i in range(7)} | {(i, 11, 5, i == 11) for i in range(7, 12)} | {(20, 20, 1, True)}
+
+
+def test_base_measures(spark):
+    """The four measures and the rules against plain Python."""
+    import re
+
+    rng = np.random.default_rng(8)
+    texts = ["\n".join(" ".join(rng.choice(["a", "b#", "cé", "<d>", "e&f", "日本", "$"], rng.integers(0, 7))) + str(rng.choice(["", " ", "\t", "\x0b"])) for _ in range(rng.integers(1, 14))) for _ in range(120)] + ["", None, "a b c d e " * 30, "x\ny\nx\n\n\nx", " \n \n"]
+    got = {r.doc_id: r for r in quality.judged(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), None).collect()}
+    for i, t in enumerate(texts):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        grams = Counter(zip(*(w[k:] for k in range(5)), strict=False))
+        marked = {p for k in range(len(w) - 4) if grams[tuple(w[k : k + 5])] > 1 for p in range(k, k + 5)}
+        lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        want = (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(marked))
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want, t
+        assert r.base_failed == (len(w) < 10 or 100 * len(marked) > 20 * len(w)) and r.kept == (not r.base_failed)
+
+
+def test_rare_labels_are_learnt(spark):
+    good = [(i, text(i, 80), 1) for i in range(80)]
+    bad = [(100 + i, " ".join(w + "$$$" for w in text(i, 80).split()), 0) for i in range(3)]
+    rows = spark.createDataFrame([(i, t) for i, t, _ in good + bad], "doc_id long, text string")
+    model = quality.train(rows, spark.createDataFrame([(i, q) for i, _, q in good + bad], "doc_id long, quality int"))
+    assert model is not None and {r.doc_id for r in quality.judged(rows, model).collect() if not r.kept} == {100, 101, 102}
+
+
 def test_quality(spark, docs, empty):
     good = [(1000 + i, text(i, 80), 1) for i in range(60)]
     bad = [(2000 + i, " ".join(w + "$$$" for w in text(i, 80).split()), 0) for i in range(60)]
@@ -205,3 +275,47 @@ def test_pipeline(spark, sf_dir):
         docs = out.cache()
         counts.append(docs.count())
     assert counts[0] > counts[1] > counts[2] >= counts[3] > 0 and counts[4] == counts[5] > 0
+
+
+def test_shared_strings_equal_brute_force(spark, tmp_path, monkeypatch):
+    """Every string of RUN tokens on PAGES distinct pages of a host, against all strings of all pages."""
+    rng = np.random.default_rng(12)
+    passages = [" ".join(f"{w}{n}" for n in rng.integers(0, 5, 14)) for w in ("p", "q", "r", "s")]
+    rows = []
+    for i in range(60):
+        parts = [text(200 + i, 12), *[passages[k] for k in rng.integers(0, 4, rng.integers(0, 3))], " ".join(rng.choice(["x", "y"], 20))]
+        rows.append((i % 57, f"http://h{i % 2}/{i}", "<body>" + "".join(f"<p>{x}</p>" for x in parts) + "</body>"))
+    rows += [rows[0], (None, None, None), (900, "http://h1/z", "<body>" + "<p>long </p>" * 30_000 + "</body>")]
+    pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, text string, host int").repartition(5)
+    path = "file://" + str(tmp_path / "html")
+    manifest = html_text.written(pages.select("page_id", html_text.F.col("html").alias("text"), "url").mapInArrow(html_text._packed(path), "slice long, file string, at long, size long, streams array<struct<host:long,stream:long>>"), "t")
+    got = Counter()
+    where = {}
+    for m in manifest.collect():
+        for _, r, _ in html_text._read(path, [html_text.pa.RecordBatch.from_pylist([{"slice": m.slice, "file": m.file, "at": m["at"], "size": m["size"]}])]):
+            for k, (host, blocks_) in enumerate(zip(r.column("host").to_pylist(), r.column("blocks").to_pylist(), strict=True)):
+                where[m.slice, k] = (host, " ".join(blocks_).split())
+    for r in html_text.shared_strings(manifest, path).collect():
+        got[(r.slice, r.page, r.start)] = r.wide
+    on, streams = {}, {}
+    for host, t in set((h, tuple(t)) for h, t in where.values()):
+        streams.setdefault(host, set()).add(t)
+        for k in range(len(t) - 7):
+            on.setdefault((host, t[k : k + 8]), set()).add(t)
+    want = {}
+    for (slice_, page), (host, t) in where.items():
+        for k in range(len(t) - 7):
+            n = len(on[host, tuple(t[k : k + 8])])
+            if n >= 3:
+                want[slice_, page, k] = 2 * n >= len(streams[host])
+    assert want and dict(got) == want
+    out = html_text.extracted(pages)
+    assert out.count() == len(rows) and out.columns == ["page_id", "url", "text"]
+    assert html_text.extracted(pages.limit(0)).count() == 0
+
+
+def test_structure_is_a_hint(spark):
+    body = text(301, 40)
+    rows = [(1, "http://a/1", f"<article>teaser only</article><div id=content><p>{body}</p></div>"), (2, "http://a/2", f"<article><p>{body}</p></article><div>by me</div>")]
+    got = {r.page_id: r.text for r in html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: f"teaser only\n{body}", 2: body}
