@@ -28,11 +28,12 @@ def tree(spark: SparkSession, root: str, prefix: str = "", rules: dict[str, list
         F.when(skip_reason(F.col("path"), rules).isNotNull(), skip_reason(F.col("path"), rules))
         .when(~extension(F.col("path")).isin(EXTENSIONS), "extension")
         .when(F.col("size") > MAX_BYTES, "too_large")
-        .when(F.locate("00", F.hex("content")) % 2 == 1, "binary")
     )
-    rows = rows.withColumn("skip_reason", reason)
+    # Contents are looked at only where path and size let a file through; latin-1 keeps every byte a character.
+    binary = F.contains(F.decode("content", "ISO-8859-1"), F.lit("\x00"))
+    rows = rows.withColumn("skip_reason", reason).withColumn("skip_reason", F.when(F.col("skip_reason").isNull() & binary, "binary").otherwise(F.col("skip_reason")))
     text = F.when(F.col("skip_reason").isNull(), F.col("content").cast("string"))
-    return rows.select("path", "size", "modified", "skip_reason", text.alias("text"), F.sha2("content", 256).alias("hash"), language(F.col("path")).alias("language"))
+    return rows.select("path", "size", "modified", "skip_reason", text.alias("text"), F.when(F.col("skip_reason").isNull(), F.sha2("content", 256)).alias("hash"), language(F.col("path")).alias("language"))
 
 
 def merge(old: DataFrame, new: DataFrame, complete: bool = True) -> DataFrame:
