@@ -171,7 +171,7 @@ def q_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _modes(spark, sf_dir).groupBy("mode").agg(F.min("value").alias("least"), F.max("value").alias("most"))
-    return gate(rows, {"least": 1.0, "most": 1.0})
+    return gate(rows, {"least": 1.0, "most": 1_000_000.0})
 
 
 def q_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,7 +209,7 @@ SQL = {
  select count(*) filter (d > {TIE}) as wins, count(*) filter (d < -{TIE}) as losses, count(*) filter (abs(d) <= {TIE}) as ties, round(coalesce(max(-d) filter (d < -{TIE}), 0), 4) as max_loss from d""",
     "threshold_gate": f"""{_MODES}, s as (select mode, min(value) as least, max(value) as most from m group by mode),
  u as (select mode, 'least' as metric, least as value from s union all select mode, 'most', most from s)
- select mode, metric, value, cast(1.0 as double) as threshold from u where value is null or value < 1.0""",
+ select mode, metric, value, cast(case metric when 'least' then 1 else 1000000 end as double) as threshold from u where value is null or value < threshold""",
     "index_drift": """select case when l.doc_id is null then 'missing' when d.doc_id is null then 'deleted' when quality is not distinct from 1 then 'same' else 'changed' end as state, count(*) as n
  from labels l full join documents d on l.doc_id = d.doc_id group by 1""",
     "token_budget": "select role as tool, count(*) as fields, cast(sum(ceil(length(coalesce(text, '')) / 4.0)) as bigint) as tokens from conversations group by rollup (role)",

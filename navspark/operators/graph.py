@@ -82,7 +82,10 @@ def distances(start: DataFrame, edges: DataFrame, hops: int = 4) -> DataFrame:
 
 
 def _trade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Nations, and an edge from a supplier's nation to each of the four nations that buy most of it."""
+    """Nations, and an edge from a supplier's nation to each of the two nations that buy most of it.
+
+    Nearly every pair of nations trades, so with all pairs as edges every node and every path would look alike.
+    """
     supply = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("src")), "l_suppkey")
     buyers = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("l_orderkey"), F.col("c_nationkey").alias("dst"))
     weight = supply.join(buyers, "l_orderkey").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))

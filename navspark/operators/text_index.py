@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,8 +14,18 @@ from navspark.sources.corpus import documents_as_files, table
 
 LINES, STRIDE = 80, 70
 K1, B = 1.2, 0.75
-#: The letters with marks in the alphabets at hand, and what they fold to.
-MARKED, PLAIN = "äçèéêíñóöü", "aceeeinoou"
+#: Query terms or passages that may be broadcast, or held by a worker, at once.
+AT_ONCE = 500_000
+
+
+def _plain_letters() -> tuple[str, str]:
+    """The letters of the Latin blocks that Unicode decomposes into a letter and marks, and those letters."""
+    base = {c: unicodedata.normalize("NFD", c) for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)])}
+    found = [(c, d[0]) for c, d in base.items() if len(d) > 1 and all(unicodedata.combining(m) for m in d[1:])]
+    return "".join(c for c, _ in found), "".join(d for _, d in found)
+
+
+MARKED, PLAIN = _plain_letters()
 
 
 def chunks(files: DataFrame, key: str = "path") -> DataFrame:
@@ -23,8 +37,10 @@ def chunks(files: DataFrame, key: str = "path") -> DataFrame:
 
 
 def tokens(text) -> F.Column:
-    """Runs of letters and digits, lower-cased, without marks."""
-    return F.regexp_extract_all(F.translate(F.lower(text), MARKED, PLAIN), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Runs of letters and digits, lower-cased, without marks; only texts beyond ASCII are searched for marks."""
+    low = F.lower(text)
+    plain = F.regexp_replace(F.translate(low, MARKED, PLAIN), "[\u0300-\u036f]", "")
+    return F.regexp_extract_all(F.when(F.char_length(low) == F.octet_length(low), low).otherwise(plain), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def postings(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -43,11 +59,14 @@ def bm25(index: DataFrame, queries: DataFrame, key: str, query: str, stats: Data
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = postings(table(spark, sf_dir, "documents"), "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", tokens(F.col("text")).alias("terms")).withColumn("length", F.size("terms").cast("long"))
     queries = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    lengths = index.select("doc_id", "length").distinct()
-    total = table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n"))
-    stats = lengths.agg(F.sum("length").alias("all")).crossJoin(total).select("n", (F.col("all") / F.col("n")).alias("average"))
+    wanted = queries.select("term").distinct()
+    if wanted.count() <= AT_ONCE:
+        wanted = F.broadcast(wanted)
+    # Only the queries' terms are counted and shuffled.
+    index = docs.select("doc_id", "length", F.explode("terms").alias("term")).join(wanted, "term", "left_semi").groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("length") > 0, F.col("length"))).alias("all")).select("n", (F.col("all") / F.col("n")).alias("average"))
     hits = bm25(index, queries, "doc_id", "item_id", stats)
     place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
     return hits.withColumn("rank", place.cast("long")).where("rank <= 5")
@@ -74,13 +93,36 @@ def q_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(item_id, doc_id) where the document holds the passage; passages meet texts on their first four tokens."""
-    first = lambda n: F.array_join(F.slice("terms", n, 4), " ")
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"), tokens(F.col("text")).alias("terms")).where("size(terms) >= 4").select("item_id", "passage", first(1).alias("lead"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", tokens(F.col("text")).alias("terms")).where("size(terms) >= 4")
-    leads = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("terms") - 3), lambda i: F.array_join(F.slice("terms", i, 4), " ")))).alias("lead"))
-    met = leads.join(items, "lead").select("doc_id", "item_id", "passage")
-    return met.join(docs.select("doc_id", "text"), "doc_id").where(F.expr("contains(text, passage)")).select("item_id", "doc_id").distinct()
+    """(item_id, doc_id) where the document holds the passage: each text is searched once for a block of passages by an Aho-Corasick automaton."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage")).where("passage <> ''")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    blocks = max(1, -(-items.count() // AT_ONCE))
+
+    def block(number: int) -> DataFrame:
+        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == number).collect()  # at most about AT_ONCE rows
+        shared = spark.sparkContext.broadcast([(r["item_id"], r["passage"]) for r in rows])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            by_text: dict[str, list[int]] = {}
+            for item, passage in shared.value:
+                by_text.setdefault(passage, []).append(item)
+            automaton = ahocorasick.Automaton()
+            for passage, ids in by_text.items():
+                automaton.add_word(passage, ids)
+            if by_text:
+                automaton.make_automaton()
+            for batch in batches:
+                pairs = [(item, doc) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if by_text for item in {i for _, ids in automaton.iter(text) for i in ids}]
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["item_id", "doc_id"])
+
+        return docs.mapInArrow(run, "item_id long, doc_id long")
+
+    found = block(0)
+    for number in range(1, blocks):
+        found = found.unionByName(block(number))
+    return found.distinct()
 
 
 def q_retrieval_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +133,7 @@ def q_retrieval_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("item_id", "expected", "found", F.round(F.col("found") / F.col("expected"), 6).alias("recall"), F.round(F.coalesce(1.0 / F.col("first"), F.lit(0.0)), 6).alias("rr"), (F.coalesce("first", F.lit(0)) == 1).alias("top1"))
 
 
-_TOKENS = f"regexp_extract_all(translate(lower(text), '{MARKED}', '{PLAIN}'), '[\\p{{L}}\\p{{N}}]+')"
+_TOKENS = "regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+')"
 _BM25 = f"""
 d as (select doc_id, {_TOKENS} as terms from documents),
 i as (select doc_id, len(terms) as length, unnest(terms) as term from d),
