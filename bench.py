@@ -4,18 +4,19 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
 
-HEADLINE = ["files", "chunks", "terms", "bm25", "retrieval_quality", "usage_overview", "usage_latencies", "usage_funnel", "usage_refreshes", "usage_click_through", "graph_degrees", "pricing_summary", "region_revenue", "window_frames"]
+HEADLINE = ["files", "chunks", "terms", "bm25", "retrieval_quality", "usage_overview", "usage_latencies", "usage_funnel", "usage_refreshes", "usage_click_through", "graph_degrees", "pricing_summary", "region_revenue", "window_frames", "graph_components", "graph_distances", "hourly_stream", "search"]
 
 
 def main() -> None:
     from navspark.registry import QUERIES
 
     sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
-    conf = {"spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "8g"}
+    conf = {"spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "8g", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="navspark-bench-")}
     spark = SparkSession.builder.master(f"local[{cpus}]").config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1000).selectExpr("sum(id)").collect()
