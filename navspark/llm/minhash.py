@@ -35,7 +35,7 @@ BINS = BANDS * BAND_ROWS
 PERCENT = 85
 #: Bytes of text whose sets are made together.
 SET_BYTES = 256 << 10
-#: Members of a star that one group of the confirming step holds, about.
+#: Members of a star or bucket that one group of the confirming step, or one salt of a bucket, holds, about.
 STAR_ROWS = 256
 #: Rounds of stars; each after the first joins only what is still apart within a bucket. The exact join decides the rest.
 ROUNDS = 2
@@ -189,33 +189,39 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels = moved.drop("old")
 
 
+def beside(members: DataFrame, facts: DataFrame, how: str = "inner") -> DataFrame:
+    """members (key, salt, ...) joined with facts (key, salts, ...) of their bucket; a crowded bucket is dealt out over its salts."""
+    dealt = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    return members.join(dealt, ["key", "salt"], how)
+
+
 def stars(crowd: DataFrame, labels: DataFrame | None, tested: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Candidate edges (a, b) between centres and members of the buckets in crowd (key, sid, rep, company), and the centres (key, sid)."""
+    """Candidate edges (a, b) between centres and members of the buckets in crowd (key, salt, salts, sid, rep, company), and the centres (key, sid)."""
     members = crowd
     if labels is not None:
         members = crowd.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "rep"))
-        apart = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-        members = members.join(apart, "key")
+        apart = members.groupBy("key").agg(F.max("salts").alias("salts"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+        members = beside(members, apart)
         # The centres are the most connected class of the component of least label and of the one of greatest label.
-        one = members.where("label = low").groupBy("key").agg(F.max(F.struct("company", "sid")).alias("c"))
-        two = members.where("label = high").groupBy("key").agg(F.max(F.struct("company", "sid")).alias("d"))
-        centres = one.join(two, "key").select("key", F.array("c.sid", "d.sid").alias("centres"))
+        best = F.struct("company", "sid")
+        centres = members.groupBy("key").agg(F.max("salts").alias("salts"), F.max(F.when(F.col("label") == F.col("low"), best)).alias("c"), F.max(F.when(F.col("label") == F.col("high"), best)).alias("d"))
+        centres = centres.select("key", "salts", F.array("c.sid", "d.sid").alias("centres"))
     else:
         best, first = F.max(F.struct("company", "sid")), F.min(F.struct("rep", "sid"))
-        centres = members.groupBy("key").agg(best.alias("c"), first.alias("d")).select("key", F.array_distinct(F.array("c.sid", "d.sid")).alias("centres"))
-    edges = members.join(centres, "key").select(F.explode("centres").alias("a"), F.col("sid").alias("b")).where(F.col("a") != F.col("b")).distinct()
+        centres = members.groupBy("key").agg(F.max("salts").alias("salts"), best.alias("c"), first.alias("d")).select("key", "salts", F.array_distinct(F.array("c.sid", "d.sid")).alias("centres"))
+    edges = beside(members, centres).select(F.explode("centres").alias("a"), F.col("sid").alias("b")).where(F.col("a") != F.col("b")).distinct()
     edges = edges if tested is None else edges.join(tested, ["a", "b"], "left_anti")
     return edges, centres.select("key", F.explode("centres").alias("sid"))
 
 
 def undecided(crowd: DataFrame, labels: DataFrame, centres: DataFrame) -> DataFrame:
     """(sid, label) of the classes that share a bucket with one of another component, neither being a centre (key, sid) there."""
-    members = crowd.join(labels, "sid", "left").select("key", "sid", F.coalesce("label", "rep").alias("label"))
+    members = crowd.join(labels, "sid", "left").select("key", "salt", "salts", "sid", F.coalesce("label", "rep").alias("label"))
     rest = members.join(centres, ["key", "sid"], "left_anti")
-    apart = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"))
+    apart = rest.groupBy("key").agg(F.max("salts").alias("salts"), F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"))
     # Classes without a doc_id share a label without being linked.
     apart = apart.where((F.col("low") < F.col("high")) | ((F.col("low") == LARGEST) & (F.col("n") > 1)))
-    return rest.join(apart, "key", "left_semi").select("sid", "label").distinct()
+    return beside(rest, apart, "left_semi").select("sid", "label").distinct()
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +283,9 @@ def clusters(docs: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS) -> D
     full = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     crowd = written(keys.join(full, "key"), "near-crowd")
     company = crowd.groupBy("sid").agg(F.sum("members").alias("company"))
-    crowd = written(crowd.join(company, "sid").select("key", "sid", "rep", "company"), "near-company")
+    salts = F.ceil(F.col("members") / STAR_ROWS).cast("int")
+    crowd = crowd.join(company, "sid").select("key", F.pmod(F.xxhash64("sid"), salts).cast("int").alias("salt"), salts.alias("salts"), "sid", "rep", "company")
+    crowd = written(crowd, "near-company")
     nodes = written(crowd.groupBy("sid").agg(F.first("rep").alias("rep")), "near-nodes")
     as_id = F.when(F.col("rep") != LARGEST, F.col("rep"))
     sets = written(class_sets(docs, nodes.select("sid", as_id.alias("rep"))), "near-sets")
