@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from navspark.functions.paths import basename, extension, roles, stem
+from navspark.functions.paths import basename, extension, roles, snippet, stem
 from navspark.operators.text_index import bm25, chunks, postings
 from navspark.plans.query_plan import Plan, plan
 from navspark.sources.corpus import documents_as_files, table
 
 
+#: Extensions and base names of texts about code, and the most results that a search gives.
+PROSE, PROSE_STEMS, MOST = ["md", "mdx", "rst", "txt"], ["readme", "architecture", "changelog", "todo"], 50
+
+
 def coverage(text: Column, terms: list[str]) -> Column:
     """The share of terms that stand in the text as words; an underscore parts words."""
     if not terms:
@@ -55,9 +59,34 @@ def candidates(pieces: DataFrame, index: DataFrame, stats: DataFrame, of: Plan,
     return rows.groupBy("path", "ordinal").agg(F.max("boost").alias("boost"), F.max("fts").alias("fts"))
 
 
-def search(files: DataFrame, query: str, limit: int = 10) -> DataFrame:
-    """path, ordinal, score and its components, best first; one chunk a path."""
-    of = plan(query)
+def penalties(path: Column, of: Plan) -> Column:
+    """What tests lose where code is looked for, and texts about code where the query names a kind of code."""
+    low, base = F.lower(path), F.lower(basename(path))
+    folders = F.slice(F.split(low, "/"), 1, F.size(F.split(low, "/")) - 1)
+    names = F.slice(F.split(base, r"\."), 1, F.size(F.split(base, r"\.")) - 1)
+    test = F.arrays_overlap(folders, F.array(*map(F.lit, ("test", "tests", "__tests__")))) | F.exists(names, lambda x: F.element_at(F.split(x, "[_-]"), -1) == "test")
+    prose = extension(path).isin(PROSE) | F.element_at(F.split(base, r"\."), 1).isin(PROSE_STEMS)
+    sought = "implementation" in of.intents and "tests" not in of.intents
+    return F.when(test, 8.0 if sought else 3.0 if of.code_intent else 0.0).otherwise(0.0) + F.when(prose, 6.0 if of.code_intent else 0.0).otherwise(0.0)
+
+
+def match_snippet(text: Column, of: Plan) -> Column:
+    """The first line that holds the query, a phrase or a term, with two lines before and behind it; the whole text where none does."""
+    lines = F.split(text, r"\r?\n")
+    needles = [x.lower() for x in dict.fromkeys([of.normalized, *of.phrases, *of.expanded]) if len(x) > 1]
+    holds = F.transform(lines, lambda x: F.exists(F.array(*map(F.lit, needles)), lambda n: F.contains(F.lower(x), n))) if needles else F.array(F.lit(False))
+    at = F.array_position(holds, F.lit(True)).cast("int")
+    begin = F.greatest(at - 2, F.lit(1))
+    return snippet(F.when(at > 0, F.array_join(F.slice(lines, begin, F.greatest(at + 3 - begin, F.lit(0))), "\n")).otherwise(text))
+
+
+def clamped(limit: int) -> int:
+    return min(max(limit, 1), MOST)
+
+
+def scored_candidates(files: DataFrame, query: str, limit: int = 10) -> DataFrame:
+    """Every candidate chunk with its score and the score's components."""
+    of, limit = plan(query), clamped(limit)
     pieces = chunks(files)
     keyed = pieces.select(F.struct("path", "ordinal").alias("piece"), "text")
     index = postings(keyed, "piece")
@@ -65,6 +94,7 @@ def search(files: DataFrame, query: str, limit: int = 10) -> DataFrame:
     found = candidates(pieces, index, stats, of, limit).join(pieces, ["path", "ordinal"]).join(files.select("path", "size"), "path")
     low, base = F.lower("path"), F.lower(basename(F.col("path")))
     q = F.lit(of.normalized)
+    depth = F.size(F.split("path", "/")) - 1
     kinds = roles(F.col("path"), F.col("size"))
     noisy = lambda *names: F.arrays_overlap(kinds, F.array(*map(F.lit, names)))
     noise = F.when(noisy("lockfile", "generated"), 60.0).when(noisy("build_output", "minified"), 48.0).when(noisy("large_json"), 36.0).when(noisy("agent_instructions") & F.lit("agent_instructions" not in of.intents), 18.0).otherwise(0.0)
@@ -74,22 +104,53 @@ def search(files: DataFrame, query: str, limit: int = 10) -> DataFrame:
     lift = (noise == 0) & F.lit(of.code_intent or not docs_wanted)
     parts = {
         "path_score": F.when(F.contains(low, q), 6.0).otherwise(0.0) + F.when(F.endswith(low, q), 3.0).otherwise(0.0) + 5 * coverage(F.col("path"), of.core),
-        "name_score": 4 * coverage(base, of.core) + F.when(base == q, 3.0).otherwise(0.0) + F.when(F.lower(stem(F.col("path"))).isin(of.core or [""]), 8.0).otherwise(0.0),
+        "name_score": 4 * coverage(base, of.core) + F.when(base == q, F.greatest(F.lit(1), 4 - depth)).otherwise(0) + F.when(F.lower(stem(F.col("path"))).isin(of.core or [""]), 8.0).otherwise(0.0),
         "text_score": F.when(F.contains(F.lower("text"), q), 4.0).otherwise(0.0) + 3 * coverage(F.col("text"), of.core),
         "role_score": F.when(wanted, 15.0).otherwise(0.0) + F.when(lift & code, 2.0).otherwise(0.0) + F.when(lift & F.startswith(low, F.lit("src/")), 4.0).otherwise(0.0),
         "noise": noise,
+        "penalty": penalties(F.col("path"), of),
+        "snippet": match_snippet(F.col("text"), of),
     }
-    scored = found.withColumns(parts).withColumn("score", F.round(sum((F.col(c) for c in ("fts", "path_score", "name_score", "text_score", "role_score")), F.col("boost")) - F.col("noise"), 6))
+    total = sum((F.col(c) for c in ("fts", "path_score", "name_score", "text_score", "role_score")), F.col("boost")) - F.col("noise") - F.col("penalty")
+    return found.withColumns(parts).withColumn("score", F.round(total, 6)).drop("text", "size")
+
+
+def best_of(scored: DataFrame, limit: int) -> DataFrame:
+    first = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("score"), "ordinal"))
+    one = scored.where("score > 0").withColumn("nth", first).where("nth = 1").drop("nth")
+    return one.orderBy(F.desc("score"), "path", "start_line").limit(clamped(limit))
+
+
+def search(files: DataFrame, query: str, limit: int = 10) -> DataFrame:
+    """path, ordinal, score and its components, snippet, best first; one chunk a path, at most MOST."""
+    return best_of(scored_candidates(files, query, limit), limit)
+
+
+def confidence(results: DataFrame, least: float = 0.1) -> DataFrame:
+    """One row (level, margin): how far the best of a search's results (path, score) is ahead of the next."""
+    two = results.select("path", "score").orderBy(F.desc("score"), "path").limit(2)
+    scores = two.agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("high"), F.min("score").alias("low"))
+    ahead = F.when(F.col("high") > 0, (F.col("high") - F.col("low")) / F.col("high")).otherwise(0.0)
+    margin = F.when(F.col("n") == 0, 0.0).when(F.col("n") == 1, 1.0).otherwise(ahead)
+    level = F.when(F.col("n") == 0, "none").when(F.col("n") == 1, "single").when(margin >= least, "high").otherwise("low")
+    return scores.select(level.alias("level"), margin.alias("margin"))
+
+
+def debug(files: DataFrame, query: str, limit: int = 10) -> DataFrame:
+    """Every candidate with its components, a decision and, where it was selected, its rank."""
+    scored = scored_candidates(files, query, limit)
+    order = Window.orderBy(F.desc("score"), "path", "start_line")  # over at most MOST rows
+    top = best_of(scored, limit).select("path", "ordinal", "score", "start_line").withColumn("rank", F.row_number().over(order).cast("long"))
+    out = scored.join(F.broadcast(top.select("path", "ordinal", "rank")), ["path", "ordinal"], "left")
     first = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("score"), "ordinal"))
-    one = scored.withColumn("nth", first).where("nth = 1").drop("nth", "text", "size")
-    return one.orderBy(F.desc("score"), "path").limit(limit)
+    why = F.when(F.col("rank").isNotNull(), "selected").when(F.col("score") <= 0, "non_positive_score").when(F.col("nth") > 1, "deduped_lower_score").otherwise("outside_limit")
+    return out.withColumn("nth", first).withColumn("decision", why).drop("nth")
 
 
 def q_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten best files for one passage's opening words."""
+    """The ten best files for the first passage; a plan keeps a query's first terms, as for any query."""
     files = documents_as_files(table(spark, sf_dir, "documents"))
-    opening = table(spark, sf_dir, "benchmark").orderBy("item_id").first()["text"]
-    return search(files, " ".join(opening.split()[:8]))
+    return search(files, table(spark, sf_dir, "benchmark").orderBy("item_id").first()["text"])
 
 
 QUERIES = {"search": q_search}

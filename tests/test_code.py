@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from navspark.functions.paths import normalize_prefix, roles
 from navspark.operators.code import file_graph, read_first, sections, symbols
 from navspark.operators.graph import components, distances
-from navspark.operators.search import search
+from navspark.operators.search import confidence, debug, match_snippet, penalties, search
 from navspark.plans.query_plan import plan
 from navspark.sources.corpus import merge, usage_lines
 
@@ -60,6 +61,38 @@ def test_search_prefers_code(files):
     assert "src/orders/service.ts" in got[:2]
 
 
+def test_search_limits_and_report(files):
+    every = search(files, "order service", 50).collect()
+    assert [r.path for r in search(files, "order service", 0).collect()] == [every[0].path]
+    report = debug(files, "order service", 1).collect()
+    chosen = [r for r in report if r.decision == "selected"]
+    assert [(r.path, r.rank) for r in chosen] == [(every[0].path, 1)]
+    assert {r.path for r in report if r.decision == "outside_limit"} == {r.path for r in every[1:]}
+    assert all(r["rank"] is None for r in report if r.decision != "selected")
+    assert all(any(w in r.snippet.lower() for w in ("order", "service")) for r in every if "order" in r.snippet.lower())
+
+
+def test_confidence(spark):
+    rows = [("a", 10.0), ("b", 9.5), ("c", 1.0)]
+    level = lambda part: tuple(confidence(spark.createDataFrame(part, "path string, score double")).first())
+    assert level([]) == ("none", 0.0) and level(rows[:1]) == ("single", 1.0)
+    assert level(rows) == ("low", 0.05) and level([rows[0], rows[2]]) == ("high", 0.9)
+
+
+@pytest.mark.parametrize(
+    "path, query, want",
+    [("tests/a.ts", "function lock", 3.0), ("tests/a.ts", "where implemented", 8.0), ("src/a.test.ts", "implementation", 8.0), ("src/latest.ts", "implementation", 0.0), ("src/test", "function", 0.0), ("docs/x.md", "function lock", 6.0), ("README", "class lock", 6.0), ("docs/x.md", "queue", 0.0), ("src/a_test.py", "function lock", 3.0), ("test/readme.md", "function lock", 9.0), ("tests/a.ts", "tests implemented", 3.0)],
+)
+def test_penalties(spark, path, query, want):
+    assert spark.createDataFrame([(path,)], "path string").select(penalties(F.col("path"), plan(query))).first()[0] == want
+
+
+def test_match_snippet(spark):
+    texts = ["\n".join("abcdefgh"), "one\ntwo\nthe Lock here\nfour\nfive\nsix", "lock\r\n2\n3\n4", "", None]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", match_snippet(F.col("t"), plan("lock")).alias("s")).orderBy("i").collect()
+    assert [r.s for r in got] == [texts[0], "one\ntwo\nthe Lock here\nfour\nfive", "lock\n2\n3", "", None]
+
+
 def test_plan():
     got = plan('where is the "order total" in OrderService.ts')
     assert got.phrases == ["order total"] and got.path_like and {"order", "service"} <= set(got.core)
