@@ -1,4 +1,4 @@
-"""The event log as a stream: de-duplicated hourly windows with a watermark."""
+"""The event log as a stream: de-duplicated hourly, sliding and session windows with a watermark."""
 
 from __future__ import annotations
 
@@ -10,14 +10,24 @@ from pyspark.sql import functions as F
 from navspark.sources.corpus import table
 
 
-def hourly(events: DataFrame) -> DataFrame:
-    """hour, event_type, n: works alike on a batch and on a stream (events up to a day late are counted)."""
-    rows = events.select("event_id", F.col("ts").cast("timestamp").alias("at"), "event_type")
+def once(events: DataFrame) -> DataFrame:
+    """event_id, at, user_id, event_type: one row an event; a stream waits a day for late ones."""
+    rows = events.select("event_id", F.col("ts").cast("timestamp").alias("at"), "user_id", "event_type")
     if events.isStreaming:
-        rows = rows.withWatermark("at", "1 day").dropDuplicatesWithinWatermark(["event_id"])
-    else:
-        rows = rows.dropDuplicates(["event_id"])
-    return rows.groupBy(F.window("at", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("hour"), "event_type", "n")
+        return rows.withWatermark("at", "1 day").dropDuplicatesWithinWatermark(["event_id"])
+    return rows.dropDuplicates(["event_id"])
+
+
+def hourly(events: DataFrame, length: str = "1 hour", slide: str | None = None) -> DataFrame:
+    """hour, event_type, n: works alike on a batch and on a stream; with ``slide``, windows begin that often and overlap."""
+    window = F.window("at", length, slide) if slide else F.window("at", length)
+    return once(events).groupBy(window.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("hour"), "event_type", "n")
+
+
+def sessions(events: DataFrame, gap: str = "15 minutes") -> DataFrame:
+    """user_id, first, last, n: a user's events that follow each other in less than the gap; events without a time have none."""
+    rows = once(events).where("at is not null").groupBy("user_id", F.session_window("at", gap).alias("w"))
+    return rows.agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count(F.lit(1)).alias("n")).select("user_id", "first", "last", "n")
 
 
 def run_available(stream: DataFrame, root: str) -> DataFrame:
@@ -33,13 +43,36 @@ def run_available(stream: DataFrame, root: str) -> DataFrame:
     return rows.groupBy("hour", "event_type").agg(F.max_by("n", "trigger").alias("n"))
 
 
-def q_hourly_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def streamed(spark: SparkSession, sf_dir: str, length: str, slide: str | None = None) -> DataFrame:
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "/tmp/navspark-checkpoints"
     path = f"{sf_dir}/event[s].parquet"  # a pattern: the source takes a single file only so
     events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(path)
-    out = run_available(hourly(events), f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}")
+    out = run_available(hourly(events, length, slide), f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}")
     return out.select(F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n")
 
 
-QUERIES = {"hourly_stream": q_hourly_stream}
-SQL = {"hourly_stream": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as hour, event_type, count(distinct event_id) as n from events group by all"}
+def q_hourly_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streamed(spark, sf_dir, "1 hour")
+
+
+def q_sliding_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streamed(spark, sf_dir, "1 day", "6 hours")
+
+
+def q_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    return sessions(table(spark, sf_dir, "events")).select("user_id", text("first"), text("last"), "n")
+
+
+QUERIES = {"hourly_stream": q_hourly_stream, "sliding_stream": q_sliding_stream, "sessions": q_sessions}
+SQL = {
+    "hourly_stream": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as hour, event_type, count(distinct event_id) as n from events group by all",
+    "sliding_stream": """
+with w as (select event_id, event_type, time_bucket(interval '6 hours', ts) - to_hours(6 * unnest(range(4))) as s from events where ts is not null)
+select strftime(s, '%Y-%m-%d %H:%M:%S') as hour, event_type, count(distinct event_id) as n from w group by all""",
+    "sessions": """
+with o as (select distinct on (event_id) event_id, user_id, ts from events where ts is not null),
+     g as (select user_id, ts, coalesce(ts - lag(ts) over (partition by user_id order by ts) < interval '15 minutes', false) as joined from o),
+     s as (select user_id, ts, sum(case when joined then 0 else 1 end) over (partition by user_id order by ts rows unbounded preceding) as nth from g)
+select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') as first, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') as last, count(*) as n from s group by user_id, nth""",
+}
