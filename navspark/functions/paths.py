@@ -64,6 +64,12 @@ def roles(path: Column, size: Column) -> Column:
         "agent_instructions": base.isin("agents.md", "claude.md"),
         "build_output": low.rlike(r"(^|/)(dist|build|out)/"),
         "configuration": base.rlike(r"(^|[._-])config\.|^\.[a-z]+rc|\.(toml|ya?ml|json)$"),
+        "dependencies": base.isin("pyproject.toml", "package.json", "requirements.txt", "cargo.toml", "go.mod"),
+        "provider": low.rlike(r"(^|/)providers/") | base.rlike(r"(^|[._-])provider([._-]|$)"),
+        "setup": base.isin("prepare.py", "setup.py"),
+        "tooling": low.rlike(r"(^|/)scripts/"),
+        "archived_documentation": low.rlike(r"(^|/)docs/archive/"),
+        "local_agent_settings": low == ".claude/settings.local.json",
         "decision_record": low.rlike(r"(^|/)(adr|adrs|decisions)/"),
         "documentation": extension(path).isin("md", "mdx", "txt") | low.rlike(r"(^|/)docs?/"),
         "generated": low.rlike(r"(^|/)generated/|\.generated\.|_pb2?\."),

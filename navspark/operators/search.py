@@ -6,57 +6,115 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from navspark.functions.paths import basename, extension, roles, snippet, stem
+from navspark.operators.code import symbols
+from navspark.operators.graph import _saved
 from navspark.operators.text_index import bm25, chunks, postings
-from navspark.plans.query_plan import Plan, plan
+from navspark.plans.query_plan import Plan, Tier, plan
 from navspark.sources.corpus import documents_as_files, table
 
 
 #: Extensions and base names of texts about code, and the most results that a search gives.
 PROSE, PROSE_STEMS, MOST = ["md", "mdx", "rst", "txt"], ["readme", "architecture", "changelog", "todo"], 50
+#: Names of a route's handlers, where routes lie, and languages that have symbols.
+VERBS, ROUTE = ["get", "post", "put", "patch", "delete"], r"(^|/)app/api/.+/route\."
+WITH_SYMBOLS = ["typescript", "javascript", "py", "python", "c", "cpp", "java", "go", "rs", "kt", "rb", "php", "markdown"]
+#: Languages of code, by extension.
+CODE = ["ts", "tsx", "js", "jsx", "mts", "mjs", "cts", "cjs", "mtsx", "mjsx", "ctsx", "cjsx", "py", "go", "rs", "java", "rb", "php", "cs", "cpp", "c", "h", "hpp", "swift", "kt", "scala", "sh", "sql"]
 
 
-def coverage(text: Column, terms: list[str]) -> Column:
-    """The share of terms that stand in the text as words; an underscore parts words."""
-    if not terms:
-        return F.lit(0.0)
-    found = [F.lower(text).rlike(f"(^|[^\\p{{L}}\\p{{N}}])\\Q{t}\\E($|[^\\p{{L}}\\p{{N}}])").cast("int") for t in terms]
-    return sum(found[1:], found[0]) / F.lit(float(len(terms)))
+def matched(text: Column, terms: list[str]) -> Column:
+    """The terms that stand in the text as words, an array; an underscore parts words."""
+    low = F.lower(text)
+    return F.array_compact(F.array(*[F.when(low.rlike(f"(^|[^\\p{{L}}\\p{{N}}])\\Q{t}\\E($|[^\\p{{L}}\\p{{N}}])"), F.lit(t)) for t in terms])) if terms else F.array().cast("array<string>")
 
 
-def candidates(pieces: DataFrame, index: DataFrame, stats: DataFrame, of: Plan, limit: int) -> DataFrame:
-    """(path, ordinal, boost, fts): the highest boost a chunk earns from any generator."""
-    spark = pieces.sparkSession
+def coverage(text: Column, terms: list[str]) -> Column:
+    """The share of terms that stand in the text as words."""
+    return F.size(matched(text, terms)) / F.lit(float(len(terms))) if terms else F.lit(0.0)
+
+
+def pieces_of(files: DataFrame) -> DataFrame:
+    """path, ordinal, start_line, end_line, text, kind, symbol: chunks (ordinal 0 and up, no symbol) and symbols (less than 0, their signature as text)."""
+    body = chunks(files).select("path", "ordinal", "start_line", "end_line", "text", F.lit("text").alias("kind"), F.lit(None).cast("string").alias("symbol"))
+    names = symbols(files.where(F.col("language").isin(WITH_SYMBOLS)))
+    return body.unionByName(names.select("path", (-F.col("line")).alias("ordinal"), F.col("line").alias("start_line"), F.col("line").alias("end_line"), F.col("signature").alias("text"), "kind", F.col("name").alias("symbol")))
+
+
+def tier_hits(rows: DataFrame, index: DataFrame, stats: DataFrame, tier: Tier, most: int) -> DataFrame:
+    """path, ordinal, fts of the best rows (piece, text) that a tier matches by their postings."""
+    words = list(dict.fromkeys(w for t in tier.terms for w in t.lower().replace("_", " ").split()))
+    terms = rows.sparkSession.createDataFrame([(0, w) for w in words], "q int, term string")
+    if tier.mode == "prefix":
+        known = index.select("term").distinct().join(F.broadcast(terms.withColumnRenamed("term", "prefix")), F.col("term").startswith(F.col("prefix")))
+        terms = known.select("q", "term").distinct()
+    scored = bm25(index, terms, "piece", "q", stats)
+    if tier.mode in ("all", "phrase"):
+        full = index.join(F.broadcast(terms), "term").groupBy("piece").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(words))
+        scored = scored.join(full, "piece", "left_semi")
+    if tier.mode == "phrase":
+        holds = F.lit(True)
+        for p in tier.terms:
+            holds = holds & F.contains(F.lower("text"), F.lit(p.lower()))
+        scored = scored.join(rows.where(holds), "piece", "left_semi")
+    best = scored.orderBy(F.desc("score"), "piece").limit(most)
+    return best.select("piece.path", "piece.ordinal", (10 + F.least(F.lit(5.0), F.col("score"))).alias("fts"))
+
+
+def indexed(rows: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Postings of rows (piece, text), written once, and their one row of statistics."""
+    index = _saved(postings(rows, "piece", text))
+    return index, index.select("piece", "length").distinct().agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average"))
+
+
+def candidates(pieces: DataFrame, files: DataFrame, of: Plan, limit: int) -> DataFrame:
+    """path, ordinal, boost, fts, in_text: the highest boost that a piece earns from any generator, and whether its text's tokens were a hit."""
     heads = pieces.where("ordinal = 0")
+    low = F.lower("path")
     out = []
+
+    def add(rows: DataFrame, boost: float, fts: Column | None = None, in_text: bool = False) -> None:
+        out.append(rows.select("path", "ordinal", F.lit(float(boost)).alias("boost"), (F.lit(0.0) if fts is None else fts).alias("fts"), F.lit(in_text).alias("in_text")))
+
     if of.path_like:
-        needle = of.normalized
-        hit = heads.where(F.contains(F.lower("path"), F.lit(needle)))
-        out.append(hit.orderBy(F.length("path"), "path").limit(min(limit, 20)).select("path", "ordinal", F.lit(30.0).alias("boost"), F.lit(0.0).alias("fts")))
-    names = [t for t in of.core if len(t) >= 4]
+        add(heads.where(F.contains(low, F.lit(of.normalized))).orderBy(F.length("path"), "path").limit(min(limit, 20)), 30)
+    names = [t for t in of.path_terms if len(t) >= 4]
     if names:
-        out.append(heads.where(F.lower(stem(F.col("path"))).isin(names)).select("path", "ordinal", F.lit(42.0).alias("boost"), F.lit(0.0).alias("fts")))
-    for tier in of.tiers:
-        words = [w for t in tier.terms for w in t.lower().replace("_", " ").split()]
-        terms = spark.createDataFrame([(0, w) for w in dict.fromkeys(words)], "q int, term string")
-        if tier.mode == "prefix":
-            known = index.select("term").distinct().join(F.broadcast(terms.withColumnRenamed("term", "prefix")), F.col("term").startswith(F.col("prefix")))
-            terms = known.select("q", "term").distinct()
-        scored = bm25(index, terms, "piece", "q", stats)
-        if tier.mode in ("all", "phrase"):
-            full = index.join(F.broadcast(terms), "term").groupBy("piece").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(dict.fromkeys(words)))
-            scored = scored.join(full, "piece", "left_semi")
-        if tier.mode == "phrase":
-            text = pieces.select(F.struct("path", "ordinal").alias("piece"), F.lower("text").alias("t"))
-            holds = F.lit(True)
-            for p in tier.terms:
-                holds = holds & F.contains("t", F.lit(p.lower()))
-            scored = scored.join(text.where(holds), "piece", "left_semi")
-        best = scored.orderBy(F.desc("score"), "piece").limit(max(limit, 60))
-        out.append(best.select("piece.path", "piece.ordinal", F.lit(float(tier.boost + 1)).alias("boost"), (10 + F.least(F.lit(5.0), F.col("score"))).alias("fts")))
+        add(heads.where(F.lower(stem(F.col("path"))).isin(names)), 42)
+    if "endpoint" in of.core and of.endpoint_terms:
+        routes = pieces.where(F.lower("symbol").isin(VERBS) & low.rlike(ROUTE)).orderBy(F.length("path"), "path", "start_line").limit(100)
+        add(routes.where(F.size(matched(F.col("path"), of.endpoint_terms)) > 0), 34)
+    meant = [i for i in of.intents if i != "implementation"]
+    if meant:
+        kinds = roles(F.col("path"), F.col("size"))
+        fits = heads.join(files.select("path", "size"), "path").where(F.arrays_overlap(kinds, F.array(*map(F.lit, meant))))
+        fits = fits.orderBy(F.length("path"), "path").limit(500)
+        add(fits.where(~F.array_contains(kinds, "tests") | (F.size(matched(F.concat_ws("\n", "path", "text"), of.core)) >= 3)), 18)
+    keyed = pieces.withColumn("piece", F.struct("path", "ordinal"))
+    body = keyed.where("symbol is null").select("piece", "text")
+    names = keyed.where("symbol is not null").select("piece", F.concat_ws(" ", "path", "symbol", "kind", "text").alias("text"))
+    for rows, source, most, more in ((body, "text", max(limit, 60), 1), (names, "symbol", limit, 4)):
+        index, stats = indexed(rows)
+        for tier in of.tiers:
+            add(tier_hits(rows, index, stats, tier, most), tier.boost + more, F.col("fts"), source == "text")
     rows = out[0]
     for part in out[1:]:
         rows = rows.unionByName(part)
-    return rows.groupBy("path", "ordinal").agg(F.max("boost").alias("boost"), F.max("fts").alias("fts"))
+    return rows.groupBy("path", "ordinal").agg(F.max("boost").alias("boost"), F.max("fts").alias("fts"), F.max("in_text").alias("in_text"))
+
+
+def symbol_score(of: Plan) -> Column:
+    """What a symbol's name adds: the query itself, a term of five letters or more, or most of its beginning; and a route's handler."""
+    name = F.lower("symbol")
+    long = [t for t in of.expanded if len(t) >= 5]
+    begins = F.lit(False)
+    for t in long:
+        begins = begins | (F.startswith(name, F.lit(t)) & (F.lit(len(t)) / F.char_length(name) >= 0.55))
+    named = name.isin(long) if long else F.lit(False)
+    wanted = name.isin([t for t in of.expanded if t in VERBS] or [""]) | (F.size(matched(F.col("path"), of.endpoint_terms)) > 0)
+    handler = F.lit(of.code_intent) & F.lower("path").rlike(r"(^|/)route\.[cm]?[jt]sx?$") & name.isin(VERBS) & wanted
+    score = F.when(F.contains(F.lower("text"), F.lit(of.normalized)), 3.0).otherwise(0.0) + F.when(name == of.normalized, 28.0).otherwise(0.0)
+    score = score + F.when(named, 20.0).when(begins, 10.0).otherwise(0.0) + F.when(handler, 20.0).otherwise(0.0)
+    return F.when(name.isNull(), 0.0).otherwise(score)
 
 
 def penalties(path: Column, of: Plan) -> Column:
@@ -87,11 +145,8 @@ def clamped(limit: int) -> int:
 def scored_candidates(files: DataFrame, query: str, limit: int = 10) -> DataFrame:
     """Every candidate chunk with its score and the score's components."""
     of, limit = plan(query), clamped(limit)
-    pieces = chunks(files)
-    keyed = pieces.select(F.struct("path", "ordinal").alias("piece"), "text")
-    index = postings(keyed, "piece")
-    stats = index.select("piece", "length").distinct().agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average"))
-    found = candidates(pieces, index, stats, of, limit).join(pieces, ["path", "ordinal"]).join(files.select("path", "size"), "path")
+    pieces = _saved(pieces_of(files))
+    found = candidates(pieces, files, of, limit).join(pieces, ["path", "ordinal"]).join(files.select("path", "size"), "path")
     low, base = F.lower("path"), F.lower(basename(F.col("path")))
     q = F.lit(of.normalized)
     depth = F.size(F.split("path", "/")) - 1
@@ -99,7 +154,7 @@ def scored_candidates(files: DataFrame, query: str, limit: int = 10) -> DataFram
     noisy = lambda *names: F.arrays_overlap(kinds, F.array(*map(F.lit, names)))
     noise = F.when(noisy("lockfile", "generated"), 60.0).when(noisy("build_output", "minified"), 48.0).when(noisy("large_json"), 36.0).when(noisy("agent_instructions") & F.lit("agent_instructions" not in of.intents), 18.0).otherwise(0.0)
     wanted = F.arrays_overlap(kinds, F.array(*map(F.lit, of.intents))) if of.intents else F.lit(False)
-    code = extension(F.col("path")).isin("ts", "tsx", "js", "jsx", "py", "go", "rs", "java", "c", "cpp")
+    code = extension(F.col("path")).isin(CODE)
     docs_wanted = bool({"overview", "documentation", "decision_record", "agent_instructions"} & set(of.intents))
     lift = (noise == 0) & F.lit(of.code_intent or not docs_wanted)
     parts = {
@@ -111,8 +166,24 @@ def scored_candidates(files: DataFrame, query: str, limit: int = 10) -> DataFram
         "penalty": penalties(F.col("path"), of),
         "snippet": match_snippet(F.col("text"), of),
     }
-    total = sum((F.col(c) for c in ("fts", "path_score", "name_score", "text_score", "role_score")), F.col("boost")) - F.col("noise") - F.col("penalty")
-    return found.withColumns(parts).withColumn("score", F.round(total, 6)).drop("text", "size")
+    scored = found.withColumns(parts).withColumn("symbol_score", symbol_score(of)).withColumn("matched", matched(F.concat_ws("\n", "path", "text", "symbol"), of.core))
+    share = F.size("matched") / F.lit(float(max(1, len(of.core))))
+    # A symbol that only its signature speaks for earns what it has over a chunk by its share of the terms.
+    weak = F.col("symbol").isNotNull() & (F.col("symbol_score") == 0) & ~F.lower(stem(F.col("path"))).isin(of.core or [""])
+    scored = scored.withColumn("boost", F.when(weak, F.greatest(F.lit(0.0), F.col("boost") - 3 * (1 - share))).otherwise(F.col("boost")))
+    total = sum((F.col(c) for c in ("fts", "path_score", "name_score", "text_score", "symbol_score", "role_score")), F.col("boost")) - F.col("noise") - F.col("penalty")
+    return with_file_coverage(_saved(scored.withColumn("score", F.round(total, 6)).drop("text", "size")), of, limit)
+
+
+def with_file_coverage(scored: DataFrame, of: Plan, limit: int) -> DataFrame:
+    """The candidates, those by their text raised for terms that other candidates of their file have, unless the file is among the best anyway."""
+    if not of.core:
+        return scored.withColumn("file_score", F.lit(0.0)).drop("matched", "in_text")
+    of_file = scored.groupBy("path").agg(F.size(F.array_distinct(F.flatten(F.collect_list("matched")))).alias("all"))
+    seen = best_of(scored, limit).select("path", F.lit(True).alias("seen"))  # at most MOST rows
+    more = F.when(F.col("in_text") & F.col("seen").isNull(), 3 * (F.col("all") - F.size("matched")) / F.lit(float(len(of.core)))).otherwise(0.0)
+    rows = scored.join(of_file, "path").join(F.broadcast(seen), "path", "left").withColumn("file_score", more)
+    return rows.withColumn("score", F.round(F.col("score") + F.col("file_score"), 6)).drop("matched", "in_text", "all", "seen")
 
 
 def best_of(scored: DataFrame, limit: int) -> DataFrame:

@@ -12,17 +12,26 @@ CODE_INTENT = set("aggregator class delivery endpoint function handler implement
 MOST_RAW, MOST_TERMS = 12, 16
 RAW = regex.compile(r"[\p{L}\p{N}_.$/-]+")
 PARTS = regex.compile(r"\p{Lu}+(?=\p{Lu}\p{Ll})|\p{Lu}?[\p{Ll}\p{Lo}]+|\p{Lu}+|\p{N}+")
-#: Words that name a role.
+#: Words and phrases that name a role.
 ROLE_WORDS = {
-    "overview": {"purpose", "readme"},
-    "agent_instructions": {"agent", "agents", "instructions", "program", "claude"},
-    "implementation": {"implemented", "implementation", "source", "defined", "architecture", "model", "used", "orchestrator", "pipeline", "provider", "run"},
+    "overview": {"purpose", "readme", "edit"},
+    "agent_instructions": {"agent", "agents", "instructions", "program", "claude", "edit"},
+    "implementation": {"implemented", "implementation", "source", "defined", "architecture", "model", "used", "orchestrator", "pipeline", "provider", "run", "main", "entry", "entrypoint"},
+    "provider": {"provider", "providers"},
     "configuration": {"config", "configuration"},
-    "documentation": {"doc", "docs", "documentation"},
+    "documentation": {"docs", "doc", "documentation"},
     "decision_record": {"adr", "decision", "scope", "scopes"},
-    "tests": {"test", "tests", "testing"},
-    "main": {"main", "entry", "entrypoint", "orchestrator"},
+    "tests": {"tests", "test", "testing"},
+    "main": {"main", "entry", "entrypoint", "orchestrator", "edit"},
+    "setup": {"computed", "data", "setup", "preparation", "prepare"},
+    "dependencies": {"dependencies", "dependency", "package", "pyproject"},
 }
+ROLE_PHRASES = {
+    "overview": ["what is this project", "project about", "not be modified", "not modified", "do not modify"],
+    "setup": ["not be modified", "not modified", "do not modify"],
+}
+#: Compounds that count as one name, base names that a term also means, and words that say nothing about an endpoint's path.
+COMPOUNDS, PATH_TERMS, ENDPOINT_NOISE = {"localstorage"}, {"preload": ["retrieval"]}, {"return", "returns", "show", "shows", "should"}
 
 
 @dataclass
@@ -42,6 +51,8 @@ class Plan:
     core: list[str]
     intents: list[str]
     code_intent: bool
+    path_terms: list[str]
+    endpoint_terms: list[str]
     tiers: list[Tier] = field(default_factory=list)
 
 
@@ -54,20 +65,42 @@ def parts(term: str) -> list[str]:
     return [term.lower(), *(x.lower() for x in PARTS.findall(term))]
 
 
+def compounds(raw: list[str]) -> list[str]:
+    """Last words of neighbouring terms as one name, if one of them is a single character or the name is known; a stop word parts them."""
+    last, out = [parts(t)[-1] for t in raw], []
+    for left, right in zip(last, last[1:], strict=False):
+        name = left + right
+        usual = 5 <= len(name) <= 32 and regex.fullmatch(r"[\p{L}\p{N}]+", name)
+        if usual and not {left, right} & STOP_WORDS and (min(len(left), len(right)) == 1 or name in COMPOUNDS):
+            out.append(name)
+    return unique(out, len(out))
+
+
+def endpoint_terms(terms: list[str]) -> list[str]:
+    """The two terms before each word "endpoint" and the one behind it, without those that name no path."""
+    near = [t for i, x in enumerate(terms) if x == "endpoint" for t in [*terms[max(0, i - 2) : i], *terms[i + 1 : i + 2]]]
+    return unique([t for t in near if len(t) > 2 and t not in STOP_WORDS | ENDPOINT_NOISE], len(near))
+
+
+def roles_meant(normalized: str, core: list[str]) -> list[str]:
+    """Roles that words or phrases of the query name; "overview" does so only with at most one other term."""
+    alone = {"overview"} if "overview" in core and len(core) <= 2 else set()
+    return [k for k, words in ROLE_WORDS.items() if words & set(core) or k in alone or any(p in normalized for p in ROLE_PHRASES.get(k, ()))]
+
+
 def plan(query: str) -> Plan:
     phrases = regex.findall(r'"([^"]+)"', query)
-    raw = RAW.findall(query)[:MOST_RAW]
+    every = RAW.findall(query)
+    raw = every[:MOST_RAW]
     if not raw and not phrases:
         raise ValueError("the query has no terms")
     normalized = regex.sub(r'^"|"$', "", query.strip()).lower()
-    expanded = unique([p for t in raw for p in parts(t) if len(p) > 1], MOST_TERMS)
-    if {"session", "repo"} <= set(expanded):
-        expanded = unique([*expanded, "scope"], MOST_TERMS)
+    words = [p for t in raw for p in parts(t) if len(p) > 1]
+    scope = ["scope"] if {"session", "repo"} <= set(words) else []
+    expanded = unique([*words, *scope, *compounds(every)], MOST_TERMS)
     core = [t for t in expanded if t not in STOP_WORDS]
-    intents = [k for k, words in ROLE_WORDS.items() if words & set(core)]
-    if ("what is this project" in normalized or "project about" in normalized) and "overview" not in intents:
-        intents.insert(0, "overview")
-    out = Plan(normalized, bool(regex.search(r"[/.\\-]", normalized)), phrases, raw, expanded, core, intents, bool(CODE_INTENT & set(core)))
+    paths = unique([p for t in core for p in PATH_TERMS.get(t, ())], MOST_TERMS)
+    out = Plan(normalized, bool(regex.search(r"[/.\\-]", normalized)), phrases, raw, expanded, core, roles_meant(normalized, core), bool(CODE_INTENT & set(core)), paths, endpoint_terms(expanded))
     boosted = bool(phrases) or len(expanded) > 1
     ladder = [("phrase", phrases, 24), ("all", [t.lower() for t in raw], 18), ("all", core, 16), ("all", ["session", "repo"] if {"session", "repo"} <= set(expanded) else [], 14), ("all", expanded, 12), ("prefix", expanded, 8), ("any", expanded, 0)]
     seen: dict[tuple, Tier] = {}

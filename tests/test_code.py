@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from navspark.functions.paths import normalize_prefix, roles
 from navspark.operators.code import file_graph, read_first, sections, symbols
 from navspark.operators.graph import components, distances
-from navspark.operators.search import confidence, debug, match_snippet, penalties, search
+from navspark.operators.search import confidence, debug, match_snippet, penalties, search, with_file_coverage
 from navspark.plans.query_plan import plan
 from navspark.sources.corpus import merge, usage_lines
 
@@ -123,3 +123,37 @@ def test_usage_lines(spark):
     lines = ['{"ts":"1","command":"search"}', "", " ", "{bad", "[1]", '{"ts":"2"}', '{"ts":"3","command":"index"}']
     events, bad = usage_lines(spark.createDataFrame([(x,) for x in lines], "value string"))
     assert events.count() == 2 and bad.first().malformed == 3
+
+
+def test_plan_compounds_and_endpoints():
+    got = plan("where is local storage read")
+    assert "localstorage" in got.core
+    assert "xrays" in plan("the x rays").core and "arays" not in plan("a rays").core
+    assert plan("orders list endpoint returns totals").endpoint_terms == ["orders", "list"]
+    assert plan("preload data").path_terms == ["retrieval"]
+    assert plan("overview").intents == ["overview"] and "overview" not in plan("overview tab cards").intents
+
+
+def test_search_by_symbol_route_and_role(spark):
+    rows = {
+        "web/app/api/orders/route.ts": ("typescript", "export async function GET(request: Request) {\n  return list()\n}\n"),
+        "web/app/api/users/route.ts": ("typescript", "export async function GET(request: Request) {\n  return people()\n}\n"),
+        "lib/stores.py": ("py", "class Nothing:\n    pass\n\n\ndef reconcile():\n    return 0\n"),
+        "lib/other.py": ("py", "def reconciled_rows():\n    return 1\n"),
+        "setup.py": ("py", "x = 1\n"),
+        "empty.py": ("py", ""),
+    }
+    files = spark.createDataFrame([(p, t, lang, len(t)) for p, (lang, t) in rows.items()], "path string, text string, language string, size long")
+    best = search(files, "reconcile").collect()
+    assert [r.path for r in best] == ["lib/stores.py", "lib/other.py"]
+    assert (best[0].symbol, best[0].start_line, best[0].symbol_score) == ("reconcile", 5, 51.0)
+    best = search(files, "orders endpoint handler").collect()
+    assert best[0].path == "web/app/api/orders/route.ts" and best[0].symbol == "GET" and best[0].boost >= 34
+    assert "setup.py" in [r.path for r in search(files, "prepare everything").collect()]
+
+
+def test_file_coverage(spark):
+    rows = [("a", 0, 9.0, ["x"], True), ("b", 0, 5.0, ["x"], True), ("b", -1, 4.0, ["y"], False)]
+    scored = spark.createDataFrame([(*r, 1) for r in rows], "path string, ordinal long, score double, matched array<string>, in_text boolean, start_line int")
+    got = with_file_coverage(scored, plan("x1 y1"), 1).orderBy("path", "ordinal").collect()
+    assert [(r.path, r.ordinal, r.score) for r in got] == [("a", 0, 9.0), ("b", -1, 4.0), ("b", 0, 6.5)]
