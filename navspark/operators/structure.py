@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from navspark.functions.paths import roles
 from navspark.operators.code import sections
 
 #: Lines of a window and lines from one window's start to the next's.
@@ -22,6 +23,9 @@ LEXEME = re.compile(
     re.S,
 )
 HEADERS, SOURCES = ["h", "hh", "hpp", "hxx"], ["c", "cc", "cpp", "cxx"]
+#: Words that name no route, and roles of files that aren't handlers.
+ROUTE_NOISE = ["app", "api", "route", "handler", "src", "web", "lib", "server"]
+NO_HANDLERS = ["tests", "generated", "build_output", "minified", "lockfile"]
 
 
 def windows(n: int) -> list[tuple[int, int]]:
@@ -174,6 +178,37 @@ def counterparts(files: DataFrame) -> DataFrame:
     return pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
+def path_words(path: Column) -> Column:
+    """The distinct words of a path, three letters or more, without a plural's s."""
+    words = F.transform(F.split(F.lower(path), "[^a-z0-9]+"), _singular)
+    return F.array_distinct(F.filter(words, lambda w: F.char_length(w) >= 3))
+
+
+def _singular(word: Column) -> Column:
+    return F.when(F.endswith(word, F.lit("s")) & (F.char_length(word) > 4), F.substr(word, F.lit(1), F.char_length(word) - 1)).otherwise(word)
+
+
+def route_pairs(files: DataFrame, limit: int = 4) -> DataFrame:
+    """src, dst: routes and the handlers whose paths hold every word of theirs, both ways, the nearest ``limit`` of each.
+
+    A join by set containment: each word of a route (or its singular) meets the handlers' words, and pairs with as many
+    of the route's words as it has are kept. Only scripts that are neither tests nor noise (by path and size) take part.
+    """
+    path, low = F.col("path"), F.lower("path")
+    kinds = roles(path, F.col("size") if "size" in files.columns else F.lit(0))
+    shut = F.arrays_overlap(kinds, F.array(*map(F.lit, NO_HANDLERS))) | F.regexp_extract(low, "([^/]*)$", 1).rlike(r"(^|[._-])config\.")
+    code = files.where(low.rlike(r"\.[cm]?[jt]sx?$") & ~shut).select("path", F.regexp_extract(low, r"(?:^|/)app/api/(.+)/route\.[^./]+$", 1).alias("named"))
+    words = F.array_except(path_words(F.col("named")), F.array(*map(F.lit, ROUTE_NOISE)))
+    routes = code.where("named <> ''").select(F.col("path").alias("route"), words.alias("words"))
+    each = routes.select("route", F.size("words").alias("n"), F.explode("words").alias("w")).select("route", "n", "w", F.explode(F.array_distinct(F.array("w", _singular(F.col("w"))))).alias("word"))
+    handlers = code.where((F.col("named") == "") & F.regexp_extract(low, "([^/]*)$", 1).rlike(r"(^|[._-])handler([._-]|$)"))
+    held = handlers.select(F.col("path").alias("handler"), F.explode(path_words(path)).alias("word"))
+    pairs = each.join(held, "word").groupBy("route", "handler", "n").agg(F.count_distinct("w").alias("met")).where("met = n")
+    both = pairs.select(F.col("route").alias("src"), F.col("handler").alias("dst")).unionByName(pairs.select(F.col("handler").alias("src"), F.col("route").alias("dst")))
+    near = F.row_number().over(Window.partitionBy("src").orderBy(F.desc(locality(F.col("src"), F.col("dst"))), "dst"))
+    return both.withColumn("nth", near).where(F.col("nth") <= limit).drop("nth")
+
+
 def neighbours(edges: DataFrame, limit: int = 16) -> DataFrame:
     """path, direction, other, rank over edges (src, dst, line, specifier): the first imports by line, the first importers by path."""
     out = edges.select(F.col("src").alias("path"), F.lit("outgoing").alias("direction"), F.col("dst").alias("other"), F.struct(F.col("line").isNull(), "line", "dst", "specifier").alias("o"))
@@ -185,7 +220,7 @@ def neighbours(edges: DataFrame, limit: int = 16) -> DataFrame:
 
 def related(files: DataFrame, edges: DataFrame, limit: int = 8) -> DataFrame:
     """path, other, reasons, rank: imports, importers and counterparts of every file, each once, the nearest by locality first."""
-    parts = [edges.select(F.col("src").alias("path"), F.col("dst").alias("other"), F.lit("import").alias("reason")), edges.select(F.col("dst").alias("path"), F.col("src").alias("other"), F.lit("reverse_import").alias("reason")), counterparts(files).select(F.col("src").alias("path"), F.col("dst").alias("other"), F.lit("implementation_pair").alias("reason"))]
+    parts = [edges.select(F.col("src").alias("path"), F.col("dst").alias("other"), F.lit("import").alias("reason")), edges.select(F.col("dst").alias("path"), F.col("src").alias("other"), F.lit("reverse_import").alias("reason")), counterparts(files).unionByName(route_pairs(files)).select(F.col("src").alias("path"), F.col("dst").alias("other"), F.lit("implementation_pair").alias("reason"))]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("path", "other").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
     near = Window.partitionBy("path").orderBy(F.desc(locality(F.col("path"), F.col("other"))), "other")
     return rows.select("path", "other", "reasons", F.row_number().over(near).cast("long").alias("rank")).where(F.col("rank") <= limit)

@@ -30,6 +30,23 @@ def sessions(events: DataFrame, gap: str = "15 minutes") -> DataFrame:
     return rows.agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count(F.lit(1)).alias("n")).select("user_id", "first", "last", "n")
 
 
+def followed(events: DataFrame, first: str = "view", then: str = "purchase", within: str = "1 hour") -> DataFrame:
+    """first_id, then_id, user_id, lag_us: events of one kind that a user's event of another follows in time; a join of two streams or of two tables.
+
+    Both sides carry a watermark and the join bounds their times, so a stream drops the state of events that can't be joined any more.
+    """
+    side = lambda kind, name: once(events).where(F.col("event_type") == kind).select(F.col("event_id").alias(f"{name}_id"), F.col("user_id").alias(f"{name}_user"), F.col("at").alias(f"{name}_at"))
+    on = F.expr(f"then_user = first_user and then_at >= first_at and then_at <= first_at + interval {within}")
+    rows = side(first, "first").join(side(then, "then"), on)
+    return rows.select("first_id", "then_id", F.col("first_user").alias("user_id"), (F.unix_micros("then_at") - F.unix_micros("first_at")).alias("lag_us"))
+
+
+def append_available(stream: DataFrame, root: str) -> DataFrame:
+    """Runs a stream of final rows over what is there, and reads what it wrote."""
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{root}/state").option("path", f"{root}/out").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/out")
+
+
 def run_available(stream: DataFrame, root: str) -> DataFrame:
     """Runs a stream over what is there; each trigger's changed rows replace earlier ones of the same window."""
     spark = stream.sparkSession
@@ -43,14 +60,24 @@ def run_available(stream: DataFrame, root: str) -> DataFrame:
     return rows.groupBy("hour", "event_type").agg(F.max_by("n", "trigger").alias("n"))
 
 
-def streamed(spark: SparkSession, sf_dir: str, length: str, slide: str | None = None) -> DataFrame:
+def event_stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """The events as a stream, and a new folder for its state."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "/tmp/navspark-checkpoints"
     path = f"{sf_dir}/event[s].parquet"  # a pattern: the source takes a single file only so
-    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(path)
-    out = run_available(hourly(events, length, slide), f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}")
+    return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(path), f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def streamed(spark: SparkSession, sf_dir: str, length: str, slide: str | None = None) -> DataFrame:
+    events, root = event_stream(spark, sf_dir)
+    out = run_available(hourly(events, length, slide), root)
     return out.select(F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n")
 
 
+def q_followed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, root = event_stream(spark, sf_dir)
+    return append_available(followed(events), root)
+
+
 def q_hourly_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streamed(spark, sf_dir, "1 hour")
 
@@ -64,8 +91,12 @@ def q_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions(table(spark, sf_dir, "events")).select("user_id", text("first"), text("last"), "n")
 
 
-QUERIES = {"hourly_stream": q_hourly_stream, "sliding_stream": q_sliding_stream, "sessions": q_sessions}
+QUERIES = {"hourly_stream": q_hourly_stream, "sliding_stream": q_sliding_stream, "sessions": q_sessions, "followed_stream": q_followed_stream}
 SQL = {
+    "followed_stream": """
+with o as (select distinct on (event_id) event_id, user_id, ts, event_type from events where ts is not null)
+select a.event_id as first_id, b.event_id as then_id, a.user_id, epoch_us(b.ts) - epoch_us(a.ts) as lag_us from o a join o b
+ on a.user_id = b.user_id and a.event_type = 'view' and b.event_type = 'purchase' and b.ts >= a.ts and b.ts <= a.ts + interval '1 hour'""",
     "hourly_stream": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as hour, event_type, count(distinct event_id) as n from events group by all",
     "sliding_stream": """
 with w as (select event_id, event_type, time_bucket(interval '6 hours', ts) - to_hours(6 * unnest(range(4))) as s from events where ts is not null)

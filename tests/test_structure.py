@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from navspark.functions.commands import is_broad, searches_broadly, simple_commands
 from navspark.operators.code import symbols
-from navspark.operators.structure import alias_targets, counterparts, locality, neighbours, pieces, plain_json, related, structured_chunks, windows
+from navspark.operators.structure import alias_targets, counterparts, locality, neighbours, pieces, plain_json, related, route_pairs, structured_chunks, windows
 from navspark.sources.corpus import tree
 from navspark.sources.upkeep import collectable, ignored_by, retained, reused_hashes, skip_reason, usage_filter
 
@@ -103,6 +103,15 @@ def test_relations(spark):
     assert {r.other: r.reasons for r in related(files, edges).where("path = 'lib/a.c'").collect()} == {"lib/a.h": ["implementation_pair", "import"], "lib/b.h": ["import"]}
 
 
+def test_route_pairs(spark):
+    paths = ["web/app/api/orders/items/route.ts", "src/order/items-handler.ts", "src/orders/handler.ts", "tests/orders/items-handler.ts", "web/app/api/route.ts", "lib/order-item.handler.js", "src/orders-items.ts"]
+    pairs = {tuple(r) for r in route_pairs(spark.createDataFrame([(p, 1) for p in paths], "path string, size long")).collect()}
+    want = {(paths[0], paths[1]), (paths[0], paths[5])}
+    assert pairs == want | {(b, a) for a, b in want}
+    assert {r.dst for r in route_pairs(spark.createDataFrame([(p,) for p in paths], "path string"), 1).where(f"src = '{paths[0]}'").collect()} == {paths[1]}
+    assert not route_pairs(spark.createDataFrame([], "path string, size long")).collect()
+
+
 def test_aliases(spark):
     config = '{ // c\n "compilerOptions": {"baseUrl": "./src", "paths": {"@/*": ["*", "gen/*"], "@/ui/*": ["ui/*/index"], "env": ["env.ts",]}, },}'
     configs = spark.createDataFrame([("app/tsconfig.json", config), ("tsconfig.json", '{"compilerOptions": {"paths": {"@/*": ["root/*"]}}}'), ("bad/tsconfig.json", "[")], "path string, text string")
