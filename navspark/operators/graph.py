@@ -2,21 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from navspark.sources.corpus import table
-
-
-def _saved(df: DataFrame) -> DataFrame:
-    """The rows from a table in the shared folder, which ends the lineage of a loop."""
-    spark = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "/tmp/navspark-checkpoints"
-    path = f"{root.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from navspark.sources.scratch import saved as _saved
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:

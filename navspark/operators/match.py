@@ -7,20 +7,20 @@ is left out of an expression, and an expression without another phrase matches n
 
 from __future__ import annotations
 
-import unicodedata
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navspark.operators.text_index import B, K1, MARKED, PLAIN, tokens
+from navspark.operators.text_index import B, K1, MARKED, PLAIN, folded, tokens
 from navspark.sources.corpus import documents_as_files, table
 
-#: Terms that are pushed to the scan as literals; beyond it the join alone filters.
-PUSHED = 200
 FOLD = str.maketrans(dict(zip(MARKED, PLAIN, strict=True)))
-TOKEN = regex.compile(r"[\p{L}\p{N}]+")
+TOKEN, ASCII_TOKEN = regex.compile(r"[\p{L}\p{N}]+"), re.compile("[0-9a-z]+")
 
 
 @dataclass(frozen=True)
@@ -37,8 +37,7 @@ class Expression:
 
 def query_tokens(text: str) -> tuple[str, ...]:
     """A query text's tokens, as the index has them."""
-    low = text.lower().translate(FOLD)
-    return tuple(TOKEN.findall("".join(c for c in low if not "̀" <= c <= "ͯ") if not low.isascii() else low))
+    return tuple(TOKEN.findall(re.sub("[\u0300-\u036f]", "", text.lower().translate(FOLD))))
 
 
 def phrase(text: str, prefix: bool = False) -> Phrase:
@@ -50,24 +49,44 @@ def expression(mode: str, phrases: list[Phrase]) -> Expression:
 
 
 def positional(rows: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
-    """key, length (a row's tokens in all columns), column, term, positions (ascending, from 0) of the columns' texts."""
-    parsed = rows.select(*key, F.array(*[F.struct(F.lit(c).alias("column"), tokens(F.coalesce(F.col(c), F.lit(""))).alias("terms")) for c in columns]).alias("parsed"))
-    sized = parsed.withColumn("length", F.aggregate("parsed", F.lit(0).cast("long"), lambda n, c: n + F.size(c["terms"])))
-    each = sized.select(*key, "length", F.inline("parsed")).select(*key, "length", "column", F.posexplode("terms").alias("position", "term"))
-    return each.groupBy(*key, "length", "column", "term").agg(F.sort_array(F.collect_list("position")).alias("positions"))
+    """key, length (a row's tokens in all columns), column, term, positions (ascending, from 0) of the columns' texts; null counts as empty.
 
-
-def asked(spark: SparkSession, expressions: list[Expression]) -> DataFrame:
-    """query, phrase, place, term, last (a prefix), size (of the phrase): a row for each token of each phrase."""
-    rows = [(q, k, i, t, p.prefix and i == len(p.tokens) - 1, len(p.tokens)) for q, e in enumerate(expressions) for k, p in enumerate(e.phrases) for i, t in enumerate(p.tokens)]
-    return spark.createDataFrame(rows, "query int, phrase int, place int, term string, prefix boolean, size int")
+    Texts are folded by Spark; a row's tokens are gathered within its task, so nothing is shuffled.
+    """
+    width = len(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [batch.column(width + k).to_pylist() for k in range(len(columns))]
+            at, lengths, names, terms, positions, ends = [], [], [], [], [], [0]
+            for i in range(batch.num_rows):
+                found = [ASCII_TOKEN.findall(t) if t.isascii() else TOKEN.findall(t) for t in (c[i] for c in texts)]
+                length = sum(map(len, found))
+                for name, words in zip(columns, found, strict=True):
+                    places: dict[str, list[int]] = {}
+                    for n, word in enumerate(words):
+                        places.setdefault(word, []).append(n)
+                    at += [i] * len(places)
+                    lengths += [length] * len(places)
+                    names += [name] * len(places)
+                    terms += places
+                    for found_at in places.values():
+                        positions += found_at
+                        ends.append(len(positions))
+            keys = [batch.column(k).take(pa.array(at, pa.int64())) for k in range(width)]
+            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(positions, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(lengths, pa.int64()), pa.array(names, pa.string()), pa.array(terms, pa.string()), listed], [*key, "length", "column", "term", "positions"])
+
+    view = rows.select(*key, *[folded(F.coalesce(F.col(c), F.lit(""))).alias(f"text_{k}") for k, c in enumerate(columns)])
+    kinds = ", ".join(f"`{c}` {view.schema[c].dataType.simpleString()}" for c in key)
+    return view.mapInArrow(run, f"{kinds}, length long, column string, term string, positions array<int>")
 
 
 def phrase_hits(index: DataFrame, key: list[str], wanted: DataFrame) -> DataFrame:
     """query, phrase, key, length, hits: how often each phrase stands in a row that has it.
 
-    wanted is what ``asked`` makes, for some queries at once; it is as small as the queries are. Rows of index
-    are cut down to its terms before anything is shuffled.
+    wanted has a row (query, phrase, place, term, prefix, size) for each token of each phrase and is as small as the queries are. Rows
+    of index are cut down to its terms before anything is shuffled.
     """
     exact = index.join(F.broadcast(wanted.where("not prefix")), "term")
     begun = wanted.where("prefix").withColumnRenamed("term", "start")
@@ -81,33 +100,54 @@ def phrase_hits(index: DataFrame, key: list[str], wanted: DataFrame) -> DataFram
     return alone.unionByName(begins.groupBy(*group).agg(F.count(F.lit(1)).alias("hits")))
 
 
-def literal_filter(expressions: list[Expression]) -> Column | None:
-    """The terms that any phrase asks for, as a predicate that the scan can take; None if they are too many."""
-    parts = [(t, p.prefix and i == len(p.tokens) - 1) for e in expressions for p in e.phrases for i, t in enumerate(p.tokens)]
-    whole, begun = sorted({t for t, prefix in parts if not prefix}), sorted({t for t, prefix in parts if prefix})
-    if len(whole) + len(begun) > PUSHED:
-        return None
-    out = F.col("term").isin(whole) if whole else F.lit(False)
-    for t in begun:
-        out = out | F.startswith("term", F.lit(t))
-    return out
+def uses(phrases: list[Phrase]) -> tuple[Column, Column]:
+    """For a row's term: whether any phrase has it, as a predicate that the scan can take, and its places in them
+    (phrase, place, size), looked up in literals, so that nothing is joined. Tokens are letters and digits, so they need no escape."""
+    whole: dict[str, list[str]] = {}
+    begun: dict[str, list[str]] = {}
+    for k, p in enumerate(phrases):
+        for i, t in enumerate(p.tokens):
+            of = begun if p.prefix and i == len(p.tokens) - 1 else whole
+            of.setdefault(t, []).append(f"named_struct('phrase', {k}, 'place', {i}, 'size', {len(p.tokens)})")
+    named = ", ".join(f"'{t}', array({', '.join(at)})" for t, at in whole.items())
+    found = ["cast(array() as array<struct<phrase: int, place: int, size: int>>)", *([f"coalesce(map({named})[term], array())"] if whole else [])]
+    found += [f"if(startswith(term, '{t}'), array({', '.join(at)}), array())" for t, at in begun.items()]
+    only = [f"startswith(term, '{t}')" for t in begun] + ([f"term in ({', '.join(repr(t) for t in whole)})"] if whole else [])
+    return F.expr(" or ".join(only) or "false"), F.expr(f"concat({', '.join(found)})")
 
 
 def matches(index: DataFrame, key: list[str], expressions: list[Expression], rows: int, length: int) -> DataFrame:
     """query (place in expressions), key, score (higher is better) of every row of the index that an expression matches.
 
     rows and length are the number of rows behind the index and of their tokens. The score is BM25 over phrases: a phrase's
-    weight falls with the number of rows that have it, and is never below 1e-6.
+    weight falls with the number of rows that have it, and is never below 1e-6. The expressions are those of one search,
+    a few dozen phrases at most; they are literals of the plan. For a table of queries there is ``phrase_hits``. What
+    the terms leave is dealt out by row once; a row's phrases, their scores and the expressions' sums need no further shuffle.
     """
-    spark = index.sparkSession
-    only = literal_filter(expressions)
-    hits = phrase_hits(index if only is None else index.where(only), key, asked(spark, expressions))
-    needed = spark.createDataFrame([(q, len(e.phrases) if e.mode == "all" else 1) for q, e in enumerate(expressions)], "query int, needed int")
-    often = hits.groupBy("query", "phrase").agg(F.count(F.lit(1)).alias("often"))
-    weight = F.log((rows - F.col("often") + 0.5) / (F.col("often") + 0.5))
-    part = F.when(weight > 0, weight).otherwise(1e-6) * F.col("hits") * (K1 + 1) / (F.col("hits") + K1 * (1 - B + B * F.col("length") / (length / max(1, rows))))
-    scored = hits.join(F.broadcast(often), ["query", "phrase"]).groupBy("query", *key).agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("found"))
-    return scored.join(F.broadcast(needed), "query").where("found >= needed").select("query", *key, "score")
+    phrases = list(dict.fromkeys(p for e in expressions for p in e.phrases))
+    only, places = uses(phrases)
+    met = index.where(only).select(*key, "length", "column", "positions", F.inline(places)).repartition(*key)
+    group = [*key, "length", "phrase"]
+    longer = any(len(p.tokens) > 1 for p in phrases)
+    hits = (met.where("size = 1") if longer else met).groupBy(*group).agg(F.expr("sum(size(positions)) as hits"))
+    if longer:
+        # The place where a phrase would begin, by each of its tokens; all of them name the same place where it stands.
+        begins = met.where("size > 1").select(*group, "column", "size", "place", F.expr("explode(positions) as position"))
+        begins = begins.groupBy(*group, "column", "size", F.expr("position - place as begin")).agg(F.expr("count(distinct place) as places")).where("places = size")
+        hits = hits.unionByName(begins.groupBy(*group).agg(F.expr("count(1) as hits")))
+    often = hits.groupBy("phrase").agg(F.expr("count(1) as often"))
+    weight = f"ln(({rows} - often + 0.5D) / (often + 0.5D))"
+    part = f"if({weight} > 0, {weight}, 1e-6D) * hits * {K1 + 1}D / (hits + {K1}D * ({1 - B}D + {B}D * length / {length / max(1, rows)!r}D)) as part"
+    scored = hits.join(F.broadcast(often), "phrase").selectExpr(*[f"`{c}`" for c in key], "phrase", part)
+    # Each expression's sum and number of phrases, in one pass over a row's phrases.
+    sums, each = [], []
+    for q, e in enumerate(expressions):
+        mine = f"phrase in ({', '.join(str(phrases.index(p)) for p in e.phrases)})" if e.phrases else "false"
+        sums += [F.expr(f"sum(if({mine}, part, null)) as score_{q}"), F.expr(f"count_if({mine}) as found_{q}")]
+        each.append(f"if(found_{q} >= {max(1, len(e.phrases) if e.mode == 'all' else 1)}, named_struct('query', {q}, 'score', score_{q}), null)")
+    if not each:
+        return scored.select(F.lit(0).alias("query"), *key, F.col("part").alias("score")).limit(0)
+    return scored.groupBy(*key).agg(*sums).selectExpr(*[f"`{c}`" for c in key], f"inline(array_compact(array({', '.join(each)})))").select("query", *key, "score")
 
 
 COLUMNS = ["path", "language", "text"]

@@ -36,11 +36,16 @@ def chunks(files: DataFrame, key: str = "path") -> DataFrame:
     return each.select(key, F.col("ordinal").cast("long"), (F.col("start") + 1).cast("long").alias("start_line"), F.least(F.col("start") + LINES, F.col("n")).cast("long").alias("end_line"), F.array_join(F.slice("lines", F.col("start") + 1, LINES), "\n").alias("text"))
 
 
-def tokens(text) -> F.Column:
-    """Runs of letters and digits, lower-cased, without marks; only texts beyond ASCII are searched for marks."""
+def folded(text) -> F.Column:
+    """Lower-cased text without marks; only texts beyond ASCII are searched for marks."""
     low = F.lower(text)
     plain = F.regexp_replace(F.translate(low, MARKED, PLAIN), "[\u0300-\u036f]", "")
-    return F.regexp_extract_all(F.when(F.char_length(low) == F.octet_length(low), low).otherwise(plain), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.when(F.char_length(low) == F.octet_length(low), low).otherwise(plain)
+
+
+def tokens(text) -> F.Column:
+    """Runs of letters and digits, lower-cased, without marks."""
+    return F.regexp_extract_all(folded(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def postings(rows: DataFrame, key: str, text: str = "text") -> DataFrame:

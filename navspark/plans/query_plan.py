@@ -6,12 +6,15 @@ from dataclasses import dataclass, field
 
 import regex
 
+from navspark.operators.match import Expression, expression, phrase
+
 #: Fixed values.
 STOP_WORDS = set("a an and api by for from get in into of on or post put the to with".split())
 CODE_INTENT = set("aggregator class delivery endpoint function handler implemented lock macro method orchestrator pipeline service".split())
 MOST_RAW, MOST_TERMS = 12, 16
 RAW = regex.compile(r"[\p{L}\p{N}_.$/-]+")
-PARTS = regex.compile(r"\p{Lu}+(?=\p{Lu}\p{Ll})|\p{Lu}?[\p{Ll}\p{Lo}]+|\p{Lu}+|\p{N}+")
+#: Where a term parts: before a capital behind a small letter or digit, before a capitalised word behind capitals, and at these signs.
+PARTS = regex.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|[.$/\\_-]+", regex.V1)
 #: Words and phrases that name a role.
 ROLE_WORDS = {
     "overview": {"purpose", "readme", "edit"},
@@ -34,12 +37,23 @@ ROLE_PHRASES = {
 COMPOUNDS, PATH_TERMS, ENDPOINT_NOISE = {"localstorage"}, {"preload": ["retrieval"]}, {"return", "returns", "show", "shows", "should"}
 
 
+#: A term that can be looked for by its beginning.
+START = regex.compile(r"[\p{L}\p{N}_]+")
+
+
 @dataclass
 class Tier:
     mode: str
     terms: list[str]
     boost: int
 
+    def expression(self) -> Expression:
+        """What the tier asks the index for: each of its terms is a phrase of the index's own tokens."""
+        if self.mode == "prefix":
+            starts = [found[0] for t in self.terms if (found := START.search(t)) and len(found[0]) > 2]
+            return expression("any", [phrase(t, True) for t in starts])
+        return expression("any" if self.mode == "any" else "all", [phrase(t) for t in self.terms])
+
 
 @dataclass
 class Plan:
@@ -61,8 +75,8 @@ def unique(items: list[str], most: int) -> list[str]:
 
 
 def parts(term: str) -> list[str]:
-    """A term in lower case, and the words that letter case and punctuation part."""
-    return [term.lower(), *(x.lower() for x in PARTS.findall(term))]
+    """A term in lower case, and the words that letter case and punctuation part; digits stay with their word."""
+    return [term.lower(), *(x.lower() for x in PARTS.split(term) if x)]
 
 
 def compounds(raw: list[str]) -> list[str]:
@@ -89,7 +103,7 @@ def roles_meant(normalized: str, core: list[str]) -> list[str]:
 
 
 def plan(query: str) -> Plan:
-    phrases = regex.findall(r'"([^"]+)"', query)
+    phrases = [p for p in (x.strip() for x in regex.findall(r'"([^"]+)"', query)) if p]
     every = RAW.findall(query)
     raw = every[:MOST_RAW]
     if not raw and not phrases:
@@ -100,13 +114,18 @@ def plan(query: str) -> Plan:
     expanded = unique([*words, *scope, *compounds(every)], MOST_TERMS)
     core = [t for t in expanded if t not in STOP_WORDS]
     paths = unique([p for t in core for p in PATH_TERMS.get(t, ())], MOST_TERMS)
-    out = Plan(normalized, bool(regex.search(r"[/.\\-]", normalized)), phrases, raw, expanded, core, roles_meant(normalized, core), bool(CODE_INTENT & set(core)), paths, endpoint_terms(expanded))
+    out = Plan(normalized, bool(regex.search(r"[/.\\-]", query.strip())), phrases, raw, expanded, core, roles_meant(normalized, core), bool(CODE_INTENT & set(core)), paths, endpoint_terms(expanded))
     boosted = bool(phrases) or len(expanded) > 1
-    ladder = [("phrase", phrases, 24), ("all", [t.lower() for t in raw], 18), ("all", core, 16), ("all", ["session", "repo"] if {"session", "repo"} <= set(expanded) else [], 14), ("all", expanded, 12), ("prefix", expanded, 8), ("any", expanded, 0)]
-    seen: dict[tuple, Tier] = {}
+    broad = expanded if len(raw) > 1 else [t.lower() for t in raw]
+    pair = ["session", "repo"] if {"session", "repo"} <= set(core) else []
+    ladder = [*(("phrase", [p], 24) for p in phrases), ("all", raw, 18), ("all", core, 16), ("all", pair, 14), ("all", expanded, 12), ("prefix", broad, 8), ("any", broad, 0)]
+    seen: dict[str, Tier] = {}
     for mode, terms, boost in ladder:
-        if terms:
-            tier = seen.setdefault((mode, tuple(terms)), Tier(mode, terms, 0))
+        tier = Tier(mode, terms, 0)
+        if tier.expression().phrases:
+            # Tiers of equal wording are one; terms that differ in letter case only stay apart.
+            either = len(terms) > 1 and mode in ("any", "prefix")
+            tier = seen.setdefault(f"{either} {mode == 'prefix'} {terms}", tier)
             tier.boost = max(tier.boost, boost if boosted else 0)
     out.tiers = list(seen.values())
     return out

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from navspark.operators import evaluation, graph, relational, search, text_index, usage
+from navspark.operators import evaluation, graph, match, relational, search, text_index, usage
+from navspark.sources import stored_index
 from navspark.streaming import usage_stream
 
-QUERIES = text_index.QUERIES | usage.QUERIES | graph.QUERIES | relational.QUERIES | search.QUERIES | usage_stream.QUERIES | evaluation.QUERIES
-SQL = text_index.SQL | usage.SQL | graph.SQL | relational.SQL | usage_stream.SQL | evaluation.SQL
+QUERIES = text_index.QUERIES | usage.QUERIES | graph.QUERIES | relational.QUERIES | search.QUERIES | usage_stream.QUERIES | evaluation.QUERIES | match.QUERIES | stored_index.QUERIES
+SQL = text_index.SQL | usage.SQL | graph.SQL | relational.SQL | usage_stream.SQL | evaluation.SQL | search.SQL | match.SQL | stored_index.SQL
