@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from navspark.functions.paths import basename, extension, normalize_prefix, roles, snippet, stem, under
+from navspark.operators.code import file_graph
 from navspark.operators.match import matches
 from navspark.plans.query_plan import Plan, plan
 from navspark.sources.corpus import documents_as_files, table
@@ -55,6 +56,7 @@ class Tables:
         """files: path, language, size, text."""
         known = {c: F.lit(None).cast(kind) for c, kind in (("hash", "string"), ("modified_ms", "double")) if c not in files.columns}
         made = {name: saved(rows, "search") for name, rows in derived(files.withColumns(known) if known else files).items() if name != "references"}
+        made["edges"] = file_graph(files)  # not read by a search
         counts = {t: made[t].count() for t in ("chunks", "symbols")} | {t: made[t].agg(F.coalesce(F.sum(F.size("positions")), F.lit(0))).first()[0] for t in ("chunk_terms", "symbol_terms")}
         return Tables(lambda name, paths: made[name], counts)
 
