@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import posixpath
 import re
 from collections.abc import Iterator
 
@@ -12,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from navspark.functions.paths import roles
-from navspark.operators.code import sections
+from navspark.operators.code import alias_targets, plain_json, sections  # noqa: F401
 
 #: Lines of a window and lines from one window's start to the next's.
 WINDOW, STRIDE = 80, 70
@@ -224,52 +222,3 @@ def related(files: DataFrame, edges: DataFrame, limit: int = 8) -> DataFrame:
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("path", "other").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
     near = Window.partitionBy("path").orderBy(F.desc(locality(F.col("path"), F.col("other"))), "other")
     return rows.select("path", "other", "reasons", F.row_number().over(near).cast("long").alias("rank")).where(F.col("rank") <= limit)
-
-
-def plain_json(text: str) -> dict:
-    """JSON that may have comments and trailing commas; {} where it isn't an object."""
-    keep = lambda m: m[0] if m[0][0] == '"' else ""
-    text = re.sub(r'"(?:\\.|[^"\\])*"|//[^\n]*|/\*.*?\*/', keep, text, flags=re.S)
-    text = re.sub(r'"(?:\\.|[^"\\])*"|,(?=\s*[}\]])', keep, text)
-    try:
-        found = json.loads(text)
-    except ValueError:
-        return {}
-    return found if isinstance(found, dict) else {}
-
-
-def alias_rules(config_path: str, text: str) -> list[tuple[str, str, str, str]]:
-    """(folder, pattern before *, pattern after * or null if there is none, target) of a project file's path aliases."""
-    options = plain_json(text).get("compilerOptions")
-    options = options if isinstance(options, dict) else {}
-    folder = posixpath.dirname(config_path)
-    base, paths, out = options.get("baseUrl") or ".", options.get("paths"), []
-    for pattern, targets in paths.items() if isinstance(paths, dict) else ():
-        head, star, tail = pattern.partition("*")
-        out += [(folder, head, tail if star else None, posixpath.normpath(posixpath.join(folder, str(base), t))) for t in targets if isinstance(t, str)]
-    return out
-
-
-def alias_targets(references: DataFrame, configs: DataFrame) -> DataFrame:
-    """src, specifier, choice, target: what a specifier may mean by the aliases of the deepest project folder above its file.
-
-    configs (path, text) are project files: one to a project, so a broadcast is left to the planner's size
-    check. The longest head that matches comes first, then the pattern's own order.
-    """
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = [(*rule, i) for r in part.itertuples() for i, rule in enumerate(alias_rules(r.path, r.text or ""))]
-            yield pd.DataFrame(rows, columns=["folder", "head", "tail", "target", "nth"])
-
-    rules = configs.select("path", "text").mapInPandas(run, "folder string, head string, tail string, target string, nth int")
-    parts = F.split(F.regexp_replace("src", r"/?[^/]*$", ""), "/")
-    above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    rows = references.select("src", "specifier").distinct().withColumn("folder", F.explode(F.array_distinct(above))).join(rules, "folder")
-    deepest = F.max(F.char_length("folder")).over(Window.partitionBy("src", "specifier"))
-    rows = rows.withColumn("deepest", deepest).where(F.char_length("folder") == F.col("deepest"))
-    long_enough = F.char_length("specifier") >= F.char_length("head") + F.char_length("tail")
-    fits = F.when(F.col("tail").isNull(), F.col("specifier") == F.col("head")).otherwise(F.startswith("specifier", "head") & F.endswith("specifier", "tail") & long_enough)
-    middle = F.when(F.col("tail").isNull(), "").otherwise(F.expr("substr(specifier, char_length(head) + 1, char_length(specifier) - char_length(head) - char_length(tail))"))
-    choice = F.row_number().over(Window.partitionBy("src", "specifier").orderBy(F.desc(F.char_length("head")), "head", "nth"))
-    return rows.where(fits).select("src", "specifier", choice.cast("long").alias("choice"), F.replace("target", F.lit("*"), middle).alias("target"))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from navspark.functions.paths import normalize_prefix, under
-from navspark.operators.code import references, resolved, symbols
+from navspark.operators.code import is_project, references, resolved, symbols
 from navspark.operators.match import positional
 from navspark.operators.structure import structured_chunks
 from navspark.operators.text_index import chunks as fixed_windows
@@ -184,7 +184,8 @@ class StoredIndex:
                 old = {b: at for b, at in places.get(name, {}).items() if int(b) not in touched}
                 places[name] = old | {n.removeprefix("bucket="): place for n in self._names(f"data/{place}/{name}") if n.startswith("bucket=")}
             later = Version(buckets=base.buckets, places=places)
-            self._stage("edges", resolved(self.table("references", later), self.table("files", later)), staged, base.buckets, "src")
+            projects = rebuilt_texts(self.table("chunks", later).where(is_project(F.col("path"))))
+            self._stage("edges", resolved(self.table("references", later), self.table("files", later), projects), staged, base.buckets, "src")
             places["edges"] = {n.removeprefix("bucket="): place for n in self._names(f"data/{place}/edges") if n.startswith("bucket=")}
             counts = self._counts(later)
         meta[f"last_indexed_at{scope}"] = time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())

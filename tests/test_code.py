@@ -157,3 +157,34 @@ def test_file_coverage(spark):
     scored = spark.createDataFrame([(*r, 1) for r in rows], "path string, ordinal long, score double, matched array<string>, in_text boolean, start_line int")
     got = with_file_coverage(scored, plan("x1 y1"), 1).orderBy("path", "ordinal").collect()
     assert [(r.path, r.ordinal, r.score) for r in got] == [("a", 0, 9.0), ("b", -1, 4.0), ("b", 0, 6.5)]
+
+
+def test_aliases_in_the_file_graph(spark):
+    rows = {
+        "tsconfig.json": '{"compilerOptions": {"baseUrl": ".", "paths": {"@/*": ["src/*", "gen/*"], "@/ui/*": ["ui/*"], "core": ["src/core/index.ts"], "out/*": ["../*"]}}} // root',
+        "web/tsconfig.json": '{"compilerOptions": {"paths": {"@/*": ["./app/*"], "only": ["./only.js"]}}}',
+        "src/a.ts": "import x from '@/b'\nimport y from '@/ui/button'\nimport z from 'core'\nimport r from 'react'\nimport o from 'out/x'\nimport u from 'https://x/y'\n",
+        "src/b.ts": "import d from './data'\nimport '@/lib'\n",
+        "src/data.yaml": "a: 1",
+        "src/core/index.ts": "import '@/only-in-gen'\n",
+        "src/lib/index.tsx": "",
+        "gen/only-in-gen.md": "",
+        "ui/button.tsx": "",
+        "web/p.ts": "import '@/b'\nimport 'only'\nimport 'core'\n",
+        "web/app/b.js": "",
+        "web/only.ts": "",
+    }
+    language = {"ts": "typescript", "tsx": "typescript", "js": "javascript"}
+    files = spark.createDataFrame([(p, language.get(p.split(".")[-1], ""), t) for p, t in rows.items()], "path string, language string, text string")
+    got = {(r.src, r.specifier): r.dst for r in file_graph(files).collect()}
+    assert got == {
+        ("src/a.ts", "@/b"): "src/b.ts",
+        ("src/a.ts", "@/ui/button"): "ui/button.tsx",  # the longest head first
+        ("src/a.ts", "core"): "src/core/index.ts",
+        ("src/b.ts", "./data"): "src/data.yaml",
+        ("src/b.ts", "@/lib"): "src/lib/index.tsx",
+        ("src/core/index.ts", "@/only-in-gen"): "gen/only-in-gen.md",  # the second target of a pattern
+        ("web/p.ts", "@/b"): "web/app/b.js",  # the deepest project file that fits
+        ("web/p.ts", "only"): "web/only.ts",
+        ("web/p.ts", "core"): "src/core/index.ts",  # which may be one further up
+    }
