@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from navspark.functions.paths import normalize_prefix, roles, snippet, under
 from navspark.operators.search import ROUTE, Tables, search
 from navspark.operators.structure import counterparts, locality, route_pairs
+from navspark.sources.scratch import saved
 
 #: Items of a list, chunks of a target, limits of the result; roles that are never read first.
 MOST, CHUNKS, LEAST_LIMIT, MOST_LIMIT = 8, 6, 1, 25
@@ -168,11 +169,12 @@ def related(files: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame
     files: path, size, ...; edges: src, dst, kind, specifier, line. The target itself isn't among them; weak ones
     only have a name like the target's.
     """
-    facts = judged(files)
+    # What several lists go back to is written once.
+    facts = saved(judged(files), "context")
     targets = targets.select("target").distinct()
-    imports, importers = dependencies(facts, edges, targets)
+    imports, importers = (saved(x, "context") for x in dependencies(facts, edges, targets))
     pairs = counterparts(files).unionByName(route_pairs(files)).select(F.col("src").alias("target"), F.col("dst").alias("path")).distinct()
-    pairs = ranked(pairs.join(targets, "target", "left_semi").join(facts.where("not noise").select("path"), "path", "left_semi"))
+    pairs = saved(ranked(pairs.join(targets, "target", "left_semi").join(facts.where("not noise").select("path"), "path", "left_semi")), "context")
     plain = lambda rows: rows.where(~is_test(F.col("path"))).withColumn("pos", F.row_number().over(Window.partitionBy("target").orderBy("pos")) - 1)
     stem, other = bare(F.col("target")), bare(F.col("path"))
     like = F.lit(False)
@@ -213,9 +215,9 @@ def related(files: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame
 
 def read_first(files: DataFrame, chunks: DataFrame, edges: DataFrame, targets: DataFrame, limit: int = MOST) -> DataFrame:
     """target, rank (from 1), path, start_line, end_line, kind, snippet, reasons: the first chunk of each target, the first chunks
-    of its related files, and the target's next chunks, ``limit`` in all."""
+    of its related files, and the target's next chunks, ``limit`` in all. A target that isn't among the files has no rows."""
     limit = min(max(limit, LEAST_LIMIT), MOST_LIMIT)
-    targets = targets.select("target").distinct()
+    targets = targets.select("target").distinct().join(files.select(F.col("path").alias("target")), "target", "left_semi")
     heads = chunks.where("ordinal = 0").select("path", "ordinal", "start_line", "end_line", "kind", "text")
     beside = related(files, edges, targets).where(F.col("rank") < limit + MOST).join(heads, "path")
     beside = beside.select("target", "path", F.lit(1).alias("part"), "rank", "start_line", "end_line", "kind", "text", "reasons")
@@ -226,6 +228,28 @@ def read_first(files: DataFrame, chunks: DataFrame, edges: DataFrame, targets: D
     return rows.select("target", "rank", "path", "start_line", "end_line", "kind", snippet(F.col("text")).alias("snippet"), "reasons")
 
 
+def neighbourhood(files: DataFrame, edges: DataFrame, targets: DataFrame, limit: int = MOST) -> DataFrame:
+    """target, group, rank (from 1), path, specifiers: five groups of each target's neighbours, at most ``limit`` in each, without noise.
+
+    What a target imports or includes comes by line; what imports or includes it by path; its counterparts by locality.
+    """
+    limit = min(max(limit, LEAST_LIMIT), MOST_LIMIT)
+    quiet = judged(files).where("not noise").select("path")
+    targets = targets.select("target").distinct()
+    plural = F.when(F.col("kind").isin("include", "includes"), "includes").otherwise("imports")
+    line = F.coalesce(F.col("line").cast("long"), F.lit(2147483647)).alias("line")
+    specifier = F.coalesce("specifier", F.lit("")).alias("specifier")
+    out = edges.join(targets, edges["src"] == targets["target"]).select("target", plural.alias("group"), F.col("dst").alias("path"), F.struct(line, F.col("dst").alias("path"), specifier).alias("at"), "specifier")
+    back = edges.join(targets, edges["dst"] == targets["target"]).select("target", F.concat(F.lit("reverse_"), plural).alias("group"), F.col("src").alias("path"), F.struct(F.lit(0).cast("long").alias("line"), F.col("src").alias("path"), F.lit("").alias("specifier")).alias("at"), F.col("specifier"))
+    rows = out.unionByName(back).where("path <> target").groupBy("target", "group", "path").agg(F.min("at").alias("at"), F.array_sort(F.collect_set("specifier")).alias("specifiers"))
+    pairs = counterparts(files).unionByName(route_pairs(files)).select(F.col("src").alias("target"), F.col("dst").alias("path")).distinct().join(targets, "target", "left_semi")
+    near = F.struct((-locality(F.col("target"), F.col("path"))).alias("line"), "path", F.lit("").alias("specifier"))
+    rows = rows.unionByName(pairs.select("target", F.lit("implementation_pair").alias("group"), "path", near.alias("at"), F.array().cast("array<string>").alias("specifiers")))
+    nth = F.row_number().over(Window.partitionBy("target", "group").orderBy("at"))
+    rows = rows.join(quiet, "path", "left_semi").withColumn("rank", nth.cast("long")).where(F.col("rank") <= limit)
+    return rows.select("target", "group", "rank", "path", "specifiers")
+
+
 def resolved_target(files: DataFrame, target: str, prefix: str = "") -> tuple[str | None, list[str]]:
     """The file that a target means, exactly or else the shortest path that holds it, and warnings about it."""
     wanted = target.strip()

@@ -71,6 +71,32 @@ def distances(start: DataFrame, edges: DataFrame, hops: int = 4) -> DataFrame:
     return seen
 
 
+def paths(pairs: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
+    """src, dst, hops, steps (from, to, kind, specifier, line) for the pairs (src, dst) that a path of 1 to 4 hops connects, in either direction of edges
+    (src, dst, kind, specifier, line); a node's path to itself has no steps.
+
+    All pairs are searched at once, breadth first. Of a node's shortest paths the first counts, by its steps in turn: by the edge's
+    source, target, kind, line and specifier. A frontier row carries its path, four steps at most, so the least path to
+    a node is a minimum over its incoming steps.
+    """
+    hops = min(max(int(hops), 1), 4)
+    known = edges.where("src <> dst").select("src", "dst", "kind", "specifier", F.col("line").cast("long").alias("line")).distinct()
+    order = F.struct("src", "dst", "kind", F.coalesce("line", F.lit(2147483647)).alias("line"), F.coalesce("specifier", F.lit("")).alias("specifier"))
+    step = lambda a, b, kind: known.select(F.col(a).alias("at"), F.struct(order.alias("order"), F.col(a).alias("from"), F.col(b).alias("to"), kind.alias("kind"), "specifier", "line").alias("step"))
+    steps = _saved(step("src", "dst", F.col("kind")).unionByName(step("dst", "src", F.concat(F.lit("reverse_"), "kind"))))
+    none = F.array().cast(f"array<{steps.schema['step'].dataType.simpleString()}>")
+    frontier = _saved(pairs.select(F.col("src").alias("start"), F.col("src").alias("node")).distinct().select("start", "node", none.alias("path")))
+    seen = frontier
+    for _ in range(hops):
+        reached = frontier.join(steps, frontier["node"] == steps["at"]).select("start", F.col("step.to").alias("node"), F.concat("path", F.array("step")).alias("path"))
+        frontier = _saved(reached.groupBy("start", "node").agg(F.min("path").alias("path")).join(seen, ["start", "node"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    found = pairs.select("src", "dst").distinct().join(seen.select(F.col("start").alias("src"), F.col("node").alias("dst"), "path"), ["src", "dst"])
+    return found.select("src", "dst", F.size("path").cast("long").alias("hops"), F.transform("path", lambda s: F.struct(s["from"].alias("from"), s["to"].alias("to"), s["kind"].alias("kind"), s["specifier"].alias("specifier"), s["line"].alias("line"))).alias("steps"))
+
+
 def _trade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Nations, and an edge from a supplier's nation to each of the two nations that buy most of it.
 
@@ -101,6 +127,15 @@ def q_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distances(nodes.where("node = 0"), edges)
 
 
+def q_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first shortest path of at most four hops between any two nations; edges out of odd nations are includes."""
+    nodes, edges = _trade(spark, sf_dir)
+    edges = edges.select("src", "dst", F.when(F.col("src") % 2 == 1, "includes").otherwise("imports").alias("kind"), F.lit(None).cast("string").alias("specifier"), F.lit(None).cast("long").alias("line"))
+    pairs = nodes.select(F.col("node").alias("src")).join(nodes.select(F.col("node").alias("dst")), F.lit(True))  # 625 pairs: the question itself
+    trail = F.array_join(F.transform("steps", lambda s: F.concat(s["kind"], F.lit(":"), s["to"].cast("string"))), ">")
+    return paths(pairs, _saved(edges), 4).select("src", "dst", "hops", trail.alias("trail"))
+
+
 _EDGES = """w as (select s_nationkey as src, c_nationkey as dst, count(*) as w from lineitem join supplier on l_suppkey = s_suppkey
  join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey group by all),
  x as (select src, dst from w qualify row_number() over (partition by src order by w desc, dst) <= 2), e as (select src, dst from x where src <> dst)"""
@@ -113,5 +148,11 @@ SQL = {
  select n_regionkey as cluster, count(*) as nodes, (select count(*) from k where a = n_regionkey or b = n_regionkey) as edges from nation group by n_regionkey""",
     "graph_distances": f"""with recursive {_EDGES}, u as (select src, dst from e union select dst, src from e), r(node, hops) as (select 0, 0 union select dst, hops + 1 from r join u on node = src where hops < 4)
  select node, cast(min(hops) as bigint) as hops from r group by node""",
+    "grf05_paths": f"""with recursive {_EDGES}, k as (select src, dst, case when src % 2 = 1 then 'includes' else 'imports' end as kind from e),
+ s as (select src as f, dst as t, kind, printf('%03d %03d', src, dst) as o from k union all select dst, src, 'reverse_' || kind, printf('%03d %03d', src, dst) from k),
+ r(src, dst, hops, keys, trail) as (select n_nationkey, n_nationkey, 0::bigint, '', '' from nation
+  union all select r.src, t, hops + 1, keys || '|' || o, case when trail = '' then '' else trail || '>' end || kind || ':' || t from r join s on dst = f where hops < 4),
+ m as (select src, dst, min(hops) as hops from r group by src, dst)
+ select r.src, r.dst, r.hops, arg_min(trail, keys) as trail from r join m using (src, dst, hops) group by r.src, r.dst, r.hops""",
 }
-QUERIES = {"graph_degrees": q_degrees, "graph_components": q_components, "graph_clusters": q_clusters, "graph_distances": q_distances}
+QUERIES = {"graph_degrees": q_degrees, "graph_components": q_components, "graph_clusters": q_clusters, "graph_distances": q_distances, "grf05_paths": q_paths}

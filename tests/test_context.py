@@ -7,7 +7,8 @@ import re
 import pytest
 
 from navspark.operators.code import file_graph
-from navspark.operators.context import context, read_first, related, resolved_target
+from navspark.operators.context import context, neighbourhood, read_first, related, resolved_target
+from navspark.operators.graph import paths
 from navspark.operators.search import Tables
 from navspark.operators.structure import structured_chunks
 
@@ -120,14 +121,13 @@ def test_all_targets(spark, files):
 
 
 def test_read_first(spark, files):
-    edges, chunks = file_graph(files), structured_chunks(files)
+    edges, chunks = file_graph(files).cache(), structured_chunks(files).cache()
     targets = spark.createDataFrame([("src/orders/base.ts",), ("nowhere.ts",)], "target string")
-    rows = read_first(files, chunks, edges, targets, 4).orderBy("rank").collect()
-    assert [r.rank for r in rows] == [1, 2, 3, 4] and {r.target for r in rows} == {"src/orders/base.ts"}
+    rows = read_first(files, chunks, edges, targets, 99).orderBy("rank").collect()
+    assert [r.rank for r in rows] == list(range(1, len(rows) + 1)) and {r.target for r in rows} == {"src/orders/base.ts"}
     assert rows[0].path == "src/orders/base.ts" and rows[0].reasons == ["target"] and rows[0].start_line == 1
-    more = read_first(files, chunks, edges, targets, 25).orderBy("rank").collect()
-    assert more[-1].path == "src/orders/base.ts" and more[-1].start_line > 1  # later chunks of the target come last
-    assert read_first(files.limit(0), chunks.limit(0), edges, targets).count() == 0
+    assert rows[-1].path == "src/orders/base.ts" and rows[-1].start_line > 1  # later chunks of the target come last
+    assert len({r.path for r in rows}) == len(rows) - sum(r.reasons == ["target"] for r in rows) + 1
 
 
 def test_target(files):
@@ -144,3 +144,50 @@ def test_context(files):
     assert [r.path for r in got] == ["src/orders/rate.ts", "src/app/api/rates/route.ts", "src/orders/base.ts"] and warnings == []
     rows, warnings = context(tables, "handle rates")
     assert rows.count() > 0 and {tuple(r.reasons) for r in rows.collect()} == {("search_result",)} and "falling back" in warnings[0]
+
+
+def test_neighbourhood(spark, files):
+    edges = file_graph(files)
+    targets = spark.createDataFrame([("src/orders/rate.ts",), ("lib/a.c",), ("src/app/api/rates/route.ts",)], "target string")
+    got: dict = {}
+    for r in neighbourhood(files, edges, targets).orderBy("target", "group", "rank").collect():
+        got.setdefault((r.target, r.group), []).append(r.path)
+    assert got[("src/orders/rate.ts", "imports")] == ["src/orders/base.ts", "src/tax.ts"]
+    assert got[("src/orders/rate.ts", "reverse_imports")] == ["src/app/api/rates/route.ts", "src/orders/rate-cache.ts", "src/orders/rate.test.ts"]  # without what is generated
+    assert got[("lib/a.c", "includes")] == ["lib/a.h"] and got[("lib/a.c", "implementation_pair")] == ["lib/a.h"]
+    assert got[("src/app/api/rates/route.ts", "implementation_pair")] == ["src/app/api/rates/rates.handler.ts"]
+    assert neighbourhood(files, edges, targets, 0).groupBy("target", "group").count().where("count > 1").count() == 0
+
+
+def test_paths(spark):
+    """The path that a queue over sorted steps finds first, for every pair, with edges both ways, twins and a loop."""
+    edges = [("a", "b", "imports", "./b", 3), ("a", "c", "imports", None, None), ("b", "d", "includes", "d.h", 1), ("c", "d", "imports", "./d", 2), ("c", "d", "imports", "./d2", 1), ("e", "d", "imports", None, 5), ("e", "f", "imports", None, 6), ("f", "g", "imports", None, 1), ("a", "a", "imports", None, 1), ("b", "a", "imports", "./a", 1), ("x", "y", "imports", None, 1)]
+    nodes = sorted({n for e in edges for n in e[:2]})
+    rows = sorted((e for e in edges if e[0] != e[1]), key=lambda e: (e[0], e[1], e[2], 2147483647 if e[4] is None else e[4], e[3] or ""))
+    beside: dict = {}
+    for s, d, k, spec, line in rows:
+        beside.setdefault(s, []).append((s, d, k, spec, line))
+        beside.setdefault(d, []).append((d, s, f"reverse_{k}", spec, line))
+
+    def walk(start, goal, hops):
+        if start == goal:
+            return []
+        queue, seen = [(start, [])], {start}
+        while queue:
+            at, steps = queue.pop(0)
+            if len(steps) >= hops:
+                continue
+            for step in beside.get(at, []):
+                if step[1] in seen:
+                    continue
+                if step[1] == goal:
+                    return [*steps, step]
+                seen.add(step[1])
+                queue.append((step[1], [*steps, step]))
+        return None
+
+    table = spark.createDataFrame(edges, "src string, dst string, kind string, specifier string, line long")
+    pairs = spark.createDataFrame([(a, b) for a in nodes for b in nodes], "src string, dst string")
+    for hops, asked in ((4, 9), (2, 2)):
+        got = {(r.src, r.dst): [tuple(s) for s in r.steps] for r in paths(pairs, table, asked).collect()}
+        assert got == {(a, b): w for a in nodes for b in nodes if (w := walk(a, b, hops)) is not None}
