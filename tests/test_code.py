@@ -188,3 +188,15 @@ def test_aliases_in_the_file_graph(spark):
         ("web/p.ts", "only"): "web/only.ts",
         ("web/p.ts", "core"): "src/core/index.ts",  # which may be one further up
     }
+
+
+def test_c_functions_and_java_methods(spark):
+    c = ["int add(int a, int b) {", "static void log_it(const char *m) {", "int forward(int a);", "  printf(x)", "double Shape::area() const {", "T max_value(T a, T b) {", "std::vector<int> *all (void)", "Shape::~Shape() {", "if (x) {", "else if (x) {", "return f(x)", "x = call(1)", "unsigned long long f3(", "a.b(c)", "std::map<int, A>& refs()", "main() {"]
+    java = ["  public int total(int a) {", "public static <T> List<T> of(T a) {", "private final Map<String,Integer> all() throws IOException, Bad {", "protected void run()", "int hidden() {", "public Shop(int a) {", "public void go(int a);", "public abstract synchronized String[] names (int a)", "public boolean if(x) {", "public void x(String s) { y(); }"]
+    files = spark.createDataFrame([("a.c", "c", "\n".join(c)), ("A.java", "java", "\n".join(java))], "path string, language string, text string")
+    got = {(r.path, r.line): (r.name, r.kind) for r in symbols(files).collect()}
+    assert got == {
+        ("a.c", 1): ("add", "function"), ("a.c", 2): ("log_it", "function"), ("a.c", 5): ("area", "method"), ("a.c", 6): ("max_value", "function"),
+        ("a.c", 7): ("all", "method"), ("a.c", 11): ("f", "function"), ("a.c", 13): ("f3", "function"), ("a.c", 15): ("refs", "method"),
+        ("A.java", 1): ("total", "method"), ("A.java", 3): ("all", "method"), ("A.java", 4): ("run", "method"), ("A.java", 8): ("names", "method"),
+    }
