@@ -9,7 +9,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-HEADLINE = ["files", "chunks", "terms", "bm25", "retrieval_quality", "usage_overview", "usage_latencies", "usage_funnel", "usage_refreshes", "usage_click_through", "graph_degrees", "pricing_summary", "region_revenue", "window_frames", "graph_components", "graph_distances", "hourly_stream", "search"]
+HEADLINE = ["files", "chunks", "terms", "bm25", "retrieval_quality", "usage_overview", "usage_latencies", "usage_funnel", "usage_refreshes", "usage_click_through", "graph_degrees", "pricing_summary", "region_revenue", "window_frames", "graph_components", "graph_distances", "hourly_stream", "hlt01_index", "search"]
 
 
 def main() -> None:
