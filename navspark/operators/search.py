@@ -15,7 +15,7 @@ from navspark.operators.match import matches
 from navspark.plans.query_plan import Plan, plan
 from navspark.sources.corpus import documents_as_files, table
 from navspark.sources.scratch import saved, shared_dir
-from navspark.sources.stored_index import StoredIndex, _state, derived
+from navspark.sources.stored_index import Conflict, StoredIndex, _state, derived
 
 
 #: Extensions and base names of texts about code, and the most results that a search gives.
@@ -310,7 +310,10 @@ def documents_index(spark: SparkSession, sf_dir: str) -> StoredIndex:
     head = hashlib.sha256("\n".join(seen).encode()).hexdigest()
     index = StoredIndex(spark, f"{shared_dir(spark)}/documents-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}")
     if index.status(head=head)["stale"] or not index.versions():
-        index.update(_state(documents_as_files(docs)), head=head)
+        try:
+            index.update(_state(documents_as_files(docs)), head=head)
+        except Conflict:  # another session has just made it
+            pass
     return index
 
 
