@@ -25,7 +25,10 @@ def hourly(events: DataFrame, length: str = "1 hour", slide: str | None = None)
 
 
 def sessions(events: DataFrame, gap: str = "15 minutes") -> DataFrame:
-    """user_id, first, last, n: a user's events that follow each other in less than the gap; events without a time have none."""
+    """user_id, first, last, n: a user's events that follow each other in less than the gap; events without a time have none.
+
+    A stream gives a session once, when the watermark, a day behind the latest event, has passed its end; a row that comes later than that counts for none.
+    """
     rows = once(events).where("at is not null").groupBy("user_id", F.session_window("at", gap).alias("w"))
     return rows.agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count(F.lit(1)).alias("n")).select("user_id", "first", "last", "n")
 
@@ -91,7 +94,19 @@ def q_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions(table(spark, sf_dir, "events")).select("user_id", text("first"), text("last"), "n")
 
 
-QUERIES = {"hourly_stream": q_hourly_stream, "sliding_stream": q_sliding_stream, "sessions": q_sessions, "followed_stream": q_followed_stream}
+def q_sessions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sessions that a stream of the events has closed when it has read them all."""
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    events, root = event_stream(spark, sf_dir)
+    return append_available(sessions(events), root).select("user_id", text("first"), text("last"), "n")
+
+
+QUERIES = {"sessions_stream": q_sessions_stream, "hourly_stream": q_hourly_stream, "sliding_stream": q_sliding_stream, "sessions": q_sessions, "followed_stream": q_followed_stream}
+_SESSIONS = """
+with o as (select distinct on (event_id) event_id, user_id, ts from events where ts is not null),
+     g as (select user_id, ts, coalesce(ts - lag(ts) over (partition by user_id order by ts) < interval '15 minutes', false) as joined from o),
+     s as (select user_id, ts, sum(case when joined then 0 else 1 end) over (partition by user_id order by ts rows unbounded preceding) as nth from g)
+select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') as first, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') as last, count(*) as n from s group by user_id, nth"""
 SQL = {
     "followed_stream": """
 with o as (select distinct on (event_id) event_id, user_id, ts, event_type from events where ts is not null)
@@ -101,9 +116,6 @@ select a.event_id as first_id, b.event_id as then_id, a.user_id, epoch_us(b.ts)
     "sliding_stream": """
 with w as (select event_id, event_type, time_bucket(interval '6 hours', ts) - to_hours(6 * unnest(range(4))) as s from events where ts is not null)
 select strftime(s, '%Y-%m-%d %H:%M:%S') as hour, event_type, count(distinct event_id) as n from w group by all""",
-    "sessions": """
-with o as (select distinct on (event_id) event_id, user_id, ts from events where ts is not null),
-     g as (select user_id, ts, coalesce(ts - lag(ts) over (partition by user_id order by ts) < interval '15 minutes', false) as joined from o),
-     s as (select user_id, ts, sum(case when joined then 0 else 1 end) over (partition by user_id order by ts rows unbounded preceding) as nth from g)
-select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') as first, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') as last, count(*) as n from s group by user_id, nth""",
+    "sessions": _SESSIONS,
+    "sessions_stream": f"{_SESSIONS} having max(ts) + interval '15 minutes' <= (select max(ts) from events) - interval '1 day'",
 }
