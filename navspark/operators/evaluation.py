@@ -10,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from navspark.operators.text_index import _BM25, relevant
+from navspark.operators.text_index import _ranked as ranked_passages
 from navspark.sources.corpus import documents_as_files, table
+from navspark.sources.scratch import saved
 
 #: Recalls that differ by no more than this are a tie.
 TIE = 1e-6
@@ -93,6 +96,37 @@ def gate(metrics: DataFrame, least: dict[str, float]) -> DataFrame:
     return metrics.select("mode", F.inline(pairs)).where("value is null or value < threshold")
 
 
+def above(metrics: DataFrame, most: dict[str, float]) -> DataFrame:
+    """metric, value, threshold of each metric of each row that is above its greatest value."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).cast("double").alias("value"), F.lit(float(v)).alias("threshold")) for k, v in most.items()])
+    return metrics.select(F.inline(pairs)).where("value > threshold")
+
+
+def search_quality(expected: DataFrame, excluded: DataFrame, results: DataFrame, most: int = 5) -> DataFrame:
+    """One row of measures over the cases that expect something: expected (case, path), excluded (case, path), results (case, path, rank from 1).
+
+    Accuracy at rank 1; cases with an expected path among the first ``most``; the mean share of expected paths there and the
+    mean reciprocal rank of the first; cases without any and with only some; cases with an excluded path there, and their share of all.
+    """
+    top = results.where(F.col("rank") <= most).select("case", "path", "rank").distinct()
+    wanted = expected.select("case", "path").distinct().join(top, ["case", "path"], "left").groupBy("case").agg(F.count(F.lit(1)).alias("all"), F.count("rank").alias("found"), F.min("rank").alias("first"))
+    wrong = excluded.select("case", "path").distinct().join(top, ["case", "path"], "left_semi").select("case").distinct().withColumn("wrong", F.lit(1))
+    n = lambda c: F.count(F.when(c, 1))
+    share = lambda c, name: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(name)
+    rows = wanted.join(wrong, "case", "left")
+    return rows.agg(
+        F.count(F.lit(1)).alias("cases"),
+        share((F.coalesce("first", F.lit(0)) == 1).cast("double"), "top1_accuracy"),
+        share((F.col("found") > 0).cast("double"), "recall"),
+        share(F.col("found") / F.col("all"), "expected_coverage"),
+        share(F.coalesce(1.0 / F.col("first"), F.lit(0.0)), "mrr"),
+        n(F.col("found") == 0).alias("misses"),
+        n((F.col("found") > 0) & (F.col("found") < F.col("all"))).alias("partial_misses"),
+        F.count("wrong").alias("excluded_hits"),
+        share(F.coalesce("wrong", F.lit(0)).cast("double"), "false_positive_rate"),
+    )
+
+
 def misses(assessed: DataFrame) -> DataFrame:
     """case, mode, file, kind, class: why files were missed or read in vain.
 
@@ -196,13 +230,30 @@ def q_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kinds.agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {"lexical_baseline": q_lexical, "paired_record": q_paired, "threshold_gate": q_gate, "index_drift": q_drift, "token_budget": q_budget, "routing_episodes": q_episodes, "usage_histograms": q_histograms}
+def q_search_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The BM25 search of every passage that some document holds, judged: those documents are expected, toxic ones excluded."""
+    results = ranked_passages(spark, sf_dir).select(F.col("item_id").alias("case"), F.col("doc_id").alias("path"), "rank")
+    expected = relevant(spark, sf_dir).select(F.col("item_id").alias("case"), F.col("doc_id").alias("path"))
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("path")).distinct()
+    saved_results = saved(results, "quality")
+    # Only what was found can be wrong, so what is excluded is asked of the results.
+    return search_quality(expected, saved_results.join(toxic, "path", "left_semi").select("case", "path"), saved_results)
+
+
+QUERIES = {"evl03_search_quality": q_search_quality, "lexical_baseline": q_lexical, "paired_record": q_paired, "threshold_gate": q_gate, "index_drift": q_drift, "token_budget": q_budget, "routing_episodes": q_episodes, "usage_histograms": q_histograms}
 
 _COUNT = " + ".join(
     f"4 * ((length(p) - length(replace(p, '{t}', ''))) // {len(t)}) + (length(t) - length(replace(t, '{t}', ''))) // {len(t)}" for t in terms_of(LEXICAL_QUERY)
 )
 _MODES = "with m as (select user_id as task, event_type as mode, max(value) as value from events group by all)"
 SQL = {
+    "evl03_search_quality": f"""with {_BM25},
+ w as (select distinct item_id, doc_id from benchmark b join documents d on contains(d.text, b.text)),
+ x as (select item_id, count(*) as n, count(rank) as found, min(rank) as first from w left join (select * from r where rank <= 5) using (item_id, doc_id) group by item_id),
+ g as (select x.*, exists (select 1 from r join labels l using (doc_id) where r.item_id = x.item_id and rank <= 5 and toxic = 1) as wrong from x)
+ select count(*) as cases, round(coalesce(avg((coalesce(first, 0) = 1)::int), 0), 6) as top1_accuracy, round(coalesce(avg((found > 0)::int), 0), 6) as recall, round(coalesce(avg(found / n), 0), 6) as expected_coverage,
+ round(coalesce(avg(coalesce(1.0::double / first, 0)), 0), 6) as mrr, count(*) filter (found = 0) as misses, count(*) filter (found > 0 and found < n) as partial_misses, count(*) filter (wrong) as excluded_hits,
+ round(coalesce(avg(wrong::int), 0), 6) as false_positive_rate from g""",
     "lexical_baseline": f"""with f as (select 'docs/' || source || '/' || lang || '/' || doc_id || '.txt' as path, lower(path) as p, lower(coalesce(text, '')) as t from documents)
  select path, cast({_COUNT} as bigint) as score from f where score > 0""",
     "paired_record": f"""{_MODES}, d as (select max(value) filter (mode = 'click') - max(value) filter (mode = 'view') as d from m group by task having d is not null)

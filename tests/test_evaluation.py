@@ -120,3 +120,16 @@ def test_episodes_and_truth(spark):
     hits = spark.createDataFrame([("f", "a", 1), ("f", "a", 1), ("f", "b", 1), ("g", "a", 2)], "name string, path string, line long")
     assert {r.name: (r.paths, r.repeated) for r in symbol_truth(hits).collect()} == {"f": (["a", "b"], 1), "g": (["a"], 0)}
     assert hits.select(F.lit(1)).count() == 4
+
+
+def test_search_quality(spark):
+    from navspark.operators.evaluation import above, search_quality
+
+    pairs = lambda rows: spark.createDataFrame(rows, "case string, path string")
+    results = spark.createDataFrame([("a", "x", 1), ("a", "bad", 2), ("b", "q", 1), ("b", "y", 2), ("c", "q", 1), ("c", "z", 6), ("d", "bad", 1)], "case string, path string, rank long")
+    got = search_quality(pairs([("a", "x"), ("a", "x2"), ("b", "y"), ("c", "z")]), pairs([("a", "bad"), ("c", "z"), ("b", "other")]), results)
+    row = got.first()
+    assert (row.cases, row.top1_accuracy, row.recall, row.expected_coverage, row.mrr) == (3, 0.333333, 0.666667, 0.5, 0.5)
+    assert (row.misses, row.partial_misses, row.excluded_hits, row.false_positive_rate) == (1, 1, 1, 0.333333)
+    assert [(r.metric, r.value) for r in above(got, {"false_positive_rate": 0.2, "misses": 1}).collect()] == [("false_positive_rate", 0.333333)]
+    assert search_quality(pairs([]), pairs([]), results).first().cases == 0
