@@ -1,10 +1,13 @@
 """Main text of web pages: a suffix array over each host's page token streams, with structure as a hint.
 
 Every page becomes a stream of text blocks; scripts, styles and other silent elements have none. Blocks in
-menus, headers, footers, sidebars, notices, adverts, forms or reader comments, told by element, role or the
-words of class and id, are ``BESIDE``; blocks in an article (or, without one, a main element) are ``INSIDE``;
-the others are ``PLAIN``. All of them make up the page's token stream, and the streams of a host are searched
-for strings of RUN tokens that PAGES distinct pages or more share; a longer string is covered by those in it.
+menus, headers, footers, sidebars, notices, adverts, forms or reader comments, told by element, role or a
+class or id whose noun names such a part (``reader-comments``, not ``no-sidebar`` or ``related-work``), are
+``BESIDE``; a form around the page's main text isn't such a part. Blocks in an article, or in a main or content
+element that holds no article, are ``INSIDE``. Where a page has these, its other blocks are ``BESIDE`` too, else
+they are ``PLAIN``. Headlines (an h1, or what the title begins with) are ``HEADLINE``. All blocks make up the
+page's token stream, and the streams of a host are searched for strings of RUN tokens that PAGES distinct pages
+or more share; a longer string is covered by those in it.
 
 1. Streams are packed into slices in bundle files, written once; later steps move small rows only. As in
    suffix_dedup, a string's anchor is its gram of GRAM tokens of least hash, so equal strings have equal
@@ -14,15 +17,16 @@ for strings of RUN tokens that PAGES distinct pages or more share; a longer stri
    host or a frequent string lie in many partitions) and sorted. Neighbours with equal leading tokens are
    compared string by string and the distinct pages that have a string are counted.
 3. Strings of the groups at a partition's ends are counted across partitions by an aggregation.
-4. Per page: BESIDE blocks go. Of PLAIN blocks the covered runs are cut and the unique runs stay. INSIDE
-   blocks lose runs only if at least HALF of the host's distinct pages have them (and PAGES at least), since a
-   few articles may quote the same passage. If a page marks an article, PLAIN blocks count only if their
-   unique runs hold more tokens than the article, which then is a teaser.
+4. Per page: BESIDE blocks go, HEADLINE blocks stay whole. Of PLAIN blocks the covered runs are cut and the
+   unique runs stay. INSIDE blocks lose runs only if more than one in HALF of the host's distinct pages have
+   them, and MANY at least, since a few articles may quote the same passage.
 
 Pages of equal token streams are one distinct page, so a page copied to any number of addresses keeps its
 text. Null html gives an empty text; null urls share one host. Character references are decoded, white space
 within a block becomes one space, blocks are joined by one line break. Repeated rows are pages of their own;
-columns other than page_id, url and html are ignored. An empty table gives no rows.
+columns other than page_id, url and html are ignored. An empty table gives no rows. A tag that the page's end
+cuts off is text; from a tag whose quotes don't end on, a page's tags end at their first ``>``. A page takes time
+in proportion to its length, however broken it is.
 """
 
 from __future__ import annotations
@@ -48,19 +52,26 @@ RUN, GRAM = 8, 4
 W = RUN - GRAM + 1
 #: Distinct pages of a host that a string of boilerplate is on, at least; one on fewer may be a copied passage.
 PAGES = 3
-#: In a marked article it is on one of so many of the host's distinct pages, too.
-HALF = 2
-BESIDE, PLAIN, INSIDE = 0, 1, 2
+#: In a marked article it is on more than one of HALF of the host's distinct pages, and on MANY at least.
+HALF, MANY = 2, 5
+BESIDE, PLAIN, INSIDE, HEADLINE = 0, 1, 2, 3
 #: Elements whose contents are never text of the page.
 SILENT = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video", "select", "textarea", "title", "head"}
 #: Elements around the main text.
-AROUND = {"nav", "footer", "aside", "form", "menu", "dialog", "button"}
+AROUND = {"nav", "footer", "aside", "menu", "dialog", "button"}
 #: What may stand in a head; any other element ends it, and so does text.
 HEAD = {"base", "link", "meta", "title", "style", "script", "noscript", "template", "head", "html"}
 #: Roles of such parts.
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog"}
 #: Words of class or id that name such parts.
 NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "promotion", "related", "replies", "reply", "responses", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar"}
+#: Of these, what is beside the text only outside of an article.
+HEADERS = {"header", "masthead"}
+#: Words behind a name that leave it the noun of a class or id, and words that deny what follows.
+CASES = {"area", "bar", "block", "box", "button", "buttons", "column", "container", "form", "icons", "inner", "item", "items", "left", "links", "list", "message", "outer", "panel", "posts", "right", "section", "slot", "stories", "unit", "widget", "wrap", "wrapper"}
+DENIALS = {"has", "hide", "no", "non", "not", "with", "without"}
+#: Whole classes and ids that name the main text.
+MAIN = {"content", "main-content", "article-body", "article-content", "entry-content", "post-body", "post-content", "story-body"}
 #: Elements that begin a new block.
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 #: Elements without contents.
@@ -68,106 +79,190 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 #: What an opening of the key implicitly closes.
 CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+OPENING = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+#: A tag's attributes up to its end: a quote only counts at the beginning of a value.
+ATTRIBUTES = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])))*+>")
+ATTRIBUTE = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 SPACE = re.compile(r"\s+")
-RAW_TEXT = {"script", "style", "textarea", "title", "noscript", "iframe"}
-
-
-def _around(name: str, attributes: str, within: bool) -> bool:
-    """Whether an element is a part beside the main text; within: it stands in an article."""
-    if name in AROUND or (name == "header" and not within):
-        return True
-    if not attributes:
-        return False
-    found = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
-    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").lower() in ROLES:
-        return True
-    words = re.split(r"[^a-z]+", f"{found.get('class', '')} {found.get('id', '')}".lower())
-    return name not in ("html", "body", "article", "main", "h1") and not NAMES.isdisjoint(words)
+RAW_TEXT = {name: re.compile(f"</{name}(?![^\\s/>])", re.I | re.A) for name in ("script", "style", "textarea", "title", "noscript", "iframe")}
+
+
+def _names(token: str, within: bool) -> bool:
+    """Whether a class or id names a part beside the main text by its noun; within: it stands in an article."""
+    words = [w.lower() for w in WORD.findall(token)]
+    while len(words) > 1 and words[-1] in CASES:
+        words.pop()
+    return bool(words) and words[-1] in NAMES and DENIALS.isdisjoint(words) and not (within and words[-1] in HEADERS)
+
+
+def _part(name: str, attributes: str, within: bool) -> tuple[bool, bool]:
+    """Whether an element is a part beside the main text, and whether it marks the main text."""
+    beside = name in AROUND or (name == "header" and not within)
+    if beside or not attributes:
+        return beside, name == "main"
+    found: dict[str, str] = {}
+    for k, v in ATTRIBUTE.findall(attributes):
+        found.setdefault(k.lower(), v[1:-1] if v[:1] in ("'", '"') else v)
+    role, own = found.get("role", "").lower(), [*found.get("class", "").split(), *found.get("id", "").split()]
+    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or role in ROLES:
+        return True, False
+    marks = name == "main" or role == "main" or (name in ("div", "section", "td") and not MAIN.isdisjoint(t.lower() for t in own))
+    return not marks and name not in ("html", "body", "main", "h1") and any(_names(t, within) for t in own), marks
+
+
+def _tags(page: str) -> Iterator[tuple[int, int, str, str | None]]:
+    """(start, end, name, attributes) of each tag, a closing one's attributes null, and of comments and the like with an empty name; to send a place goes on there."""
+    at, size, quoted = 0, len(page), True
+    last, data = page.rfind(">"), page.rfind("]]>")
+    while (start := page.find("<", at)) >= 0:
+        at = start + 1
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = size if end < 0 else end + 3
+            yield start, at, "", None
+        elif start > last:
+            continue
+        elif page.startswith(("<!", "<?"), start):
+            section = start < data and page.startswith("<![CDATA[", start)
+            at = page.find("]]>", start) + 3 if section else page.find(">", start) + 1
+            yield start, at, "", None
+        elif m := OPENING.match(page, start + 1):
+            whole = ATTRIBUTES.match(page, m.end()) if quoted and not m[1] else None
+            quoted = quoted and (whole is not None or bool(m[1]))
+            at = whole.end() if whole else page.find(">", m.end()) + 1
+            goto = yield start, at, m[2].lower(), None if m[1] else page[m.end() : at - 1]
+            if goto is not None:
+                at = goto
+                yield 0, 0, "", None
 
 
 def stream_blocks(page: str) -> list[tuple[int, str]]:
-    """The page's text blocks in order, each BESIDE, PLAIN or INSIDE."""
-    stack: list[tuple[str, bool, bool, str]] = []  # element, silent, beside the text, article or main or neither
-    silent, beside, kinds = 0, 0, {"article": 0, "main": 0}
+    """The page's text blocks in order, each with its kind."""
+    stack: list[tuple[str, bool, bool, int, bool, int]] = []  # element; silent, beside, form's number, whether an article, holder's number
+    silent = beside = article = headline = 0
+    opened: dict[str, int] = {}  # how many of an element are open
+    forms: list[int] = []  # the open forms outside of the main text
+    around: list[bool] = []  # of each form, whether main text or a headline is marked in it
+    holders: list[int] = []  # the open elements that mark the main text
+    outer: list[int] = []  # of each, the one around it
+    paragraphs: set[int] = set()
+    title = ""
     text: list[str] = []
-    found: list[tuple[str, str]] = []
-    seen: set[str] = set()
+    found: list[tuple[str, bool, int, bool, int, bool]] = []  # block, beside, form, in an article, holder, in an h1
 
     def flush() -> None:
         if text:
             block = SPACE.sub(" ", html.unescape("".join(text))).strip()
             text.clear()
             if block:
-                found.append(("beside" if beside else "article" if kinds["article"] else "main" if kinds["main"] else "", block))
+                found.append((block, beside > 0, forms[0] if forms else -1, article > 0, holders[-1] if holders else -1, headline > 0))
 
     def close(k: int) -> None:
-        nonlocal silent, beside
-        for _, mute, b, kind in stack[k:]:
+        nonlocal silent, beside, article, headline
+        for name, mute, b, form, a, holder in reversed(stack[k:]):
+            opened[name] -= 1
             silent -= mute
             beside -= b
-            if kind:
-                kinds[kind] -= 1
+            article -= a
+            headline -= name == "h1"
+            if form >= 0:
+                forms.pop()
+            if holder >= 0:
+                holders.pop()
         del stack[k:]
 
-    at, end, low = 0, len(page), None
-    while at < end:
-        m = TOKEN.search(page, at)
-        if stack and stack[-1][0] == "head" and (page[at : m.start()] if m else page[at:]).strip():
+    def add(piece: str) -> None:
+        if stack and stack[-1][0] == "head" and piece.strip():
             close(len(stack) - 1)
-        if not silent:
-            text.append(page[at : m.start()] if m else page[at:])
-        if not m:
-            break
-        at = m.end()
-        if m[1]:
-            name = m[1].lower()
+        if not silent and piece:
+            text.append(piece)
+
+    at, tags = 0, _tags(page)
+    for start, end, name, attributes in tags:
+        add(page[at:start])
+        at = end
+        if not name:
+            continue
+        if attributes is None:
             if name in BLOCKS or name in SILENT:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    if stack[k][2]:
-                        flush()
-                    close(k)
-                    break
-        elif m[2]:
-            name, attributes = m[2].lower(), m[3]
-            if stack and stack[-1][0] == "head" and name not in HEAD:
-                close(len(stack) - 1)
-            if name in BLOCKS or name in SILENT:
-                flush()
-            elif name == "br" and not silent:
-                text.append(" ")
-            if name in VOID or attributes.endswith("/"):
-                continue
-            if stack and stack[-1][0] in CLOSES.get(name, ()):
-                close(len(stack) - 1)
-            kind = name if name in kinds else ""
-            mute, b = name in SILENT, _around(name, attributes, kinds["article"] > 0)
-            if b:
-                flush()
-            stack.append((name, mute, b, kind))
-            silent += mute
-            beside += b
-            if kind:
-                kinds[kind] += 1
-                if not beside and not silent:
-                    seen.add(kind)
-            if name in RAW_TEXT:
-                low = page.lower() if low is None else low
-                stop = low.find(f"</{name}", at)
-                at = end if stop < 0 else stop
+            if opened.get(name):
+                k = len(stack) - 1
+                while stack[k][0] != name:
+                    k -= 1
+                if stack[k][2]:
+                    flush()
+                close(k)
+            continue
+        if stack and stack[-1][0] == "head" and name not in HEAD:
+            close(len(stack) - 1)
+        if name in BLOCKS or name in SILENT:
+            flush()
+        elif name == "br" and not silent:
+            text.append(" ")
+        if name in VOID or attributes.endswith("/"):
+            continue
+        if stack and stack[-1][0] in CLOSES.get(name, ()):
+            close(len(stack) - 1)
+        mute, within = name in SILENT, article > 0 or bool(holders)
+        b, marks = _part(name, attributes, within)
+        if b:
+            flush()
+        form = holder = -1
+        plain = not beside and not b and not silent and not mute
+        if name == "form" and not within:
+            form = len(around)
+            around.append(False)
+            forms.append(form)
+        elif name == "form":
+            b = True
+        if plain and (name in ("article", "h1") or marks) and forms:
+            around[forms[0]] = True
+        if name == "p" and forms:
+            paragraphs.add(forms[0])
+        if marks and plain:
+            holder = len(outer)
+            outer.append(holders[-1] if holders else -1)
+            holders.append(holder)
+        stack.append((name, mute, b, form, name == "article" and plain, holder))
+        opened[name] = opened.get(name, 0) + 1
+        silent += mute
+        beside += b
+        article += name == "article" and plain
+        headline += name == "h1"
+        if name in RAW_TEXT:
+            m = RAW_TEXT[name].search(page, end)
+            stop = m.start() if m else len(page)
+            if name == "title" and not title:
+                title = SPACE.sub(" ", html.unescape(page[end:stop])).strip()
+            tags.send(stop)
+            at = stop
+    add(page[at:])
     flush()
-    inside = {"article", "main"} if seen == {"main"} else seen
-    return [(BESIDE if k == "beside" else INSIDE if k in inside else PLAIN, b) for k, b in found]
+    if all(b or (f >= 0 and not around[f]) for _, b, f, *_ in found):
+        around = [a or k in paragraphs for k, a in enumerate(around)]
+    off = [b or (f >= 0 and not around[f]) for _, b, f, *_ in found]
+    wraps: set[int] = set()  # what holds an article doesn't mark the main text itself
+    for (_, _, _, a, h, _), gone in zip(found, off, strict=True):
+        while a and not gone and h >= 0 and h not in wraps:
+            wraps.add(h)
+            h = outer[h]
+    inside = [not gone and (a or (h >= 0 and h not in wraps)) for (_, _, _, a, h, _), gone in zip(found, off, strict=True)]
+    marked = any(inside)
+    out = []
+    for (block, _, _, _, _, h1), gone, i in zip(found, off, inside, strict=True):
+        kind = BESIDE if gone or marked > i else INSIDE if i else PLAIN
+        if kind != BESIDE and h1 and (i or title.startswith(block)):
+            kind = HEADLINE
+        out.append((kind, block))
+    return out
 
 
 def blocks(page: str) -> tuple[bool, list[str]]:
     """Whether the page marks its main text, and the blocks that structure alone would choose."""
     found = stream_blocks(page)
-    marked = any(k == INSIDE for k, _ in found)
-    return marked, [b for k, b in found if k == (INSIDE if marked else PLAIN)]
+    return any(k == INSIDE for k, _ in found), [b for k, b in found if k != BESIDE]
 
 
 def _number(text: str) -> int:
@@ -257,6 +352,8 @@ def _send(path: str, ranges: int) -> Callable:
         for slice_, rows, _ in _read(path, batches):
             s = Streams(rows)
             hashes, counts = np.unique(s.hash, return_counts=True)
+            if not len(hashes):  # no page of the slice has a string
+                continue
             used, begin = np.unique(range_of(hashes, ranges), return_index=True)
             ends = np.append(begin[1:], len(hashes))
             low, times = (hashes & U(0xFFFFFFFF)).astype(np.uint32), np.minimum(counts, 255).astype(np.uint8)
@@ -369,19 +466,15 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def main_text(kinds: list[int], found: list[str], shared: np.ndarray, wide: np.ndarray) -> str:
     """What stays of a page's blocks; shared and wide: for each token, whether PAGES and whether most pages have it."""
-    lengths = [b.count(" ") + 1 for b in found]
-    ends = np.cumsum([0, *lengths])
-    marked = sum(n for k, n in zip(kinds, lengths, strict=True) if k == INSIDE)
-    alone = sum(int((~shared[a:b]).sum()) for k, a, b in zip(kinds, ends[:-1], ends[1:], strict=True) if k == PLAIN)
-    plain = not marked or alone > marked
-    kept = []
-    for k, b, at, end in zip(kinds, found, ends[:-1], ends[1:], strict=True):
-        if k == INSIDE or (k == PLAIN and plain):
-            gone = (wide if k == INSIDE else shared)[at:end]
-            if not gone.any():
-                kept.append(b)
-            elif not gone.all():
-                kept.append(" ".join(t for t, g in zip(b.split(" "), gone.tolist(), strict=True) if not g))
+    kept, at = [], 0
+    for k, b in zip(kinds, found, strict=True):
+        end = at + b.count(" ") + 1
+        gone = (wide if k == INSIDE else shared)[at:end]
+        at = end
+        if k == HEADLINE or (k != BESIDE and not gone.any()):
+            kept.append(b)
+        elif k != BESIDE and not gone.all():
+            kept.append(" ".join(t for t, g in zip(b.split(" "), gone.tolist(), strict=True) if not g))
     return "\n".join(kept)
 
 
@@ -406,7 +499,7 @@ def _finish(path: str) -> Callable:
 
 
 def shared_strings(manifest: DataFrame, path: str) -> DataFrame:
-    """slice, page, start, wide: the strings of RUN tokens that PAGES distinct pages of a host share; wide: so many of the host's pages."""
+    """slice, page, start, wide: the strings of RUN tokens that PAGES distinct pages of a host share; wide: most of the host's pages, and MANY."""
     slices = manifest.select("slice", "file", "at", "size")
     size = manifest.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).first()
     total, parts = 4 * size["b"], max(1, -(-size["n"] // 4))
@@ -423,7 +516,7 @@ def shared_strings(manifest: DataFrame, path: str) -> DataFrame:
     crossing = edge.join(checked(written(counted, "html-edges")), "key")
     hosts = manifest.select(F.explode("streams").alias("s")).select("s.host", "s.stream").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("all"))
     every = found.where("pages is not null").select("host", "slice", "page", "start", "pages").unionByName(crossing.select("host", "slice", "page", "start", "pages"))
-    return every.join(checked(written(hosts, "html-hosts")), "host").select("slice", "page", "start", (HALF * F.col("pages") >= F.col("all")).alias("wide"))
+    return every.join(checked(written(hosts, "html-hosts")), "host").select("slice", "page", "start", ((HALF * F.col("pages") > F.col("all")) & (F.col("pages") >= MANY)).alias("wide"))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
