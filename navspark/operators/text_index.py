@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+import math
+import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from navspark.functions.paths import snippet
 from navspark.sources.corpus import documents_as_files, table
+from navspark.sources.scratch import saved
 
 LINES, STRIDE = 80, 70
 K1, B = 1.2, 0.75
 #: Query terms or passages that may be broadcast, or held by a worker, at once.
 AT_ONCE = 500_000
+#: Rows whose texts a worker takes apart at once, and pairs of a query and a row, about, that it scores at once.
+ROWS, PAIRS = 512, 1 << 20
+#: Stands for a null key, behind all others.
+NO_KEY = (1 << 63) - 1
+TOKEN, ASCII_TOKEN = regex.compile(r"[\p{L}\p{N}]+"), re.compile("[0-9a-z]+")
 
 
 def _plain_letters() -> tuple[str, str]:
@@ -63,18 +74,130 @@ def bm25(index: DataFrame, queries: DataFrame, key: str, query: str, stats: Data
     return hits.groupBy(query, key).agg(F.round(F.sum(part), 6).alias("score"))
 
 
+def term_counts(docs: DataFrame, key: str, only: list[str] | None = None) -> DataFrame:
+    """key, length (tokens), terms, tfs of every row of docs (key, text), of the terms in ``only`` if it is given; null counts as empty."""
+    shared = docs.sparkSession.sparkContext.broadcast(None if only is None else frozenset(only))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                lengths, ends, terms, tfs = [], [0], [], []
+                for text in part.column(1).to_pylist():
+                    words = ASCII_TOKEN.findall(text) if text.isascii() else TOKEN.findall(text)
+                    found = Counter(words)
+                    mine = [w for w in found if wanted is None or w in wanted]
+                    terms += mine
+                    tfs += [found[w] for w in mine]
+                    lengths.append(len(words))
+                    ends.append(len(terms))
+                listed = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values) for values in (pa.array(terms, pa.string()), pa.array(tfs, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lengths, pa.int64()), *listed], [key, "length", "terms", "tfs"])
+
+    view = docs.select(key, folded(F.coalesce("text", F.lit(""))).alias("text"))
+    return view.mapInArrow(run, f"`{key}` {view.schema[key].dataType.simpleString()}, length long, terms array<string>, tfs array<long>")
+
+
+class Best:
+    """The ``most`` best (query, key, score) among the rows seen, ties by key, nulls last."""
+
+    def __init__(self, queries: int, most: int):
+        self.most, self.least = most, np.full(queries, -1.0)
+        self.query, self.key, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, query: np.ndarray, key: np.ndarray, score: np.ndarray) -> None:
+        near = score >= self.least[query]
+        query, key, score = (np.concatenate([a, b[near]]) for a, b in ((self.query, query), (self.key, key), (self.score, score)))
+        order = np.lexsort((key, -score, query))
+        query, key, score = query[order], key[order], score[order]
+        first = np.searchsorted(query, query)
+        nth = np.arange(len(query)) - first
+        last = nth == self.most - 1
+        self.least[query[last]] = score[last]
+        kept = nth < self.most
+        self.query, self.key, self.score = query[kept], key[kept], score[kept]
+
+
+def best_matches(docs: DataFrame, queries: DataFrame, key: str, query: str, most: int) -> DataFrame:
+    """query, key (a long), score, rank (from 1) of the ``most`` rows of docs (key, text) that BM25 ranks best for each of queries (query, term); ties by key.
+
+    Texts are taken apart once: the counts of the queries' terms are dealt out by key and kept. Each task scores its rows in
+    slices and passes on its own best of each query, so no pair of a query and a row is shuffled.
+    """
+    queries = saved(queries.distinct(), "query-terms")
+    terms = queries.select("term").distinct()
+    only = [r[0] for r in terms.collect()] if terms.count() <= AT_ONCE else None
+    # Rows that share a key are scored as one; of one length, their terms are counted together.
+    counted = saved(term_counts(docs, key, only).groupBy(key).agg(F.collect_list(F.struct("length", "terms", "tfs")).alias("parts")), "term-counts")
+    stats = counted.select(F.inline("parts")).agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("all")).first()
+    rows, average = stats["n"], (stats["all"] or 0) / max(1, stats["n"])
+    several = "array_distinct(flatten(transform(parts, p -> transform(p.terms, t -> named_struct('length', p.length, 'term', t))))).term"
+    frequency = counted.select(F.expr(f"explode(if(size(parts) = 1, parts[0].terms, {several}))").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    uses = saved(queries.join(frequency, "term"), "query-uses")
+    blocks = max(1, -(-uses.count() // AT_ONCE))
+    kind = queries.schema[query].dataType.simpleString()
+
+    def block(number: int) -> DataFrame:
+        mine = uses.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == number).select(query, "term", "df").collect()  # at most about AT_ONCE rows
+        names = list(dict.fromkeys(r[0] for r in mine))
+        place, by_term = {q: i for i, q in enumerate(names)}, {}
+        for q, term, df in mine:
+            by_term.setdefault(term, (df, []))[1].append(place[q])
+        number_of = {t: i for i, t in enumerate(by_term)}
+        weights = np.array([max(0.0, math.log((rows - df + 0.5) / (df + 0.5))) or 1e-6 for df, _ in by_term.values()])
+        starts = np.cumsum([0, *(len(q) for _, q in by_term.values())])
+        used = np.array([q for _, of in by_term.values() for q in of], np.int64)
+        shared = docs.sparkSession.sparkContext.broadcast((number_of, weights, starts, used, len(names)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            number_of, weights, starts, used, n = shared.value
+            best = Best(n, most)
+            many = np.diff(starts)
+
+            def score(keys: list[int], flat: list[tuple[int, int, int, int]]) -> None:
+                row, ids, tfs, lengths = np.array(flat, np.int64).reshape(-1, 4).T
+                part = weights[ids] * (tfs * (K1 + 1) / (tfs + K1 * (1 - B + B * lengths / average)))
+                each = many[ids]
+                use = np.repeat(starts[ids] - np.cumsum(each) + each, each) + np.arange(each.sum())
+                pair = np.repeat(row, each) * n + used[use]
+                total = np.bincount(pair, np.repeat(part, each), len(keys) * n)
+                pair = np.flatnonzero(np.bincount(pair, minlength=len(keys) * n))
+                best.add(pair % n, np.array(keys, np.int64)[pair // n], np.floor(total[pair] * 1e6 + 0.5) / 1e6)
+
+            keys, flat, held = [], [], 0
+            for batch in batches:
+                for name, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    found: dict[tuple[int, int], int] = {}
+                    for p in parts:
+                        for term, tf in zip(p["terms"], p["tfs"], strict=True):
+                            if (i := number_of.get(term)) is not None:
+                                found[i, p["length"]] = found.get((i, p["length"]), 0) + tf
+                    flat += [(len(keys), i, tf, length) for (i, length), tf in found.items()]
+                    keys.append(NO_KEY if name is None else name)
+                    held += n + sum(int(many[i]) for i, _ in found)
+                    if held >= PAIRS:
+                        score(keys, flat)
+                        keys, flat, held = [], [], 0
+            if keys and n:
+                score(keys, flat)
+            found = pa.array(best.key, pa.int64(), mask=best.key == NO_KEY)
+            yield pa.RecordBatch.from_arrays([pa.array(best.query), found, pa.array(best.score)], ["nth", key, "score"])
+
+        named = docs.sparkSession.createDataFrame(list(enumerate(names)), f"nth long, `{query}` {kind}")
+        return counted.mapInArrow(run, f"nth long, `{key}` long, score double").join(F.broadcast(named), "nth").drop("nth")
+
+    hits = block(0)
+    for number in range(1, blocks):
+        hits = hits.unionByName(block(number))
+    place = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), F.asc_nulls_last(key)))
+    return hits.withColumn("rank", place.cast("long")).where(F.col("rank") <= most)
+
+
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", tokens(F.col("text")).alias("terms")).withColumn("length", F.size("terms").cast("long"))
     queries = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    wanted = queries.select("term").distinct()
-    if wanted.count() <= AT_ONCE:
-        wanted = F.broadcast(wanted)
-    # Only the queries' terms are counted and shuffled.
-    index = docs.select("doc_id", "length", F.explode("terms").alias("term")).join(wanted, "term", "left_semi").groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("length") > 0, F.col("length"))).alias("all")).select("n", (F.col("all") / F.col("n")).alias("average"))
-    hits = bm25(index, queries, "doc_id", "item_id", stats)
-    place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
-    return hits.withColumn("rank", place.cast("long")).where("rank <= 5")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return best_matches(docs, queries, "doc_id", "item_id", 5)
 
 
 def q_files(spark: SparkSession, sf_dir: str) -> DataFrame:

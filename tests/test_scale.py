@@ -42,3 +42,35 @@ def test_texts_are_taken_apart_in_slices():
     parts = list(match.slices(iter([batch]), [1]))
     assert max(p.num_rows for p in parts) * 20_000 <= match.SLICE
     assert [k for p in parts for k in p.column(0).to_pylist()] == list(range(300))
+
+
+def test_bm25_shuffles_no_pairs(spark):
+    """The best of each query equal a loop's, with rows that repeat a key, ties and null texts, and no pair of query and row is shuffled."""
+    import math
+    from collections import Counter
+
+    from navspark.operators import text_index
+
+    texts = [(i, " ".join("abcdefgh"[(i * k * k + k) % (3 + i % 6)] for k in range(5 + i % 9))) for i in range(60)]
+    texts += [(5, "a b"), (5, "a c"), (60, None), (61, ""), (62, texts[7][1])]
+    queries = [(q, t) for q, words in enumerate(["a b", "c", "h a g", "none", "b"]) for t in words.split()]
+    docs = spark.createDataFrame(texts, "doc long, text string")
+    made = text_index.best_matches(docs, spark.createDataFrame([*queries, queries[0]], "query long, term string"), "doc", "query", 5)
+    got = sorted((r["query"], r["rank"], r["doc"], r["score"]) for r in made.collect())
+    parts: dict[tuple[int, int], Counter] = {}
+    for doc, text in texts:
+        words = (text or "").split()
+        parts.setdefault((doc, len(words)), Counter()).update(words)
+    df = Counter(t for found in parts.values() for t in found)
+    average = sum(len((text or "").split()) for _, text in texts) / len(texts)
+    want = []
+    for q in range(5):
+        scores: dict[int, float] = {}
+        for (doc, length), found in parts.items():
+            for t in (t for p, t in queries if p == q and t in found):
+                weight = max(0.0, math.log((len(texts) - df[t] + 0.5) / (df[t] + 0.5))) or 1e-6
+                scores[doc] = scores.get(doc, 0.0) + weight * found[t] * 2.2 / (found[t] + 1.2 * (0.25 + 0.75 * length / average))
+        want += [(q, n + 1, doc, round(s, 6)) for n, (doc, s) in enumerate(sorted(scores.items(), key=lambda x: (-round(x[1], 6), x[0]))[:5])]
+    assert got == want
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # each task's best
