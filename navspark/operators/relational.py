@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from navspark.sources.corpus import table
+from navspark.sources.scratch import saved
 
 
 def _t(name: str):
@@ -53,8 +54,28 @@ def q_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube.agg(F.grouping_id().cast("long").alias("gid"), F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 
+def percentiles_by(rows: DataFrame, group: str, value: str, percents: tuple[int, ...]) -> DataFrame:
+    """group and p<percent> of each: the least value that so many percent of the group's values don't exceed; nulls don't count.
+
+    Distinct values are counted and dealt out by ranges, each range's rows are numbered behind those of the ranges
+    before it, and so no task holds a group's values, however few groups there are.
+    """
+    counts = rows.groupBy(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).agg(F.count(value).alias("n"))
+    dealt = saved(counts.repartitionByRange("g", "v").withColumn("part", F.spark_partition_id()), "ranges")
+    parts = dealt.groupBy("g", "part").agg(F.sum("n").alias("of_part"))  # a row for each range and group in it
+    before = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("before", F.coalesce(F.sum("of_part").over(before), F.lit(0))).withColumn("total", F.sum("of_part").over(Window.partitionBy("g")))
+    parts = parts.select(F.col("g").alias("part_g"), F.col("part").alias("part_of"), "before", "total")
+    met = dealt.join(F.broadcast(parts), F.col("g").eqNullSafe(F.col("part_g")) & (F.col("part") == F.col("part_of")))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("g", "part").orderBy("v"))
+    ranked = met.select("g", "v", "n", "total", upto.alias("upto"))
+    rank = lambda p: F.greatest(F.lit(1), F.expr(f"(total * {p} + 99) div 100"))
+    here = lambda p: (F.col("upto") >= rank(p)) & (F.col("upto") - F.col("n") < rank(p))
+    return ranked.groupBy(F.col("g").alias(group)).agg(*(F.max(F.when(here(p), F.col("v"))).alias(f"p{p}") for p in percents))
+
+
 def q_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(*(F.expr(f"cast(percentile_disc({p / 100}) within group (order by l_extendedprice) as double)").alias(f"p{p}") for p in (50, 90, 95, 99)))
+    return percentiles_by(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice", (50, 90, 95, 99))
 
 
 def q_pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
