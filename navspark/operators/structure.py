@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from navspark.operators.text_index import ROWS
 from navspark.functions.paths import roles
 from navspark.operators.code import alias_targets, plain_json, sections  # noqa: F401
 
@@ -153,8 +154,9 @@ def structured_chunks(files: DataFrame) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = [(r.path, i, *piece) for r in part.itertuples() for i, piece in enumerate(pieces(r.text or "", r.language))]
-            yield pd.DataFrame(rows, columns=["path", "ordinal", "kind", "start_line", "end_line", "text"])
+            for at in range(0, len(part), ROWS):
+                rows = [(r.path, i, *piece) for r in part.iloc[at : at + ROWS].itertuples() for i, piece in enumerate(pieces(r.text or "", r.language))]
+                yield pd.DataFrame(rows, columns=["path", "ordinal", "kind", "start_line", "end_line", "text"])
 
     return files.select("path", "language", "text").mapInPandas(run, "path string, ordinal long, kind string, start_line long, end_line long, text string")
 

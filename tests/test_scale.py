@@ -88,3 +88,22 @@ def test_percentiles_of_a_group_are_dealt_out(spark):
         want[g] = [values[max(1, -(-len(values) * p // 100)) - 1] if values else None for p in (50, 90, 95, 99)]
     assert {r["g"]: [r[f"p{p}"] for p in (50, 90, 95, 99)] for r in made.collect()} == want
     assert "percentile" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_chunks_are_given_in_slices():
+    """A worker never gives the chunks of more than a few hundred files at once."""
+    import pandas as pd
+
+    from navspark.operators import structure
+
+    class Files:
+        def select(self, *columns):
+            return self
+
+        def mapInPandas(self, run, schema):  # noqa: N802
+            return run
+
+    given = pd.DataFrame({"path": [str(i) for i in range(1200)], "language": "txt", "text": "a\nb"})
+    parts = list(structure.structured_chunks(Files())(iter([given])))
+    assert max(p["path"].nunique() for p in parts) <= 512
+    assert pd.concat(parts)["path"].tolist() == given["path"].tolist()
