@@ -171,22 +171,27 @@ def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(sid, label): the least ``rep`` reachable, for nodes (sid, rep) over undirected edges (a, b).
 
-    Every round each node takes the least label among its neighbours' and its own, and then the label that
-    its label's own node has; rounds end when nothing changes.
+    Every round each node hooks on to the least of its neighbours and itself, hooks are followed to their ends, and edges are
+    drawn anew between those. Edges that became loops or equal go, so later rounds read few of them.
     """
-    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-links")
-    linked = both.select(F.col("a").alias("sid")).distinct()
-    labels = written(nodes.join(linked, "sid", "left_semi").select("sid", "rep", F.col("rep").alias("label")), "near-labels")
-    while True:
-        near = both.join(labels, both["b"] == labels["sid"]).groupBy("a").agg(F.min("label").alias("near"))
-        least = labels.join(near, labels["sid"] == near["a"], "left").select("sid", "rep", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        least = written(least, "near-least")
-        jump = least.groupBy("rep").agg(F.min("label").alias("jump")).withColumnRenamed("rep", "at")
-        moved = least.join(jump, least["label"] == jump["at"], "left").select("sid", "rep", "old", F.least("label", F.coalesce("jump", "label")).alias("label"))
-        moved = written(moved, "near-labels")
-        if moved.where("label < old").isEmpty():
-            return moved.select("sid", "label")
-        labels = moved.drop("old")
+    at = nodes.select("sid", F.struct("rep", "sid").alias("node"))  # classes without a doc_id share a rep
+    ends = edges.join(at.withColumnRenamed("node", "x"), edges["a"] == at["sid"]).drop("sid").join(at.withColumnRenamed("node", "y"), edges["b"] == at["sid"])
+    drawn = lambda x, y: (F.least(x, y).alias("x"), F.greatest(x, y).alias("y"))
+    left = written(ends.select(*drawn("x", "y")).where("x < y").distinct(), "near-links")
+    roots = written(left.select(F.col("x").alias("node")).union(left.select("y")).distinct().select("node", F.col("node").alias("root")), "near-roots")
+    while not left.isEmpty():
+        hooks = left.select(F.col("y").alias("at"), F.col("x").alias("hook")).union(left.select(F.col("x").alias("at"), F.col("x").alias("hook")))
+        hooks = written(hooks.groupBy("at").agg(F.min("hook").alias("hook")), "near-hooks")
+        while True:  # what a node hooked on to may have hooked on to another
+            end = hooks.select(F.col("at").alias("end_at"), F.col("hook").alias("end"))
+            hooks = written(hooks.join(end, F.col("hook") == F.col("end_at")).select("at", F.col("end").alias("hook"), (F.col("end") < F.col("hook")).alias("moved")), "near-hooks")
+            if hooks.where("moved").isEmpty():
+                break
+        x, y = (hooks.select(F.col("at").alias(f"{c}_at"), F.col("hook").alias(f"{c}_hook")) for c in "xy")
+        left = left.join(x, left["x"] == x["x_at"]).join(y, left["y"] == y["y_at"]).select(*drawn("x_hook", "y_hook"))
+        left = written(left.where("x < y").distinct(), "near-links")
+        roots = written(roots.join(hooks, roots["root"] == hooks["at"], "left").select("node", F.coalesce("hook", "root").alias("root")), "near-roots")
+    return roots.select(F.col("node.sid").alias("sid"), F.col("root.rep").alias("label"))
 
 
 def beside(members: DataFrame, facts: DataFrame, how: str = "inner") -> DataFrame:
@@ -203,15 +208,19 @@ def stars(crowd: DataFrame, labels: DataFrame | None, tested: DataFrame | None)
         apart = members.groupBy("key").agg(F.max("salts").alias("salts"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
         members = beside(members, apart)
         # The centres are the most connected class of the component of least label and of the one of greatest label.
-        best = F.struct("company", "sid")
+        best = F.struct("company", "sid", "label")
         centres = members.groupBy("key").agg(F.max("salts").alias("salts"), F.max(F.when(F.col("label") == F.col("low"), best)).alias("c"), F.max(F.when(F.col("label") == F.col("high"), best)).alias("d"))
-        centres = centres.select("key", "salts", F.array("c.sid", "d.sid").alias("centres"))
+        centres = centres.select("key", "salts", F.array("c", "d").alias("centres"))
     else:
         best, first = F.max(F.struct("company", "sid")), F.min(F.struct("rep", "sid"))
         centres = members.groupBy("key").agg(F.max("salts").alias("salts"), best.alias("c"), first.alias("d")).select("key", "salts", F.array_distinct(F.array("c.sid", "d.sid")).alias("centres"))
-    edges = beside(members, centres).select(F.explode("centres").alias("a"), F.col("sid").alias("b")).where(F.col("a") != F.col("b")).distinct()
+        centres = centres.withColumn("centres", F.transform("centres", lambda c: F.struct(c.alias("sid"))))
+    pairs = beside(members, centres).withColumn("centre", F.explode("centres")).where("centre.sid <> sid")
+    if labels is not None:  # one component needs no further edge; classes without a doc_id share a label without being linked
+        pairs = pairs.where((F.col("centre.label") != F.col("label")) | (F.col("label") == LARGEST))
+    edges = pairs.select(F.col("centre.sid").alias("a"), F.col("sid").alias("b")).distinct()
     edges = edges if tested is None else edges.join(tested, ["a", "b"], "left_anti")
-    return edges, centres.select("key", F.explode("centres").alias("sid"))
+    return edges, centres.select("key", F.explode("centres.sid").alias("sid"))
 
 
 def undecided(crowd: DataFrame, labels: DataFrame, centres: DataFrame) -> DataFrame:

@@ -107,3 +107,37 @@ def test_chunks_are_given_in_slices():
     parts = list(structure.structured_chunks(Files())(iter([given])))
     assert max(p["path"].nunique() for p in parts) <= 512
     assert pd.concat(parts)["path"].tolist() == given["path"].tolist()
+
+
+def test_components_shrink_with_every_round(spark, monkeypatch):
+    """Classes equal a loop's, also those without a doc_id, and all rounds together read little more edges than there are."""
+    import random
+
+    from navspark.llm import minhash
+
+    draw = random.Random(5)
+    names = [bytes([k // 256, k % 256]) for k in range(600)]
+    reps = {s: minhash.LARGEST if k % 10 == 0 else (k * 37) % 601 for k, s in enumerate(names)}
+    pairs = [(names[300], s) for s in names[250:420:2]] + [(s, names[311]) for s in names[251:420:2]] + list(zip(names[:200], names[1:], strict=False))
+    pairs += [(a, b) for a, b in (draw.sample(names[420:], 2) for _ in range(80))] + [(names[210], names[220]), (names[230], names[231])]
+    root = {s: s for s in names}
+
+    def of(s):
+        return s if root[s] == s else of(root[s])
+
+    for a, b in pairs:
+        root[of(a)] = of(b)
+    linked = {s for p in pairs for s in p}
+    want = {s: min(reps[t] for t in linked if of(t) == of(s)) for s in linked}
+    rows, keep = [], minhash.written
+
+    def counted(df, label):
+        out = keep(df, label)
+        if label == "near-links":
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "written", counted)
+    found = minhash.components(spark.createDataFrame(list(reps.items()), "sid binary, rep long"), spark.createDataFrame(pairs, "a binary, b binary"))
+    assert {bytes(r["sid"]): r["label"] for r in found.collect()} == want
+    assert sum(rows) <= 1.6 * len(pairs)
