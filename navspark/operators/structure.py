@@ -149,16 +149,17 @@ def pieces(text: str, language: str) -> list[tuple[str, int, int, str]]:
     return out + (flat(free, len(lines)) if free < len(lines) else [])
 
 
-def structured_chunks(files: DataFrame) -> DataFrame:
-    """path, ordinal, kind, start_line, end_line, text of every file (path, language, text); null text counts as empty."""
+def structured_chunks(files: DataFrame, languages: bool = False) -> DataFrame:
+    """path, ordinal, kind, start_line, end_line, text, and the language if asked for, of every file (path, language, text); null text counts as empty."""
+    more = ["language"] * languages
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for at in range(0, len(part), ROWS):
-                rows = [(r.path, i, *piece) for r in part.iloc[at : at + ROWS].itertuples() for i, piece in enumerate(pieces(r.text or "", r.language))]
-                yield pd.DataFrame(rows, columns=["path", "ordinal", "kind", "start_line", "end_line", "text"])
+                rows = [(r.path, i, *piece, *[r.language] * languages) for r in part.iloc[at : at + ROWS].itertuples() for i, piece in enumerate(pieces(r.text or "", r.language))]
+                yield pd.DataFrame(rows, columns=["path", "ordinal", "kind", "start_line", "end_line", "text", *more])
 
-    return files.select("path", "language", "text").mapInPandas(run, "path string, ordinal long, kind string, start_line long, end_line long, text string")
+    return files.select("path", "language", "text").mapInPandas(run, "path string, ordinal long, kind string, start_line long, end_line long, text string" + ", language string" * languages)
 
 
 def locality(base: Column, path: Column) -> Column:

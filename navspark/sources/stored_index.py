@@ -17,6 +17,8 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from py4j.protocol import Py4JJavaError
@@ -35,6 +37,11 @@ from navspark.sources.scratch import shared_dir
 FORMAT = 1
 #: Bytes of text that a bucket holds, about, when an index is first made.
 BUCKET_BYTES = 256 << 20
+#: Bytes of text that an update deals to a task, about, and of stored files that a task reads: what a task sorts stays in its memory.
+PIECE_BYTES, READ_BYTES = 32 << 20, 16 << 20
+#: Paths that an update broadcasts at once, and rows of a number and a flag.
+PATHS_AT_ONCE, FLAGS_AT_ONCE = 500_000, 2_000_000
+FILE_COLUMNS = ["path", "language", "size", "hash", "modified_ms", "text"]
 WITH_SYMBOLS = ["typescript", "javascript", "py", "python", "c", "cpp", "java", "go", "rs", "kt", "rb", "php", "markdown"]
 CHUNK_COLUMNS, SYMBOL_COLUMNS = ["path", "language", "kind", "text"], ["path", "name", "kind", "signature"]
 _TERMS = "path string, ordinal long, length long, column string, term string, positions array<int>"
@@ -49,13 +56,29 @@ TABLES = {
 }
 
 
+@contextmanager
+def small_reads(spark: SparkSession) -> Iterator[None]:
+    """Tasks that begin within read READ_BYTES of files at most."""
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(READ_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+#: Tables of rows that were dealt out otherwise while they were made.
+SHUFFLED = ("symbols", "symbol_terms", "edges")
+
+
 class Conflict(RuntimeError):
     """Another update committed first."""
 
 
 def chunk_rows(files: DataFrame) -> DataFrame:
-    made = structured_chunks(files).select("path", "ordinal", "start_line", "end_line", F.when(F.col("kind") == "section", "markdown").otherwise(F.col("kind")).alias("kind"), "text")
-    return made.join(files.select("path", "language"), "path").select("path", "ordinal", "start_line", "end_line", "kind", "language", "text")
+    kind = F.when(F.col("kind") == "section", "markdown").otherwise(F.col("kind"))
+    return structured_chunks(files, languages=True).select("path", "ordinal", "start_line", "end_line", kind.alias("kind"), "language", "text")
 
 
 def symbol_rows(files: DataFrame) -> DataFrame:
@@ -139,13 +162,17 @@ class StoredIndex:
 
         A file is unchanged if its hash and its rounded time are; nothing is deleted after an incomplete scan, nor outside the prefix.
         """
+        return self._changes(files, version, prefix, complete, force).select("path", "action")
+
+    def _changes(self, files: DataFrame, version: Version, prefix: str, complete: bool, force: bool) -> DataFrame:
+        """``changes`` and the new size."""
         clean = normalize_prefix(prefix)
         old = self.table("files", version).where(under(F.col("path"), clean)).select("path", F.col("hash").alias("old_hash"), F.round("modified_ms").alias("old_time"))
-        new = files.select("path", "hash", F.round("modified_ms").alias("time"))
+        new = files.select("path", "hash", F.round("modified_ms").alias("time"), "size")
         same = F.col("old_hash").eqNullSafe(F.col("hash")) & F.col("old_time").eqNullSafe(F.col("time")) & F.lit(not force)
         met = old.withColumn("stored", F.lit(True)).join(new.withColumn("seen", F.lit(True)), "path", "full_outer")
         action = F.when(F.col("stored").isNull(), "insert").when(F.col("seen").isNull(), "delete" if complete else "keep").when(same, "keep").otherwise("update")
-        return met.select("path", action.alias("action")).where("action <> 'keep'")
+        return met.select("path", action.alias("action"), "size").where("action <> 'keep'")
 
     def update(self, files: DataFrame, prefix: str = "", complete: bool = True, head: str | None = None, buckets: int | None = None) -> dict:
         """Takes the index to files (path, language, size, hash, modified_ms, text) below the prefix; says what was done."""
@@ -159,10 +186,10 @@ class StoredIndex:
             base.buckets = buckets or max(8, -(-size // BUCKET_BYTES))
         place = uuid.uuid4().hex
         staged = f"{self.root}/data/{place}"
-        changes = self.changes(files, base, clean, complete, forced).withColumn("bucket", self._bucket(base.buckets))
+        changes = self._changes(files, base, clean, complete, forced).withColumn("bucket", self._bucket(base.buckets))
         changes.write.parquet(f"{staged}/changes")
-        changes = self.spark.read.schema("path string, action string, bucket int").parquet(f"{staged}/changes")
-        rows = changes.groupBy("bucket", "action").count().collect()  # at most three rows a bucket
+        changes = self.spark.read.schema("path string, action string, size long, bucket int").parquet(f"{staged}/changes")
+        rows = changes.groupBy("bucket", "action").agg(F.count(F.lit(1)).alias("count"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).collect()  # at most three rows a bucket
         done = {a: sum(r["count"] for r in rows if r["action"] == a) for a in ("insert", "update", "delete")}
         scope = f":{clean}" if clean else ""
         meta = {**began.meta, f"indexed_head{scope}": head, f"index_format{scope}": str(FORMAT)}
@@ -174,18 +201,21 @@ class StoredIndex:
         counts = dict(base.counts)
         if rows or not began.number:
             touched = sorted({r["bucket"] for r in rows})
-            gone = changes.select("path")
-            fresh = files.join(changes.where("action <> 'delete'").select("path"), "path", "left_semi").repartition(self._bucket(base.buckets))
-            made = derived(fresh)
-            for name in [t for t in TABLES if t != "edges"]:
-                key = "src" if name == "references" else "path"
-                kept = self.table(name, base, touched).join(gone.withColumnRenamed("path", key), key, "left_anti").select(*self._columns(name))
-                self._stage(name, kept.unionByName(made[name].select(*self._columns(name))), staged, base.buckets, key)
-                old = {b: at for b, at in places.get(name, {}).items() if int(b) not in touched}
-                places[name] = old | {n.removeprefix("bucket="): place for n in self._names(f"data/{place}/{name}") if n.startswith("bucket=")}
+            texts, groups = f"{staged}/texts", self._groups(rows)
+            with small_reads(self.spark):
+                self._texts(files, changes, rows, base, texts)
+                fresh = self.spark.read.schema(files.select(*FILE_COLUMNS).schema).parquet(texts)
+                made = derived(fresh)
+                for name in [t for t in TABLES if t != "edges"]:
+                    key = "src" if name == "references" else "path"
+                    kept = self._kept(name, base, changes, groups, key)
+                    self._stage(name, made[name].select(*self._columns(name)), staged, base.buckets, key, kept)
+                    old = {b: at for b, at in places.get(name, {}).items() if int(b) not in touched}
+                    places[name] = old | {n.removeprefix("bucket="): place for n in self._names(f"data/{place}/{name}") if n.startswith("bucket=")}
+            self._fs.delete(self._path(texts), True)
             later = Version(buckets=base.buckets, places=places)
             projects = rebuilt_texts(self.table("chunks", later).where(is_project(F.col("path"))))
-            self._stage("edges", resolved(self.table("references", later), self.table("files", later), projects), staged, base.buckets, "src")
+            self._stage("edges", resolved(self.table("references", later), self.table("files", later), projects), staged, base.buckets, "src", [])
             places["edges"] = {n.removeprefix("bucket="): place for n in self._names(f"data/{place}/edges") if n.startswith("bucket=")}
             counts = self._counts(later)
         meta[f"last_indexed_at{scope}"] = time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())
@@ -196,11 +226,49 @@ class StoredIndex:
     def _columns(name: str) -> list:
         return [F.col(c.split()[0]).cast(c.split()[1]) for c in TABLES[name].split(", ")]
 
-    def _stage(self, name: str, rows: DataFrame, staged: str, buckets: int, key: str) -> None:
-        dealt = rows.withColumn("bucket", self._bucket(buckets, key)).repartition("bucket")
+    @staticmethod
+    def _groups(rows: list) -> list[tuple[list[int], int]]:
+        """The touched buckets in groups whose stored paths that go may be broadcast together (one bucket may have more), and how many go."""
+        out: list[tuple[list[int], int]] = []
+        for bucket in sorted({r["bucket"] for r in rows}):
+            n = sum(r["count"] for r in rows if r["bucket"] == bucket and r["action"] != "insert")
+            if out and out[-1][1] + n <= PATHS_AT_ONCE:
+                out[-1] = ([*out[-1][0], bucket], out[-1][1] + n)
+            else:
+                out.append(([bucket], n))
+        return out
+
+    def _kept(self, name: str, base: Version, changes: DataFrame, groups: list[tuple[list[int], int]], key: str) -> list[DataFrame]:
+        """A table's rows in touched buckets whose paths stay, group by group; they are read and written, not shuffled."""
+        out = []
+        for buckets, n in groups:
+            gone = changes.where(F.col("bucket").isin(buckets) & (F.col("action") != "insert")).select(F.col("path").alias(key))
+            if any(str(b) in base.places.get(name, {}) for b in buckets):
+                out.append(self.table(name, base, buckets).join(F.broadcast(gone) if n <= PATHS_AT_ONCE else gone, key, "left_anti").select(*self._columns(name)))
+        return out
+
+    def _texts(self, files: DataFrame, changes: DataFrame, rows: list, base: Version, path: str) -> None:
+        """The new and changed files, dealt out once by bucket and in pieces of it; all tables are made of what is written here."""
+        fresh = files.select(*FILE_COLUMNS)
+        come = changes.where("action <> 'delete'").select("path")
+        if not base.places.get("files"):
+            fresh = fresh.where("path is not null")  # all are new
+        elif sum(r["count"] for r in rows if r["action"] != "delete") <= PATHS_AT_ONCE:
+            fresh = fresh.join(F.broadcast(come), "path", "left_semi")
+        else:
+            fresh = fresh.join(come, "path", "left_semi")
+        pieces = max(1, -(-sum(r["size"] for r in rows) // (base.buckets * PIECE_BYTES)))
+        dealt = fresh.withColumn("bucket", self._bucket(base.buckets)).repartition(base.buckets * pieces, "bucket", F.pmod(F.hash("path"), F.lit(pieces)))
+        dealt.write.partitionBy("bucket").parquet(path)
+
+    def _stage(self, name: str, rows: DataFrame, staged: str, buckets: int, key: str, kept: list[DataFrame]) -> None:
+        """Writes rows by bucket, and ``kept`` ones behind them; what comes of shuffled rows is dealt out by bucket first."""
         # Within a bucket, row groups by term or path: a query reads the few that hold its own.
         order = ["bucket", "term"] if "term" in rows.columns else ["bucket", key]
-        dealt.sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{staged}/{name}")
+        named = lambda part: part.withColumn("bucket", self._bucket(buckets, key))
+        dealt = named(rows).repartition("bucket") if name in SHUFFLED else named(rows)
+        for part in (dealt, *map(named, kept)):
+            part.sortWithinPartitions(*order).write.mode("append").partitionBy("bucket").parquet(f"{staged}/{name}")
 
     def _counts(self, version: Version) -> dict[str, int]:
         out = {t: self.table(t, version).count() for t in ("files", "chunks", "symbols", "edges")}
@@ -297,6 +365,7 @@ def q_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     by a line more, and those that are both toxic and labelled new under another path. What is stored then, by path."""
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    labels = F.broadcast(labels) if labels.count() <= FLAGS_AT_ONCE else labels  # else every text is shuffled to its label
     first = docs.agg(F.min("source")).first()[0]
     later = docs.where(F.col("source") != first).join(labels, "doc_id", "left")
     later = later.withColumn("text", F.when(F.col("toxic").isNotNull(), F.concat("text", F.lit("\nlabelled"))).otherwise(F.col("text")))

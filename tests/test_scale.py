@@ -141,3 +141,36 @@ def test_components_shrink_with_every_round(spark, monkeypatch):
     found = minhash.components(spark.createDataFrame(list(reps.items()), "sid binary, rep long"), spark.createDataFrame(pairs, "a binary, b binary"))
     assert {bytes(r["sid"]): r["label"] for r in found.collect()} == want
     assert sum(rows) <= 1.6 * len(pairs)
+
+
+def test_update_takes_texts_once(spark, tmp_path, monkeypatch):
+    """An update reads its files for sizes, changes and texts only, whatever number of tables it makes; with paths that don't fit a broadcast it stores what an index made at once does."""
+    from navspark.sources import stored_index
+    from navspark.sources.stored_index import TABLES, StoredIndex
+
+    monkeypatch.setattr(stored_index, "PATHS_AT_ONCE", 4, raising=False)
+    monkeypatch.setattr(stored_index, "PIECE_BYTES", 200, raising=False)
+    seen = spark.sparkContext.accumulator(0)
+
+    def files(rows):
+        def run(batches):
+            for batch in batches:
+                seen.add(len(batch))
+                yield batch
+
+        made = spark.createDataFrame([(p, t, p.rsplit(".")[-1], len(t), t[:9] + str(len(t)), 0.0) for p, t in rows], "path string, text string, language string, size long, hash string, modified_ms double")
+        return made.mapInPandas(run, made.schema)
+
+    first = [(f"a/f{i}.py", f"from a.f{i + 1} import x\n\nclass C{i}:\n    pass\n" * (1 + i % 3)) for i in range(40)]
+    later = [(p, t + "# more\n" * (i % 2)) for i, (p, t) in enumerate(first) if i % 5] + [("b/new.py", "import a.f1\n")]
+    index, whole = StoredIndex(spark, str(tmp_path / "one")), StoredIndex(spark, str(tmp_path / "two"))
+    assert index.update(files(first))["indexed"] == 40
+    assert seen.value <= 3 * 40
+    assert index.update(files(later)) == {"indexed": 17, "removed": 8, "version": 2}
+    assert seen.value <= 3 * 40 + 2 * 33
+    whole.update(files(later))
+    for name in TABLES:
+        rows = lambda i: sorted(map(str, i.table(name).drop("indexed_at").collect()))  # noqa: B023, E731
+        assert rows(index) == rows(whole)
+        assert rows(index) or name in ("edges", "references")
+    assert not list(tmp_path.glob("*/data/*/texts"))
