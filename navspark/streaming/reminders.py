@@ -23,6 +23,8 @@ GAP = GAP_MINUTES * 60_000_000
 #: A session's summary: times in microseconds; asked_us, asked_id: of the first asking event; past: the last event of each gate.
 STATE = "last long, n long, asked long, asked_us long, asked_id long, past1 long, past2 long"
 OUT = "user_id long, first_us long, last_us long, n long, asked long, reminded_id long, clicked boolean, purchased boolean"
+#: Users are dealt out over so many groups that share a state and a timer: a call costs milliseconds, however few rows it has. Another number needs a new state.
+GROUPS = 2048
 PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
@@ -47,45 +49,49 @@ def merged(spans: list[tuple]) -> list[tuple]:
 
 
 class Reminders(StatefulProcessor):
-    """Keeps a summary of each open session of a user and gives it when the watermark passes its end.
+    """Keeps a summary of each open session of a group of users and gives it when the watermark passes its end.
 
     The state is as large as the sessions that the watermark still leaves open, whatever number of events they have.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("sessions", "first long", STATE)
+        self.open = handle.getListState("sessions", f"user_id long, first long, {STATE}")
 
-    def _spans(self) -> list[tuple]:
-        return [(k[0], *v) for k, v in self.open.iterator()]
+    def _spans(self) -> dict[int, list[tuple]]:
+        """The group's open sessions by user; a list is read and put whole, in batches."""
+        out: dict[int, list[tuple]] = {}
+        for user, *span in self.open.get():
+            out.setdefault(user, []).append(tuple(span))
+        return out
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        before = self._spans()
-        spans = before
+        spans = self._spans()
         for batch in rows:
-            new = []
-            for event, us, kind in zip(batch["event_id"].tolist(), batch["us"].tolist(), batch["event_type"].tolist(), strict=True):
+            new: dict[int, list[tuple]] = {}
+            for user, event, us, kind in zip(batch["user_id"].tolist(), batch["event_id"].tolist(), batch["us"].tolist(), batch["event_type"].tolist(), strict=True):
                 ask = kind == ASKS
-                new.append((us, us, 1, int(ask), us if ask else None, event if ask else None, *(us if kind == g else None for g in GATES)))
-            spans = merged([*spans, *new])
-        self._keep(before, spans)
+                new.setdefault(user, []).append((us, us, 1, int(ask), us if ask else None, event if ask else None, *(us if kind == g else None for g in GATES)))
+            for user, more in new.items():
+                spans[user] = merged([*spans.get(user, ()), *more])
+        self._keep([(user, *s) for user, of in spans.items() for s in of])
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         limit = timerValues.getCurrentWatermarkInMs() * 1000
-        before = self._spans()
-        done = sorted(s for s in before if s[1] + GAP <= limit)
-        self._keep(before, [s for s in before if s[1] + GAP > limit])
-        past = lambda s, k: s[4] is not None and s[k] is not None and s[k] >= s[4]
-        columns = {"user_id": [key[0]] * len(done), "first_us": [s[0] for s in done], "last_us": [s[1] for s in done], "n": [s[2] for s in done], "asked": [s[3] for s in done]}
-        yield pd.DataFrame(columns | {"reminded_id": pd.array([s[5] for s in done], dtype="Int64"), "clicked": [past(s, 6) for s in done], "purchased": [past(s, 7) for s in done]})
-
-    def _keep(self, before: list[tuple], after: list[tuple]) -> None:
-        for s in set(before) - set(after):
-            self.open.removeKey((s[0],))
-        for s in set(after) - set(before):
-            self.open.updateValue((s[0],), s[1:])
-        wanted = {min(-(-(s[1] + GAP) // 1000) for s in after)} if after else set()  # one timer a user: the next end
+        before = [(user, *s) for user, of in self._spans().items() for s in of]
+        done = sorted((s for s in before if s[2] + GAP <= limit), key=lambda s: s[:2])
+        self._keep([s for s in before if s[2] + GAP > limit])
+        past = lambda s, k: s[5] is not None and s[k] is not None and s[k] >= s[5]
+        columns = {"user_id": [s[0] for s in done], "first_us": [s[1] for s in done], "last_us": [s[2] for s in done], "n": [s[3] for s in done], "asked": [s[4] for s in done]}
+        yield pd.DataFrame(columns | {"reminded_id": pd.array([s[6] for s in done], dtype="Int64"), "clicked": [past(s, 7) for s in done], "purchased": [past(s, 8) for s in done]})
+
+    def _keep(self, spans: list[tuple]) -> None:
+        if spans:
+            self.open.put(spans)
+        else:
+            self.open.clear()
+        wanted = {min(-(-(s[2] + GAP) // 1000) for s in spans)} if spans else set()  # one timer a group: the next end
         there = set(self.handle.listTimers())
         for t in there - wanted:
             self.handle.deleteTimer(t)
@@ -111,7 +117,7 @@ def reminders(events: DataFrame) -> DataFrame:
     """
     rows = _events(events).withColumn("us", F.unix_micros("at"))
     if events.isStreaming:
-        return _named(rows.groupBy("user_id").transformWithStateInPandas(Reminders(), OUT, "Append", "EventTime"))
+        return _named(rows.withColumn("group", F.pmod(F.hash("user_id"), F.lit(GROUPS))).groupBy("group").transformWithStateInPandas(Reminders(), OUT, "Append", "EventTime"))
     asks, kind = F.col("event_type") == ASKS, F.col("event_type")
     first, past = F.min(F.when(asks, F.col("us"))), [F.max(F.when(kind == g, F.col("us"))) for g in GATES]
     found = rows.groupBy("user_id", F.session_window("at", f"{GAP_MINUTES} minutes").alias("w")).agg(

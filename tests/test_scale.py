@@ -174,3 +174,23 @@ def test_update_takes_texts_once(spark, tmp_path, monkeypatch):
         assert rows(index) == rows(whole)
         assert rows(index) or name in ("edges", "references")
     assert not list(tmp_path.glob("*/data/*/texts"))
+
+
+def test_users_share_a_state(spark, tmp_path, monkeypatch):
+    """Reminders of many users in two groups equal the batch's; calls follow the groups, not the users."""
+    import datetime
+
+    from navspark.streaming import reminders
+    from navspark.streaming.usage_stream import append_available
+
+    monkeypatch.setattr(reminders, "GROUPS", 2)
+    at = lambda m: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=m)
+    rows = [(i, at((i * 17) % 400), i % 50, ("view", "click", "purchase", "error")[i * 7 % 4]) for i in range(600)] + [(600, at(9000), 1, "view")]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string")
+    events.write.parquet(f"{tmp_path}/in")
+    stream = reminders.reminders(spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in"))
+    groups = spark.createDataFrame([(u,) for u in range(50)], "u long").selectExpr("pmod(hash(u), 2) as g").distinct().count()
+    assert groups == 2
+    with reminders.rocks(spark):
+        got = sorted(map(str, append_available(stream, f"{tmp_path}/run").collect()))
+    assert got == sorted(map(str, reminders.reminders(events).where("last < '2024-01-03'").collect())) and len(got) > 50
