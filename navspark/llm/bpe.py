@@ -270,10 +270,11 @@ class Encoder:
         odd = np.asarray(pc.or_(pc.match_substring_regex(texts, UNEVEN), pc.equal(texts, "")), dtype=bool)
         plain = np.flatnonzero(~odd)
         number, units, first = words(texts.take(pa.array(plain)))
+        number = np.asarray(number).astype(np.int64)
         heads = units.take(pa.array(number[first[:-1]])).to_pylist()
         split = [self.find(t) for t in texts.filter(pa.array(odd)).to_pylist()]
         letters, others, marks, front, back = parted(units)
-        blobs = self._pieces([" " + u for u in letters]) + self._whole([" " + u for u in others])
+        blobs = self._pieces([" " + u for u in letters.to_pylist()]) + self._whole([" " + u for u in others])
         nothing = len(blobs)
         back += nothing
         blobs += self._pieces(marks)

@@ -108,6 +108,22 @@ def text_slices(batches: Iterable[pa.RecordBatch], text: str, most: int = SLICE_
             start = stop
 
 
+def text_bundles(batches: Iterable[pa.RecordBatch], text: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches as large as ``text_slices`` allows: neighbours are put together while their texts have at most ``most`` bytes."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for piece in text_slices(batches, text, most):
+        offsets = string_offsets(piece.column(piece.schema.get_field_index(text)))
+        more = int(offsets[-1] - offsets[0])
+        if held and size + more > most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(piece)
+        size += more
+    if held:
+        yield pa.concat_batches(held)
+
+
 def documents_view(docs: DataFrame, *extra: Column) -> DataFrame:
     """(doc_id long, text string, ...) of a table that may have any other columns besides."""
     small_batches(docs.sparkSession)

@@ -164,7 +164,7 @@ def encode_block(ids: np.ndarray) -> bytes:
         out_lanes.append(np.arange(lanes))
         out_words.append((low >> U64(shift)).astype(np.uint16))
     lane, word = np.concatenate(out_lanes), np.concatenate(out_words)
-    order = np.argsort(lane, kind="stable")
+    order = np.argsort(lane.astype(np.uint16), kind="stable")  # of 16 bits numpy sorts by radix; LANES has fewer
     return struct.pack("<III", steps, size, lanes) + np.bincount(lane, minlength=lanes).astype("<u4").tobytes() + word[order].astype("<u2").tobytes()
 
 

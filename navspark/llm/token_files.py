@@ -10,7 +10,7 @@ committed manifest are read, so a lost executor leaves nothing behind.
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -20,74 +20,92 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from navspark.llm.common import claim, documents_view, scratch, table, text_slices, written
+from navspark.llm.common import claim, documents_view, scratch, table, text_bundles, written
 from navspark.llm.exact_dedup import raw_hash
 from navspark.llm.idcoder import pack, unpack
-from navspark.llm.units import Recent, filled, gathered, parted, words
+from navspark.llm.units import filled, parted, words
 from navspark.llm.warc import place
 
 VOCABULARY, END = "word_bpe_49k.json", 2
 #: UTF-8 bytes of text that a file holds, about.
 FILE_BYTES = 24 << 20
-#: Bytes of text that are encoded together; units that a generation of a worker's memory holds.
-ENCODE_BYTES, REMEMBERED = 8 << 20, 150_000
-#: Units that the library gets as one text.
-TOGETHER = 128
+#: Bytes of text that are encoded together.
+ENCODE_BYTES = 8 << 20
+#: Units that the library gets as one text; characters that it gets in one call, whose results are far larger than the ids, or one longer text.
+TOGETHER, CALL_CHARS = 128, 1 << 18
+#: Fixed value: ASCII marks, none of them a letter, digit or white space to the library, which takes a run of them behind letters as one word.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class Tokens:
-    """Whole texts to ids, remembering the ids of units seen lately.
+    """Whole texts to ids, remembering the ids of the units of letters in the slice before.
 
     The library's own splitting drops white space and never joins what a space parts, nor letters and the
     marks behind them, so a text's ids are those of its units one after another. Tokens that the vocabulary
-    adds hold no space, so the library finds them in their unit.
+    adds hold no space, so the library finds them in their unit. Lower-cased Latin letters are left alone by
+    the library's normalizers and are one word, so they skip these and the pattern: their texts are cut at spaces.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.units = Recent(REMEMBERED)
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.ends_word = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.clear()
 
     def clear(self) -> None:
-        self.units.clear()
-
-    def each(self, units: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
-
-    def together(self, units: list[str]) -> list[bytes]:
-        """The same for units of letters only: each is one word, so they are encoded as one text and cut where words end."""
-        out: list[bytes] = []
-        parts = [units[k : k + TOGETHER] for k in range(0, len(units), TOGETHER)]
-        for part, found in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, np.uint32)
-            ends = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
-            if len(ends) != len(part):  # another vocabulary may not mark the ends of words
-                out += self.each(part)
-                continue
-            data = ids.tobytes()
-            out += [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-        return out
-
-    def of(self, units: list[str], encode: Callable[[list[str]], list[bytes]]) -> list[bytes]:
-        values, missing = self.units.look(units)
-        if missing:
-            for i, ids in zip(missing, encode([units[i] for i in missing]), strict=True):
-                values[i] = ids
-                self.units.put(units[i], ids)
-        return values
+        self.units, self.ids = pa.array([], pa.string()), pa.array([], pa.large_binary())
+
+    def each(self, units: list[str]) -> pa.Array:
+        """Each unit's ids as little-endian unsigned 32-bit integers."""
+        return pa.array([ids.tobytes() for ids in called(self.tokenizer, units)], pa.large_binary())
+
+    def together(self, units: pa.Array) -> pa.Array:
+        """The same for units of lower-cased letters only: each is one word, so many are encoded as one text and cut where words end."""
+        starts = np.append(np.arange(0, len(units), TOGETHER), len(units))
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), units), " ").to_pylist()
+        found = called(self.plain, texts)
+        ids = np.concatenate([np.zeros(0, "<u4"), *found])
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        counts = np.diff(np.searchsorted(ends, np.cumsum([0, *map(len, found)]), side="right"))
+        if not np.array_equal(counts, np.diff(starts)):  # another vocabulary may not mark the ends of words
+            return self.each(units.to_pylist())
+        return binary(ids, np.insert(ends, 0, 0))
+
+    def letters(self, units: pa.Array) -> pa.Array:
+        """The same through what is remembered, and remembers these."""
+        known = pc.index_in(units, value_set=self.units)
+        values = pa.concat_arrays([self.ids, self.together(units.filter(known.is_null()))])
+        at, new = np.asarray(known.fill_null(0)).astype(np.int64), np.asarray(known.is_null())
+        at[new] = len(self.ids) + np.arange(new.sum())
+        self.units, self.ids = units, values.take(pa.array(at))
+        return self.ids
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and where each text's end, from 0."""
         number, units, first = words(pc.replace_substring(filled(texts), "\n", " "))  # both are dropped
-        letters, others, marks, front, back = parted(units, fold=True)  # the library lower-cases
-        blobs = self.of(letters, self.together) + self.of(others, self.each)
-        back += len(blobs)
-        ids, ends = gathered(blobs + self.of(marks, self.each), np.stack([front[number], back[number]], 1).ravel())
-        return ids, ends[2 * first]
+        letters, others, marks, front, back = parted(units, fold=True, marks=MARKS)  # the library lower-cases
+        heads = pa.concat_arrays([self.letters(letters), self.each(others)])
+        of = pc.binary_join_element_wise(heads.take(pa.array(front)), self.each(marks).take(pa.array(back)), pa.scalar(b"", pa.large_binary()))
+        found = of.take(number)
+        ends = np.frombuffer(found.buffers()[1], np.int64)[first] >> 2
+        return np.frombuffer(found.buffers()[2] or b"", "<u4")[: ends[-1]], ends
+
+
+def called(tokenizer, texts: list[str]) -> list[np.ndarray]:
+    """The library's ids of each text."""
+    call = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))) // CALL_CHARS
+    starts = np.flatnonzero(np.diff(call, prepend=-1)).tolist()
+    return [np.array(e.ids, "<u4") for a, b in zip(starts, [*starts[1:], len(texts)], strict=False) for e in tokenizer.encode_batch_fast(texts[a:b], add_special_tokens=False)]
+
+
+def binary(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Stretches of ids that end there (the first at 0), each as bytes."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer((4 * ends).astype(np.int64)), pa.py_buffer(ids)])
 
 
 @cache
@@ -108,7 +126,7 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = E
         of, context = tokens(public_tokenizers.path(vocabulary)), TaskContext.get()
         claim("token files", of.clear)
         doc_ids, missing, counts, ids = [], [], [], []
-        for batch in text_slices(batches, "text", ENCODE_BYTES):
+        for batch in text_bundles(batches, "text", ENCODE_BYTES):
             found, ends = of.encode(batch.column(1))
             ids.append(np.insert(found, ends[1:], np.uint32(end)))
             counts.append(np.diff(ends) + 1)

@@ -52,41 +52,41 @@ def gathered(blobs: list[bytes], sequence: np.ndarray) -> tuple[np.ndarray, np.n
     return flat[np.arange(ends[-1]) + np.repeat(begin[sequence] - ends[:-1], lengths)], ends
 
 
-def words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+def words(texts: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray]:
     """The number of each unit, the distinct units, and the first unit of each text (and the end)."""
     split = pc.split_pattern(texts, " ")
     first = np.asarray(split.offsets).astype(np.int64)
     coded = split.flatten().dictionary_encode()
-    return np.asarray(coded.indices).astype(np.int64), coded.dictionary, first - first[0]
+    return coded.indices, coded.dictionary, first - first[0]
 
 
 #: Latin letters, and marks that a tokenizer's split takes a run of behind them.
 LETTERS, MARKS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$", ".,;:!?"
 
 
-def parted(units: pa.Array, fold: bool = False) -> tuple[list[str], list[str], list[str], np.ndarray, np.ndarray]:
+def parted(units: pa.Array, fold: bool = False, marks: str = MARKS) -> tuple[pa.Array, list[str], list[str], np.ndarray, np.ndarray]:
     """Units of letters and the marks behind them, and other ones: distinct letters, others, distinct marks, and each unit's two parts.
 
     The first part counts in letters + others; the second in the marks, of which the first is none. With ``fold``
-    the letters A-Z are lower-cased.
+    the letters are lower-cased. ``marks`` names ASCII characters.
     """
-    letters = pc.utf8_rtrim(units, MARKS)
+    letters = pc.utf8_rtrim(units, marks)
     easy = np.asarray(pc.match_substring_regex(letters, LETTERS), dtype=bool)
     hard = np.flatnonzero(~easy)
     plain = letters.filter(pa.array(easy))
-    coded = (pc.ascii_lower(plain) if fold else plain).dictionary_encode()
+    coded = (pc.utf8_lower(plain) if fold else plain).dictionary_encode()
     front, back = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
     front[easy] = np.asarray(coded.indices)
     front[hard] = len(coded.dictionary) + np.arange(len(hard))
     width = np.asarray(pc.subtract(pc.binary_length(units), pc.binary_length(letters))).astype(np.int64)
     data, ends = np.frombuffer(units.buffers()[2] or b"", np.uint8), string_offsets(units)[1:]
     one, more = easy & (width == 1), np.flatnonzero(easy & (width > 1))
-    tails = {"": 0} | {mark: k + 1 for k, mark in enumerate(MARKS)}
+    tails = {"": 0} | {mark: k + 1 for k, mark in enumerate(marks)}
     place = np.zeros(256, np.int64)
-    place[list(MARKS.encode())] = np.arange(len(MARKS)) + 1
+    place[list(marks.encode())] = np.arange(len(marks)) + 1
     back[one] = place[data[ends[one] - 1]]
     back[more] = [tails.setdefault(u[-w:], len(tails)) for u, w in zip(units.take(pa.array(more)).to_pylist(), width[more].tolist(), strict=True)]
-    return coded.dictionary.to_pylist(), units.take(pa.array(hard)).to_pylist(), list(tails), front, back
+    return coded.dictionary, units.take(pa.array(hard)).to_pylist(), list(tails), front, back
 
 
 def filled(texts: pa.Array) -> pa.Array:

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 import tiktoken
 
-from navspark.llm import fuse
+from navspark.llm import common, fuse, token_files
 from navspark.llm.bpe import VOCABULARY, decode_ids, encode_ids, load
 from navspark.llm.html_text import blocks
 from navspark.llm.idcoder import decode, encode, pack, unpack
@@ -62,6 +62,41 @@ def test_damaged_block_is_noticed():
         decode([(n, crc ^ 1, data)])
 
 
+def test_token_ids_equal_the_library(monkeypatch):
+    """Over several slices, so with what is remembered of the one before; only units that aren't letters and marks go to the library one by one."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(token_files.VOCABULARY)
+    library, of = Tokenizer.from_file(path), token_files.Tokens(path)
+    single: list[str] = []
+    each = of.each
+    monkeypatch.setattr(of, "each", lambda units: (single.extend(units), each(units))[1])
+    rng = random.Random(8)
+    latin = [chr(c) for c in range(0x41, 0x100) if chr(c).isalpha()]
+    marks = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    plain = ["".join(rng.choices(latin, k=rng.randint(1, 9))) + "".join(rng.choices(marks, k=rng.choice([0, 0, 1, 1, 2]))) for _ in range(3000)]
+    odd = ["<|endoftext|>", "a<|endoftext|>", "x|>", "it's", "it'", "'s", "a.b", "###", "=\u0338", "a=\u0338", "e\u0301.", "a\tb", "\xa0", "7up", "日本", "a" * 3000, "\u2028", "ªº", "İ"]
+    for units in (plain, plain[:900] + odd, odd, plain[2000:], []):
+        texts: list = [" ".join(rng.choices(units, k=rng.randint(1, 60))) for _ in range(200)] if units else [""]
+        texts += [None, "", " ", "\n", "b  c\n\nd ", " ".join(units)]
+        ids, ends = of.encode(pa.array(texts, pa.string()))
+        assert len(ends) == len(texts) + 1 and ends[0] == 0 and ends[-1] == len(ids)
+        for t, a, b in zip(texts, ends[:-1], ends[1:], strict=True):
+            assert ids[a:b].tolist() == library.encode(t or "", add_special_tokens=False).ids
+    assert not [u for u in single if u.rstrip("".join(marks)).isalpha() and u.isascii()]
+
+
+def test_text_bundles_fill_slices():
+    """Rows stay in order; small batches are put together up to the limit, and a longer text is alone."""
+    texts = ["abc", None, "", "é" * 4, "x" * 30, "y", "z" * 9, "w" * 2, "v"] * 3
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(texts[k : k + 2], pa.string())}) for k in range(0, len(texts), 2)]
+    got = [b.column(0).to_pylist() for b in common.text_bundles(batches, "text", 12)]
+    sizes = [sum(len((t or "").encode()) for t in b) for b in got]
+    assert [t for b in got for t in b] == texts
+    assert all(size <= 12 or len(b) == 1 for size, b in zip(sizes, got, strict=True))
+    assert len(got) < len(batches) and list(common.text_bundles([], "text", 12)) == []
+
+
 def test_fuse_has_its_keys():
     rng = np.random.default_rng(3)
     for n in (0, 1, 2, 50, 20_000):
