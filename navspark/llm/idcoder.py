@@ -28,7 +28,20 @@ CONTEXTS, STRETCH = 256, 6
 #: Order 0 forgets half of its counts beyond this many; weights do beyond so many trials.
 FORGET, TRIALS = 1 << 19, 1 << 14
 U64 = np.uint64
-TOP, BOTTOM = U64(1 << 48), U64(1 << 32)
+#: Bits of a written word; a lane whose width is below a word's range writes one.
+WORD, BOTTOM = U64(32), U64(1 << 32)
+#: Stands for a change of a place that takes the id that came.
+NEW = SURE + 1
+
+
+def changes(sure: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    """What is added to a place: a prediction that came true is surer; one that didn't is half as sure, and one that wasn't sure goes."""
+    return np.where(hit, sure < SURE, np.where(sure, -(sure + 1 >> 1), NEW))
+
+
+#: The changes of the places of orders 2 and 1, by context and whether each came true.
+MET = np.arange(4 * CONTEXTS)
+CHANGE2, CHANGE1 = changes(MET >> 7, MET >> 1 & 1), changes(MET >> 4 & 7, MET & 1)
 
 
 def rebuilt(step: int) -> bool:
@@ -63,7 +76,6 @@ class Model:
         alone = share[1] >> 4 << 4
         self.end2 = np.where(kinds < 2, share[0], 0)
         self.end1 = np.where(kinds == 0, share[0] + second, np.where(kinds == 1, share[0], np.where(kinds == 2, alone, 0)))
-        self.rest = (1 << WHOLE) - self.end1
 
     def _rebuild(self) -> None:
         """Where each id's part of order 0 begins (every id has some), and the id at the beginning of each stretch of 2**STRETCH."""
@@ -90,19 +102,19 @@ class Model:
     def predict(self) -> tuple[np.ndarray, ...]:
         """By lane: ids that orders 2 and 1 predict (-1: none), where their shares end, and the share of order 0."""
         self.at = (self.last * 40503 ^ self.before * 2654435761) >> 7 & PLACES - 1
-        self.w2, self.w1 = self.two[self.at], self.one[self.last]
+        self.w2, self.w1 = self.two.take(self.at, mode="clip"), self.one.take(self.last, mode="clip")
         c2, c1 = self.w2 >> 3, self.w1 >> 3
-        kind = np.where(c2 < 0, 2 + (c1 < 0), c1 == c2)
-        self.context = (self.w2 & 7) * 32 + (self.w1 & 7) * 4 + kind
-        return c2, c1, self.end2[self.context], self.end1[self.context], self.rest[self.context]
+        kind = (c2 < 0).view(np.int8) << 1 | (c1 == c2).view(np.int8)
+        self.context = ((self.w2 & 7) << 3 | self.w1 & 7) << 2 | kind
+        end1 = self.end1.take(self.context, mode="clip")
+        return c2, c1, self.end2.take(self.context, mode="clip"), end1, (1 << WHOLE) - end1
 
     def update(self, ids: np.ndarray, c2: np.ndarray, c1: np.ndarray) -> None:
-        # A prediction that came true is surer; one that didn't is half as sure, and one that wasn't sure goes.
-        hit2, hit1 = ids == c2, ids == c1
-        new = ids << 3
-        self.two[self.at] = np.where(hit2, np.minimum(self.w2 + 1, new + SURE), np.where(self.w2 & 7, self.w2 - (self.w2 + 1 >> 1 & 3), new))
-        self.one[self.last] = np.where(hit1, np.minimum(self.w1 + 1, new + SURE), np.where(self.w1 & 7, self.w1 - (self.w1 + 1 >> 1 & 3), new))
-        self.met.append(self.context * 4 + hit2 * 2 + hit1)
+        met = self.context << 2 | ((ids == c2).view(np.int8) << 1 | (ids == c1).view(np.int8))
+        change2, change1, new = CHANGE2.take(met, mode="clip"), CHANGE1.take(met, mode="clip"), ids << 3
+        self.two[self.at] = np.where(change2 == NEW, new, self.w2 + change2)
+        self.one[self.last] = np.where(change1 == NEW, new, self.w1 + change1)
+        self.met.append(met)
         self.before, self.last = self.last, ids
         self.recent.append(ids)
         self.step += 1
@@ -125,8 +137,13 @@ class Model:
             self._rebuild()
 
 
+def settled(low: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """The widths, cut where the bits above a word would change."""
+    return np.where((low ^ (low + width)) < BOTTOM, width, (~low + U64(1)) & (BOTTOM - U64(1)))
+
+
 def encode_block(ids: np.ndarray) -> bytes:
-    """A block: steps, least size of a vocabulary, lanes, each lane's length in 16-bit words, and the words."""
+    """A block: steps, least size of a vocabulary, lanes, each lane's length in 32-bit words, and the words."""
     size = int(ids.max()) + 1
     if size >= 1 << PART - 1:
         raise ValueError("ids are too large for the coder")
@@ -143,40 +160,36 @@ def encode_block(ids: np.ndarray) -> bytes:
         c2, c1, end2, end1, rest = model.predict()
         is2 = now == c2
         is1 = (now == c1) & ~is2
-        begin = end1 + (model.begin[now] * rest >> PART)
-        end = end1 + (model.begin[now + 1] * rest >> PART)
+        begin = end1 + (model.begin.take(now, mode="clip") * rest >> PART)
+        end = end1 + (model.begin.take(now + 1, mode="clip") * rest >> PART)
         begin = np.where(is2, 0, np.where(is1, end2, begin))
         end = np.where(is2, end2, np.where(is1, end1, end))
         unit = width >> U64(WHOLE)
         low += unit * begin.view(U64)
         width = unit * (end - begin).view(U64)
         model.update(now, c2, c1)
-        which = np.flatnonzero(((low ^ (low + width)) < TOP) | (width < BOTTOM))
-        while len(which):
-            a, b = low[which], width[which]
-            b = np.where((a ^ (a + b)) < TOP, b, (~a + U64(1)) & (BOTTOM - U64(1)))
-            out_lanes.append(which)
-            out_words.append((a >> U64(48)).astype(np.uint16))
-            a, b = a << U64(16), b << U64(16)
-            low[which], width[which] = a, b
-            which = which[((a ^ (a + b)) < TOP) | (b < BOTTOM)]
-    for shift in (48, 32, 16, 0):
-        out_lanes.append(np.arange(lanes))
-        out_words.append((low >> U64(shift)).astype(np.uint16))
+        which = np.flatnonzero(width < BOTTOM)
+        a = low[which]
+        out_lanes.append(which.astype(np.uint16))
+        out_words.append((a >> WORD).astype("<u4"))
+        low[which], width[which] = a << WORD, settled(a, width[which]) << WORD
+    for shift in (WORD, U64(0)):
+        out_lanes.append(np.arange(lanes, dtype=np.uint16))
+        out_words.append((low >> shift).astype("<u4"))
     lane, word = np.concatenate(out_lanes), np.concatenate(out_words)
-    order = np.argsort(lane.astype(np.uint16), kind="stable")  # of 16 bits numpy sorts by radix; LANES has fewer
-    return struct.pack("<III", steps, size, lanes) + np.bincount(lane, minlength=lanes).astype("<u4").tobytes() + word[order].astype("<u2").tobytes()
+    order = np.argsort(lane, kind="stable")  # of 16 bits numpy sorts by radix; LANES has fewer
+    return struct.pack("<III", steps, size, lanes) + np.bincount(lane, minlength=lanes).astype("<u4").tobytes() + word[order].tobytes()
 
 
 def decode_block(n: int, data: bytes) -> np.ndarray:
     steps, size, lanes = struct.unpack_from("<III", data)
     words_of = np.frombuffer(data, "<u4", lanes, 12).astype(np.int64)
-    word = np.frombuffer(data[12 + 4 * lanes :] + b"\0" * 8, "<u2").astype(U64)
+    word = np.frombuffer(data[12 + 4 * lanes :] + b"\0" * 8, "<u4")
     at = np.cumsum(words_of) - words_of
     model = Model(lanes, size)
     low, width, code = np.zeros(lanes, U64), np.full(lanes, (1 << 64) - 1, U64), np.zeros(lanes, U64)
-    for _ in range(4):
-        code = code << U64(16) | word[at]
+    for _ in range(2):
+        code = code << WORD | word[at]
         at += 1
     table = np.zeros((steps, lanes), np.int64)
     for t in range(steps):
@@ -198,15 +211,11 @@ def decode_block(n: int, data: bytes) -> np.ndarray:
         width = unit * (end - begin).view(U64)
         # An id that is predicted can come by order 0 as well, but the writer never codes it so.
         model.update(now, c2, c1)
-        which = np.flatnonzero(((low ^ (low + width)) < TOP) | (width < BOTTOM))
-        while len(which):
-            a, b = low[which], width[which]
-            b = np.where((a ^ (a + b)) < TOP, b, (~a + U64(1)) & (BOTTOM - U64(1)))
-            code[which] = code[which] << U64(16) | word[at[which]]
-            at[which] += 1
-            a, b = a << U64(16), b << U64(16)
-            low[which], width[which] = a, b
-            which = which[((a ^ (a + b)) < TOP) | (b < BOTTOM)]
+        which = np.flatnonzero(width < BOTTOM)
+        a, place = low[which], at[which]
+        low[which], width[which] = a << WORD, settled(a, width[which]) << WORD
+        code[which] = code[which] << WORD | word[place]
+        at[which] = place + 1
     return table.T.ravel()[:n]
 
 
@@ -226,7 +235,7 @@ def decode(blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
     return np.concatenate(found)
 
 
-MAGIC = b"NSIDS002"
+MAGIC = b"NSIDS003"
 
 
 def pack(doc_ids: np.ndarray, missing: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:

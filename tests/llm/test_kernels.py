@@ -56,6 +56,14 @@ def test_id_coder(n):
     assert (back[3] == ids).all() and (back[2] == counts).all()
 
 
+def test_id_coder_on_even_sure_and_repeated_ids():
+    """Also where widths fall below a word's range at once, or stay above it for long."""
+    rng = np.random.default_rng(6)
+    for ids in (np.full(70_000, 5), rng.integers(0, (1 << 21) - 1, 5000), np.where(rng.random(70_000) < 0.999, 7, rng.integers(0, 49408, 70_000)), np.repeat(rng.integers(0, 49408, 9000), 5), np.tile(rng.integers(0, 49408, 30), 900)):
+        for block in (20_000, 1 << 22):
+            assert (decode(encode(ids, block=block)) == ids).all()
+
+
 def test_damaged_block_is_noticed():
     n, crc, data = encode(np.arange(500))[0]
     with pytest.raises(ValueError):
